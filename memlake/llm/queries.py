@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memlake.llm.ann import nearest
 from memlake.llm.common import held_out, table
 from memlake.llm.langid import identify_language
 from memlake.llm.langid import train as train_language
+from memlake.llm.licenses import scan_licenses
 from memlake.llm.packing import pack
 from memlake.llm.quality import score_quality
 from memlake.llm.quality import train as train_quality
@@ -26,6 +28,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return nearest(rows.where(F.col("vec_id") % 20 == 0).withColumnRenamed("vec_id", "query_id"), rows)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_toxicity(docs.select("doc_id", "text"), train_toxicity(docs, table(spark, sf_dir, "labels")))
@@ -50,8 +57,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_toxicity, op6_url_filter, op7_best_fit_packing, op8_language_id, op9_quality)}
+    return {f.__name__: f for f in (op1_nearest, op5_toxicity, op6_url_filter, op7_best_fit_packing, op8_language_id, op9_quality, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
