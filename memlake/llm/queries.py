@@ -15,6 +15,7 @@ from memlake.llm.licenses import scan_licenses
 from memlake.llm.packing import pack
 from memlake.llm.quality import score_quality
 from memlake.llm.quality import train as train_quality
+from memlake.llm.suffixdedup import remove_repeats
 from memlake.llm.toxicity import THRESHOLD, score_toxicity
 from memlake.llm.toxicity import train as train_toxicity
 from memlake.llm.urlfilter import filter_urls
@@ -33,6 +34,10 @@ def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(rows.where(F.col("vec_id") % 20 == 0).withColumnRenamed("vec_id", "query_id"), rows)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_toxicity(docs.select("doc_id", "text"), train_toxicity(docs, table(spark, sf_dir, "labels")))
@@ -62,7 +67,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nearest, op5_toxicity, op6_url_filter, op7_best_fit_packing, op8_language_id, op9_quality, op10_licenses)}
+    return {f.__name__: f for f in (op1_nearest, op2_suffix_dedup, op5_toxicity, op6_url_filter, op7_best_fit_packing, op8_language_id, op9_quality, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
