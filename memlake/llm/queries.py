@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from memlake.llm.ann import nearest
 from memlake.llm.common import held_out, table
+from memlake.llm.decontaminate import find_leaks
 from memlake.llm.langid import identify_language
 from memlake.llm.langid import train as train_language
 from memlake.llm.licenses import scan_licenses
@@ -36,13 +37,17 @@ def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept_text")
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_toxicity(docs.select("doc_id", "text"), train_toxicity(docs, table(spark, sf_dir, "labels")))
@@ -72,7 +77,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nearest, op2_suffix_dedup, op3_near_duplicates, op5_toxicity, op6_url_filter, op7_best_fit_packing, op8_language_id, op9_quality, op10_licenses)}
+    return {f.__name__: f for f in (op1_nearest, op2_suffix_dedup, op3_near_duplicates, op4_decontaminate, op5_toxicity, op6_url_filter, op7_best_fit_packing, op8_language_id, op9_quality, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:

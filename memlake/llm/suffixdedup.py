@@ -212,11 +212,26 @@ def meet_anchors(table: pa.Table, buckets: int, length: int) -> pa.Table:
     return pa.Table.from_batches([as_batch(rows)])
 
 
+def joined_docs(blobs: list[bytes]) -> tuple[Columns, bytes, pa.Table | None]:
+    """Documents of some blobs: their columns, their texts in a row, and the other columns of their rows."""
+    columns, texts, others = [], [], []
+    for blob in blobs:
+        own, tail = from_blob(DOCS, blob)
+        size = int(own["size"].sum(dtype=np.int64))
+        columns.append(own)
+        texts.append(tail[:size])
+        others.append(pa.ipc.open_stream(tail[size:]).read_all())
+    return {name: np.concatenate([c[name] for c in columns]) if columns else np.empty(0, form) for name, form in _FORM[DOCS]}, b"".join(texts), pa.concat_tables(others) if others else None
+
+
 def pack_docs(batches: Iterator[pa.RecordBatch], buckets: int, tagged: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("doc_id")
         null = ids.is_null().to_numpy(zero_copy_only=False)
         value = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        other = batch.select([n for n in batch.schema.names if n not in ("doc_id", "text")])
+        if not other.num_columns:
+            other = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows)], names=["none"])
         for chunk in text_chunks(batch.column("text"), 16 << 20):
             doc, tag, size = value[chunk.rows], tags(chunk, tagged), chunk.end - chunk.start
             bucket = np.where(null[chunk.rows], (chunk.rows + chunk.data.size) % buckets, of_doc(doc, buckets)).astype(np.int32)
@@ -224,7 +239,10 @@ def pack_docs(batches: Iterator[pa.RecordBatch], buckets: int, tagged: bool) ->
             raw, rows = chunk.data.tobytes(), []
             for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
                 text = b"".join([raw[a:b] for a, b in zip(chunk.start[part].tolist(), chunk.end[part].tolist(), strict=True)])
-                rows.append((int(bucket[part[0]]), DOCS, to_blob(DOCS, {"doc": doc[part], "null": null[chunk.rows[part]].astype(np.uint8), "tag": tag[part], "size": size[part]}, text)))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, other.schema) as writer:
+                    writer.write_batch(other.take(pa.array(chunk.rows[part])))
+                rows.append((int(bucket[part[0]]), DOCS, to_blob(DOCS, {"doc": doc[part], "null": null[chunk.rows[part]].astype(np.uint8), "tag": tag[part], "size": size[part]}, text + sink.getvalue().to_pybytes())))
             yield as_batch(rows)
 
 
@@ -233,7 +251,7 @@ def fetch_texts(docs: pa.Table, asked: pa.Table, buckets: int, length: int) -> p
     a, _ = joined(ASKED, blobs_of(asked, ASKED))
     rows: list[tuple[int, int, bytes]] = []
     if len(a["doc"]):
-        d, text = joined(DOCS, blobs_of(docs, DOCS))
+        d, text, _ = joined_docs(blobs_of(docs, DOCS))
         known = np.flatnonzero(d["null"] == 0)
         begin = np.cumsum(d["size"], dtype=np.int64) - d["size"]
         place = _find(d["doc"][known], d["tag"][known], a["doc"], a["tag"])
@@ -346,9 +364,9 @@ def meet_texts(table: pa.Table, buckets: int, length: int) -> pa.Table:
     return pa.Table.from_batches([as_batch(rows)])
 
 
-def strip_docs(docs: pa.Table, covered: pa.Table, with_text: bool) -> pa.Table:
-    """Step 5: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, what is left of the text."""
-    d, text = joined(DOCS, blobs_of(docs, DOCS))
+def strip_docs(docs: pa.Table, covered: pa.Table, carried: list[str]) -> pa.Table:
+    """Step 5: doc_id, n_bytes, n_removed, n_spans, kept_sha256, what is left of the text, and carried columns."""
+    d, text, other = joined_docs(blobs_of(docs, DOCS))
     c, _ = joined(COVERED, blobs_of(covered, COVERED))
     begin = np.cumsum(d["size"], dtype=np.int64) - d["size"]
     known = np.flatnonzero(d["null"] == 0)
@@ -372,34 +390,40 @@ def strip_docs(docs: pa.Table, covered: pa.Table, with_text: bool) -> pa.Table:
         removed = int(np.count_nonzero(off))
         spans = int(np.count_nonzero(off[1:] & ~off[:-1])) + int(size > 0 and off[0]) if removed else 0
         kept = text[a : a + size] if not removed else data[a : a + size][~off].tobytes()
-        for column, value in zip(out, (None if d["null"][i] else int(d["doc"][i]), size, removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None), strict=True):
+        for column, value in zip(out, (None if d["null"][i] else int(d["doc"][i]), size, removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")), strict=True):
             column.append(value)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=names)
+    more = [other.column(c).combine_chunks() if other is not None else pa.nulls(0) for c in carried]
+    return pa.Table.from_arrays([*(pa.array(x, t) for x, t in zip(out, types, strict=True)), *more], names=[*names, *(f"carried_{i}" for i in range(len(carried)))])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
-    """One row for each row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text.
+def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text, and docs' columns besides.
 
-    kept_text is null unless with_text is set; bytes that removal leaves of a cut character are left out of it (not of the
-    hash). A null or empty text has no bytes. A row with a null doc_id is returned as it is and never makes another lose
-    bytes. Rows that repeat a doc_id are judged each by itself, against smaller ids only. An empty table gives no rows; other
-    columns are ignored.
+    Bytes that removal leaves of a cut character are left out of kept_text (not of the hash). A null or empty text has no
+    bytes. A row with a null doc_id is returned as it is and never makes another lose bytes. Rows that repeat a doc_id are
+    judged each by itself, against smaller ids only. An empty table gives no rows. A column of docs that is named like one of
+    the result's is left out.
     """
     if length < GRAM:
         raise ValueError(f"length must be at least {GRAM}")
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    made = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
+    fields = [f for f in docs.schema.fields if f.name not in (*made, "text")]
+    names = [f.name for f in fields]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(f"`{n}`") for n in names))
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(shuffle_partitions(spark), -(-n_bytes // BUCKET_BYTES))
     tagged = bool(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").take(1))
 
-    first = docs.mapInArrow(lambda b: map_segments(b, buckets, length, tagged), ROW).groupBy("bucket").applyInArrow(lambda t: meet_anchors(t, buckets, length), ROW)
+    first = docs.select("doc_id", "text").mapInArrow(lambda b: map_segments(b, buckets, length, tagged), ROW).groupBy("bucket").applyInArrow(lambda t: meet_anchors(t, buckets, length), ROW)
     first = cut(spark, first)
     release(spark)
     packed = docs.mapInArrow(lambda b: pack_docs(b, buckets, tagged), ROW)
     texts = packed.groupBy("bucket").cogroup(first.where(F.col("kind") == ASKED).groupBy("bucket")).applyInArrow(lambda a, b: fetch_texts(a, b, buckets, length), ROW)
     second = texts.groupBy("bucket").applyInArrow(lambda t: meet_texts(t, buckets, length), ROW)
     covered = first.where(F.col("kind") == COVERED).unionByName(second)
-    return packed.groupBy("bucket").cogroup(covered.groupBy("bucket")).applyInArrow(lambda a, b: strip_docs(a, b, with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string" + "".join(f", carried_{i} {f.dataType.simpleString()}" for i, f in enumerate(fields))
+    out = packed.groupBy("bucket").cogroup(covered.groupBy("bucket")).applyInArrow(lambda a, b: strip_docs(a, b, names), schema)
+    return out.select(*made, *(F.col(f"carried_{i}").alias(n) for i, n in enumerate(names)))
