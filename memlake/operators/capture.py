@@ -69,6 +69,6 @@ def solidify(summaries: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
 
 def trailing_hour(writes: DataFrame, by: str, ts: str = "ts") -> DataFrame:
     """Adds `hour_count`: writes of the same key in the hour up to and including each."""
-    seconds = F.unix_micros(ts)
+    seconds = F.unix_micros(F.col(ts).cast("timestamp"))
     return writes.withColumn("hour_count", F.count(F.lit(1)).over(Window.partitionBy(by).orderBy(seconds).rangeBetween(-3_600_000_000 + 1, 0)))
 

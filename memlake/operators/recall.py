@@ -52,6 +52,11 @@ def recency(now: int) -> Column:
     return 1 / (1 + age / 30)
 
 
+def composite(now: int) -> Column:
+    """Relevance, importance and recency; rounded, so that equal records tie in whatever order sums were made."""
+    return F.round(0.6 * F.col("relevance") + 0.3 * F.col("importance") + 0.1 * recency(now), 12)
+
+
 def matches(records: DataFrame, queries: DataFrame, cfg: Config = DEFAULTS, mode: str = "query", min_hits: int | None = None) -> DataFrame:
     """Pairs that share a token: query_id, id, match (the gate's number), hits, relevance."""
     tokens = query_tokens(queries, cfg)
@@ -95,7 +100,7 @@ def recall(records: DataFrame, queries: DataFrame, now: int, cfg: Config = DEFAU
     found = matches(records, queries, cfg, mode, min_hits).where(F.col("match") >= gate)
     if post_filter is not None:
         found = found.join(filtered.select("id"), "id", "left_semi")
-    scored = found.join(lean, "id").withColumn("score", 0.6 * F.col("relevance") + 0.3 * F.col("importance") + 0.1 * recency(now))
+    scored = found.join(lean, "id").withColumn("score", composite(now))
     scored = scored.withColumn("score", F.when(F.col("match") == 0, 0.0).otherwise(F.col("score")))
     empty = queries.select("query_id", (normalize_text(F.coalesce("query", F.lit(""))) == "").alias("no_text"), (F.size(tokenize(F.coalesce("query", F.lit("")), cfg.search_stemming, cfg.search_bigram)) == 0).alias("no_token"))
     empty = empty.where(F.col("no_text") | (F.col("no_token") & F.lit(mode != "memory")))
@@ -181,6 +186,6 @@ def turn_recall(records: DataFrame, messages: DataFrame, resident_lines: DataFra
     fresh = pool.withColumn("n", normalize_text(F.col("text"))).join(shown, "n", "left_anti").join(last_injected, "id", "left")
     fresh = fresh.where(workspace_recall(workspace) & (turn - F.coalesce("last_turn", F.lit(-999)) >= cfg.recall_cooldown_turns)).select("id")
     found = matches(pool, asked, cfg, "memory").where(F.col("match") >= cfg.recall_min_match).join(fresh, "id", "left_semi")
-    scored = found.join(pool.select("id", "text", "scope", "importance", "confidence", "pinned", "observedAt", "lastUsedAt"), "id").withColumn("score", 0.6 * F.col("relevance") + 0.3 * F.col("importance") + 0.1 * recency(now))
+    scored = found.join(pool.select("id", "text", "scope", "importance", "confidence", "pinned", "observedAt", "lastUsedAt"), "id").withColumn("score", composite(now))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("pinned").desc(), F.col("importance").desc(), F.col("confidence").desc(), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cfg.recall_top_k).select("query_id", "id", "text", "scope", "match", "score", "rank")
