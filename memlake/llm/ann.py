@@ -126,7 +126,9 @@ def search_shard(vectors: pa.Table, queries: pa.Table, k: int, factor: float) ->
         rows = found.rows[i][found.rows[i] >= 0]
         member = np.concatenate([by[first[r] : last[r]] for r in rows.tolist()]) if len(rows) else np.empty(0, np.int64)
         member = member[ids[member] != q_ids[i]]
-        score = (x[member] * q[i]).sum(axis=1)
+        score = np.zeros(len(member))
+        for j in range(x.shape[1]):  # in order of the components, so that the sum is the same everywhere
+            score += x[member, j] * q[i, j]
         top = np.lexsort((ids[member], -score))[:k]
         out[0].append(np.full(len(top), q_ids[i]))
         out[1].append(ids[member][top])

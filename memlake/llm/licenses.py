@@ -20,14 +20,14 @@ BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2
 #: Fixed values: (label, keyword of the family, the name's pattern, words between single spaces).
 NAMES = [
     ("mit", "mit", "(?:mit|expat|mit x11)"), ("mit-0", "mit", "mit (?:no attribution|0)"),
-    ("apache-2", "apache", "apache(?: software)?(?: license)?(?: version| v)? ?(?:2|2 0)"), ("apache-1.1", "apache", "apache(?: software)?(?: license)?(?: version)? 1 1"),
+    ("apache-2", "apache", "apache(?: software)?(?: license)?(?: version| v)?(?: v?2|2)(?: 0)?"), ("apache-1.1", "apache", "apache(?: software)?(?: license)?(?: version)? 1 1"),
     ("apache", "apache", "apache(?: software)?"),
-    ("gpl-3", "gpl", "(?:gpl|gplv3)(?: version| v)?(?: 3| 3 0)?"), ("gpl-2", "gpl", "(?:gpl(?: version| v)? 2(?: 0)?|gplv2)"), ("gpl-3", "gnu", "gnu(?: general public license| gpl)(?: version)?(?: v)? 3(?: 0)?"),
-    ("gpl-2", "gnu", "gnu(?: general public license| gpl)(?: version)?(?: v)? 2(?: 0)?"), ("gpl", "gnu", "gnu (?:general public license|gpl)"), ("lgpl-3", "lgpl", "lgpl(?: version| v)?(?: 3| 3 0)?"),
-    ("lgpl-2.1", "lgpl", "lgpl(?: version| v)? 2 1"), ("lgpl", "gnu", "gnu (?:lesser|library) general public license"), ("agpl-3", "agpl", "agpl(?: version| v)?(?: 3| 3 0)?"),
+    ("gpl-3", "gpl", "gpl(?: version)?(?: v?3(?: 0)?)?"), ("gpl-3", "gplv3", "gplv3"), ("gpl-2", "gpl", "gpl(?: version)? v?2(?: 0)?"), ("gpl-2", "gplv2", "gplv2"), ("gpl-3", "gnu", "gnu(?: general public license| gpl)(?: version)? v?3(?: 0)?"),
+    ("gpl-2", "gnu", "gnu(?: general public license| gpl)(?: version)? v?2(?: 0)?"), ("gpl", "gnu", "gnu (?:general public license|gpl)"), ("lgpl-3", "lgpl", "lgpl(?: version)?(?: v?3(?: 0)?)?"),
+    ("lgpl-2.1", "lgpl", "lgpl(?: version)? v?2 1"), ("lgpl", "gnu", "gnu (?:lesser|library) general public license"), ("agpl-3", "agpl", "agpl(?: version)?(?: v?3(?: 0)?)?"),
     ("agpl-3", "gnu", "gnu affero general public license(?: version)?(?: 3)?"), ("bsd-2", "bsd", "(?:bsd 2 clause|simplified bsd|freebsd)"), ("bsd-3", "bsd", "(?:bsd 3 clause|new bsd|modified bsd|revised bsd)"),
     ("bsd", "bsd", "bsd"), ("isc", "isc", "isc"), ("mpl-2", "mozilla", "mozilla public license(?: version)? 2(?: 0)?"), ("mpl-1.1", "mozilla", "mozilla public license(?: version)? 1 1"), ("mpl-2", "mpl", "mpl(?: version)? 2(?: 0)?"),
-    ("epl-2", "eclipse", "eclipse public license(?: version| v)?(?: 2 0| 2)?"), ("unlicense", "unlicense", "unlicense"), ("zlib", "zlib", "zlib"), ("bsl-1", "boost", "boost software license(?: version)?(?: 1 0| 1)?"), ("artistic-2", "artistic", "artistic license(?: version)?(?: 2 0| 2)?"),
+    ("epl-2", "eclipse", "eclipse public license(?: version)?(?: v?2(?: 0)?)?"), ("unlicense", "unlicense", "unlicense"), ("zlib", "zlib", "zlib"), ("bsl-1", "boost", "boost software license(?: version)?(?: 1 0| 1)?"), ("artistic-2", "artistic", "artistic license(?: version)?(?: 2 0| 2)?"),
     ("eupl", "european", "european union public licence(?: version)?(?: 1 2| 1 1)?"), ("wtfpl", "wtfpl", "wtfpl"), ("cc0", "cc0", "cc0(?: 1 0)?"), ("cc0", "creative", "creative commons zero(?: 1 0)?"),
     ("cc-by-nc-nd", "cc", "cc by nc nd(?: 4 0| 3 0)?"), ("cc-by-nc-sa", "cc", "cc by nc sa(?: 4 0| 3 0)?"), ("cc-by-nc", "cc", "cc by nc(?: 4 0| 3 0)?"), ("cc-by-sa", "cc", "cc by sa(?: 4 0| 3 0)?"), ("cc-by-nd", "cc", "cc by nd(?: 4 0| 3 0)?"), ("cc-by", "cc", "cc by(?: 4 0| 3 0)?"),
     ("cc-by-nc", "creative", "creative commons attribution non ?commercial"), ("cc-by-sa", "creative", "creative commons attribution share ?alike"), ("cc-by", "creative", "creative commons attribution"),
