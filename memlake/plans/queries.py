@@ -415,7 +415,7 @@ def audit_counts(spark, sf_dir):
     return provenance.action_counts(table(spark, sf_dir, "events").select(F.element_at(names, (F.col("event_id") % 5 + 1).cast("int")).alias("action")))
 
 
-@query("""WITH a AS (SELECT epoch_ms(ts) AS at, CAST(event_id AS VARCHAR) AS id, event_type FROM events) SELECT at, id, event_type FROM a ORDER BY at DESC, id DESC LIMIT 50""")
+@query("""WITH a AS (SELECT epoch_us(ts) // 1000 AS "at", CAST(event_id AS VARCHAR) AS id, event_type FROM events) SELECT "at", id, event_type FROM a ORDER BY "at" DESC, id DESC LIMIT 50""")
 def audit_ring(spark, sf_dir):
     return provenance.ring(table(spark, sf_dir, "events").select(F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").cast("string").alias("id"), "event_type"), CFG)
 
