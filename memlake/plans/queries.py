@@ -507,7 +507,7 @@ def last_seq(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT 's-' || conv_id AS session, turn, role, coalesce(text, '') AS text FROM conversations WHERE role IN ('user', 'assistant')), g AS (SELECT *, coalesce(sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS t FROM c)
-SELECT session, t + 1 AS turn, count(CASE WHEN role = 'user' AND text <> '' THEN 1 END) AS n_messages FROM g GROUP BY 1, 2 HAVING count(CASE WHEN role = 'assistant' THEN 1 END) > 0""")
+SELECT session, CAST(t + 1 AS BIGINT) AS turn, count(CASE WHEN role = 'user' AND text <> '' THEN 1 END) AS n_messages FROM g GROUP BY 1, 2 HAVING count(CASE WHEN role = 'assistant' THEN 1 END) > 0""")
 def streaming_turns(spark, sf_dir):
     from memlake.plans.lineage import shared_folder
 

@@ -1,6 +1,6 @@
 """Streams of session events: turns closed by a marker, exact quotas and cooldowns, capture into a store.
 
-State is kept by session or key with a timeout, so that it doesn't grow with the stream.
+State is kept by session or key; queries that run on let idle state expire, so that it doesn't grow with the stream.
 """
 
 from __future__ import annotations
@@ -21,7 +21,16 @@ STALE_MS = 600_000
 TURN = "sessionId string, turn bigint, closed_seq bigint, closed_at bigint, text string, n_messages int"
 
 
-def _turns(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _timeout(expire: bool) -> str:
+    """Expiring state needs a query that runs on: with a trigger of availableNow Spark would wait for time-outs for ever."""
+    return GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout
+
+
+def _turns(expire: bool):
+    return lambda key, batches, state: _turn_step(key, batches, state, expire)
+
+
+def _turn_step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, expire: bool) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
         state.remove()
         return
@@ -39,16 +48,20 @@ def _turns(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
         elif row.user and row.text:
             texts.append(row.text)
     state.update((turn, closed_at, texts))
-    state.setTimeoutDuration(86_400_000)
+    if expire:
+        state.setTimeoutDuration(86_400_000)
     yield pd.DataFrame(out, columns=["sessionId", "turn", "closed_seq", "closed_at", "text", "n_messages"])
 
 
-def turns(events: DataFrame) -> DataFrame:
-    """A row for each turn that a `turn/end` closes, with the real user's texts since the one before."""
+def turns(events: DataFrame, expire: bool = False) -> DataFrame:
+    """A row for each turn that a `turn/end` closes, with the real user's texts since the one before.
+
+    expire: forget sessions that are idle for a day (only for queries that run on).
+    """
     m = message(F.col("data"))
     rows = events.withColumn("m", m).select("sessionId", "type", F.coalesce("seq", F.lit(-1)).alias("seq"), F.coalesce("time", F.lit(0)).alias("time"), F.coalesce("m.role", F.lit("user")).alias("role"), F.col("m.source").alias("source"), F.coalesce("m.text", F.lit("")).alias("text"))
     rows = rows.withColumn("user", (F.col("type") == "user/message") & real_user()).select("sessionId", "type", "seq", "time", "user", "text")
-    return rows.groupBy("sessionId").applyInPandasWithState(_turns, TURN, "turn bigint, closed_at bigint, texts array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("sessionId").applyInPandasWithState(_turns(expire), TURN, "turn bigint, closed_at bigint, texts array<string>", "append", _timeout(expire))
 
 
 def turn_candidates(closed: DataFrame, cfg: Config = DEFAULTS, signals: list[tuple] = SIGNALS) -> DataFrame:
@@ -71,7 +84,7 @@ def capture_into(store, closed: DataFrame, checkpoint: str, cfg: Config = DEFAUL
     return closed.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _quota(limit: int, window_ms: int, gap_ms: int):
+def _quota(limit: int, window_ms: int, gap_ms: int, expire: bool = False):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -90,15 +103,16 @@ def _quota(limit: int, window_ms: int, gap_ms: int):
         newest = max((int(t) for t in rows["at"]), default=0)
         last = {h: t for h, t in last.items() if t > newest - gap_ms}
         state.update((times, list(last), list(last.values())))
-        state.setTimeoutDuration(max(window_ms, gap_ms))
+        if expire:
+            state.setTimeoutDuration(max(window_ms, gap_ms))
         yield pd.DataFrame(out, columns=["key", "id", "hash", "at", "accepted", "reason"])
 
     return step
 
 
-def quotas(writes: DataFrame, per_hour: int = 20, hour_ms: int = 3_600_000, gap_ms: int = 86_400_000) -> DataFrame:
+def quotas(writes: DataFrame, per_hour: int = 20, hour_ms: int = 3_600_000, gap_ms: int = 86_400_000, expire: bool = False) -> DataFrame:
     """Which writes (key, id, hash, at) a key may do: so many accepted ones an hour, a fingerprint once in a day."""
-    return writes.select("key", "id", "hash", "at").groupBy("key").applyInPandasWithState(_quota(per_hour, hour_ms, gap_ms), "key string, id string, hash string, at bigint, accepted boolean, reason string", "times array<bigint>, hashes array<string>, seen array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return writes.select("key", "id", "hash", "at").groupBy("key").applyInPandasWithState(_quota(per_hour, hour_ms, gap_ms, expire), "key string, id string, hash string, at bigint, accepted boolean, reason string", "times array<bigint>, hashes array<string>, seen array<bigint>", "append", _timeout(expire))
 
 
 def batch_quotas(writes: DataFrame, per_hour: int = 20, hour_ms: int = 3_600_000, gap_ms: int = 86_400_000) -> DataFrame:
@@ -113,7 +127,7 @@ def batch_quotas(writes: DataFrame, per_hour: int = 20, hour_ms: int = 3_600_000
     return writes.select("key", "id", "hash", "at").groupBy("key").applyInPandas(fold, "key string, id string, hash string, at bigint, accepted boolean, reason string")
 
 
-def _cooldown(turns_apart: int):
+def _cooldown(turns_apart: int, expire: bool):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -125,15 +139,16 @@ def _cooldown(turns_apart: int):
             last = row.turn if ok else last
             out.append((key[0], key[1], int(row.turn), bool(ok)))
         state.update((int(last),))
-        state.setTimeoutDuration(7 * 86_400_000)
+        if expire:
+            state.setTimeoutDuration(7 * 86_400_000)
         yield pd.DataFrame(out, columns=["sessionId", "id", "turn", "inject"])
 
     return step
 
 
-def cooldown(hits: DataFrame, turns_apart: int = 3) -> DataFrame:
+def cooldown(hits: DataFrame, turns_apart: int = 3, expire: bool = False) -> DataFrame:
     """Whether each hit (sessionId, id, turn) may be shown: not within so many turns of the last time it was."""
-    return hits.select("sessionId", "id", "turn").groupBy("sessionId", "id").applyInPandasWithState(_cooldown(turns_apart), "sessionId string, id string, turn bigint, inject boolean", "last bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return hits.select("sessionId", "id", "turn").groupBy("sessionId", "id").applyInPandasWithState(_cooldown(turns_apart, expire), "sessionId string, id string, turn bigint, inject boolean", "last bigint", "append", _timeout(expire))
 
 
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "10 minutes", by: str = "event_type", ts: str = "ts") -> DataFrame:
