@@ -54,7 +54,7 @@ def converge(candidates: DataFrame, records: DataFrame, cfg: Config = DEFAULTS)
     return both.select("candidate_id", "action", F.when(hit, F.col("rid")).alias("target_id"), text.alias("text"), confidence.alias("confidence"), reason.alias("reason"), (F.col("action") == "supersede").alias("archive_target"))
 
 
-def history(records: DataFrame, max_rounds: int = 30) -> DataFrame:
+def history(records: DataFrame) -> DataFrame:
     """Chains of at least two revisions, oldest first: facet, subject, head, ids, latest; the newest chain first.
 
     A record's successor is what superseded it. Heads have no predecessor (in a pure ring the oldest is one). Every record finds
@@ -73,11 +73,13 @@ def history(records: DataFrame, max_rounds: int = 30) -> DataFrame:
     # least: the oldest record seen on the way up, which names a ring
     me = F.struct("observedAt", "id")
     state = state.select("id", "up", me.alias("least"), F.col("id").alias("top"))
-    for _ in range(max_rounds):
+    from memlake.plans.lineage import cut
+
+    edges = cut(spark, edges)
+    state = cut(spark, state)
+    for _ in range(edges.count().bit_length() + 1):  # a ring has no end, so the number of rounds ends it
         parent = state.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("least").alias("least2"), F.col("top").alias("top2"))
         state = state.join(parent, "up", "left").select("id", F.col("up2").alias("up"), F.least("least", "least2").alias("least"), F.coalesce("top2", "top").alias("top"), F.col("up").alias("was"))
-        from memlake.plans.lineage import cut
-
         state = cut(spark, state)
         if not state.where("was is not null and up is not null").take(1):
             break
