@@ -5,9 +5,10 @@ distributed value, and its logarithm to a small base, truncated to 16 bits, a re
 its parts' registers, and they agree for similar sets. Bands of registers propose pairs; a maximum-likelihood estimate of the
 similarity from how many registers are greater, smaller and equal sets unlikely ones aside; the rest is confirmed on full sets.
 
-Equal sets are one node. In a bucket of a band, documents are compared with one centre, never with each other: the centre's
-links join most of a large group. Rounds with other centres follow for buckets that still hold several components, and at
-last, where a bucket still does, every pair of its documents that no link joins is compared. Nothing is capped.
+Equal sets are one node. In a bucket of a band, documents are compared with one centre, never with each other: the centre is
+the document that shares buckets with most others, whose links join most of a large group. Documents of buckets that then still
+hold several components are joined exactly: by the rarest elements of their sets, as many as two linked sets must share one
+of, with a bound from the elements' places. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from memlake.llm.common import U64, Chunk, cut, mix, release, run_hashes, text_chunks, word_runs
+from memlake.llm.common import U64, Chunk, bound_batches, cut, mix, release, run_hashes, text_chunks, word_runs
 
 SHINGLE = 5
 #: Link at 100 * intersection >= PERCENT * union.
@@ -29,8 +30,8 @@ REGISTERS, BAND = 128, 4
 BASE, RATE, LARGEST = 1.001, 20.0, 65535
 #: How far the estimate may lie below the threshold; about five standard deviations.
 MARGIN = 0.2
-#: Rounds with one centre in a bucket before all pairs that are left.
-ROUNDS = 3
+#: Rounds with one centre in a bucket before the exact join of what is left.
+ROUNDS = 1
 
 _rng = np.random.default_rng(20240229)
 _FACTORS = (_rng.integers(1, 1 << 32, REGISTERS, dtype=np.uint64) | U64(1)).astype(np.uint32)
@@ -116,16 +117,16 @@ def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Those of the pairs (a, b, x, y with full sets x and y) that are linked: a, b."""
+    sketches: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
         good = np.zeros(batch.num_rows, dtype=bool)
-        sketches: dict[bytes, np.ndarray] = {}
         for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
             x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
             if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
                 continue
             two = []
             for s in (x, y):
-                name = s[:2].tobytes() + len(s).to_bytes(4, "little")
+                name = hash(s.tobytes()), len(s)  # pairs of one centre follow each other
                 if len(sketches) > 4096:
                     sketches.clear()
                 if name not in sketches:
@@ -139,6 +140,35 @@ def linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
 
+def elements_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(element, id, component, n): a row for each element of each set."""
+    for batch in batches:
+        sets = [np.frombuffer(own.as_buffer(), np.int64) for own in batch.column("elements")]
+        n = np.array([len(own) for own in sets], np.int64)
+        owner = pa.array(np.repeat(np.arange(len(n)), n))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *sets])), batch.column("id").take(owner), batch.column("component").take(owner), pa.array(np.repeat(n, n))], names=["element", "id", "component", "n"])
+
+
+def remaining_pairs(spark: SparkSession, left: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may be linked, of all rows of left (id, component, elements); none is missed.
+
+    Elements are put in one order for all sets, rare ones first; those of one set alone come before all others and needn't be
+    looked at. A linked pair's first common element lies so early in both that enough can follow.
+    """
+    rows = cut(spark, left.mapInArrow(elements_of, "element long, id long, component long, n long"))
+    shared = rows.groupBy("element").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("p"), F.max("component").alias("q")).where("df > 1")
+    met = rows.join(shared.select("element", "df", (F.col("p") < F.col("q")).alias("apart")), "element")
+    order = Window.partitionBy("id").orderBy("df", "element")
+    met = met.withColumn("place", F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("id")) + F.row_number().over(order) - 1)
+    # a linked set has percent/100 * n of the elements, so one of the first that are more than the others is common
+    rare = cut(spark, met.where(F.col("apart") & (100 * (F.col("n") - F.col("place")) >= percent * F.col("n"))).select("element", "id", "component", "n", "place"))
+    release(spark)
+    other = rare.select("element", *[F.col(c).alias(f"{c}2") for c in ("id", "component", "n", "place")])
+    enough = (100 + percent) * F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) >= percent * (F.col("n") + F.col("n2"))
+    fits = (F.col("id") < F.col("id2")) & (F.col("component") != F.col("component2")) & enough
+    return rare.alias("l").join(other.alias("r"), (F.col("l.element") == F.col("r.element")) & fits).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+
+
 def components(spark: SparkSession, edges: DataFrame, labels: DataFrame) -> DataFrame:
     """(id, component): the least id that edges (a, b) reach from the components of labels (id, component), which may be empty.
 
@@ -173,37 +203,36 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     one of them is linked with. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = cut(spark, docs.mapInArrow(sign, "doc_id long, n_shingles long, key binary, bands array<long>"))
     ranked = F.min(F.struct("doc_id", "n_shingles", "bands"))
     classes = cut(spark, signed.where("doc_id is not null and n_shingles > 0").groupBy("key").agg(ranked.alias("r")).select("key", F.col("r.doc_id").alias("id"), F.col("r.n_shingles").alias("n"), F.col("r.bands").alias("bands")))
     banded = classes.select("id", "n", F.posexplode("bands").alias("band", "bucket")).select("bucket", "id", "n")
-    shared = banded.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("bucket")
+    shared = banded.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("size")).where("least < most").select("bucket", "size")
     members = cut(spark, banded.join(shared, "bucket"))  # of buckets with several documents
+    fame = members.groupBy("id").agg(F.sum("size").alias("fame"))
+    members = cut(spark, members.join(fame, "id").select("bucket", "id", "n", "fame"))
     release(spark)
-    involved = members.select("id").distinct()
-    sets = docs.withColumnRenamed("doc_id", "id").join(involved, "id", "left_semi").mapInArrow(full_sets, "id long, elements binary")
+    sets = docs.withColumnRenamed("doc_id", "id").join(members.select("id").distinct(), "id", "left_semi").mapInArrow(full_sets, "id long, elements binary")
     sets = cut(spark, sets)
     release(spark)
     labels = spark.createDataFrame([], "id long, component long")
     tried = spark.createDataFrame([], "a long, b long")
     for step in range(ROUNDS + 1):
-        here = members.join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
-        several = here.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.min_by(F.struct("id", "n", "component"), F.xxhash64("id", F.lit(step)) if step else F.col("id")).alias("centre")).where("p < q")
+        here = members.join(labels, "id", "left").select("bucket", "id", "n", "fame", F.coalesce("component", "id").alias("component"))
+        best = F.max_by(F.struct("id", "n", "component"), F.struct(F.xxhash64("id") if step else F.col("fame"), -F.col("id")))
+        several = here.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q"), best.alias("centre")).where("p < q")
         if step < ROUNDS:
-            other = F.col("centre.id"), F.col("centre.n"), F.col("centre.component")
             pairs = here.join(several.select("bucket", "centre"), "bucket")
+            fits = (F.col("component") != F.col("centre.component")) & (100 * F.least("n", "centre.n") >= percent * F.greatest("n", "centre.n"))
+            pairs = pairs.where(fits).select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b")).distinct()
         else:
-            left = cut(spark, here.join(several.select("bucket"), "bucket", "left_semi"))
-            other = F.col("id2"), F.col("n2"), F.col("component2")
-            pairs = left.join(left.select("bucket", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("component2")), "bucket").where("id < id2")
-        fits = (F.col("component") != other[2]) & (100 * F.least("n", other[1]) >= percent * F.greatest("n", other[1]))
-        pairs = pairs.where(fits).select(F.least("id", other[0]).alias("a"), F.greatest("id", other[0]).alias("b")).distinct()
+            open_ = here.join(several.select("bucket"), "bucket", "left_semi").select("id", "component").distinct()
+            pairs = remaining_pairs(spark, cut(spark, open_.join(sets, "id")), percent)
         pairs = cut(spark, pairs.join(tried, ["a", "b"], "left_anti"))
         if not pairs.take(1):
-            if step < ROUNDS:
-                continue
-            break
+            continue
         tried = tried.unionByName(pairs)
         texts = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b")
         edges = cut(spark, texts.select("a", "b", "x", "y").mapInArrow(lambda t: linked(t, percent), "a long, b long"))
