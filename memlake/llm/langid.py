@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import held_out, text_chunks
+from memlake.llm.common import bound_batches, held_out, text_chunks
 
 #: Labelled documents that a model is fitted on at most: those whose ids come first by hash.
 FIT_ROWS = 3000
@@ -144,9 +144,11 @@ def predict_batches(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[
 
 
 def train(docs: DataFrame, fit_rows: int = FIT_ROWS, modulus: int = 4, remainder: int = 2) -> dict:
-    """Fit on at most `fit_rows` rows with a text and a language that aren't held out, chosen by a hash of their ids."""
+    """Fit on at most `fit_rows` documents with a text and a language that aren't held out, chosen by a hash of their ids."""
     rows = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("doc_id"), modulus, remainder))
-    some = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text").limit(fit_rows).toPandas()
+    # ids are chosen first, so that tasks send the texts of the chosen alone
+    ids = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    some = rows.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("doc_id", "r.*").orderBy("doc_id").toPandas()
     return fit(some["text"].tolist(), some["lang"].tolist())
 
 
@@ -156,5 +158,6 @@ def identify_language(docs: DataFrame, model: dict, modulus: int = 4, remainder:
     A text that is null or has no letter is `und` with score 0. A null doc_id stays null and is held out; repeated rows are
     judged each by itself; an empty table gives no rows; other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select("doc_id", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), "text")
     return rows.mapInArrow(lambda b: predict_batches(b, model), "doc_id long, held_out boolean, lang_pred string, score double")
