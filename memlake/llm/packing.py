@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from memlake.llm.common import cut, run_hashes, text_chunks
+from memlake.llm.common import bound_batches, cut, run_hashes, text_chunks
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -211,6 +211,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     pieces = docs.select("doc_id", "text").mapInArrow(lambda batches: pieces_of(batches, tokenizer_path, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
     pieces = cut(spark, pieces.withColumn("part", F.spark_partition_id()))
     here = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import held_out, run_hashes, text_chunks, word_runs
+from memlake.llm.common import bound_batches, held_out, run_hashes, text_chunks, word_runs
 from memlake.llm.toxicity import training_rows
 
 #: Labelled documents that a model is fitted on at most: those whose ids come first by hash.
@@ -120,5 +120,6 @@ def score_quality(docs: DataFrame, model: dict) -> DataFrame:
     A null or empty text has statistics of zero and is scored on them. A null doc_id stays null and is held out; repeated
     rows are scored each by itself; an empty table gives no rows; other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "text")
     return rows.mapInArrow(lambda b: score_batches(b, model), "doc_id long, held_out boolean, score double, predicted int")

@@ -27,15 +27,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import U64, Chunk, cut, mix, powers, release, shuffle_partitions, text_chunks
+from memlake.llm.common import U64, Chunk, bound_batches, cut, mix, powers, release, shuffle_partitions, text_chunks
 
 LENGTH = 50
 #: Bytes of the strings whose least hash is a window's anchor.
 GRAM = 24
 #: Bytes of text for which there is a bucket.
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 6 << 20
+#: Bytes of text that a task packs at once.
+PACK_BYTES = 6 << 20
 #: Segments that a task holds before it sends them on.
-HELD = 1_000_000
+HELD = 400_000
 #: Segments of one anchor beyond which its windows are dealt by their own hashes.
 SPLIT = 2_000
 
@@ -225,25 +227,37 @@ def joined_docs(blobs: list[bytes]) -> tuple[Columns, bytes, pa.Table | None]:
 
 
 def pack_docs(batches: Iterator[pa.RecordBatch], buckets: int, tagged: bool) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
-        ids = batch.column("doc_id")
-        null = ids.is_null().to_numpy(zero_copy_only=False)
-        value = ids.fill_null(0).to_numpy(zero_copy_only=False)
-        other = batch.select([n for n in batch.schema.names if n not in ("doc_id", "text")])
-        if not other.num_columns:
-            other = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows)], names=["none"])
-        for chunk in text_chunks(batch.column("text"), 16 << 20):
-            doc, tag, size = value[chunk.rows], tags(chunk, tagged), chunk.end - chunk.start
-            bucket = np.where(null[chunk.rows], (chunk.rows + chunk.data.size) % buckets, of_doc(doc, buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            raw, rows = chunk.data.tobytes(), []
-            for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-                text = b"".join([raw[a:b] for a, b in zip(chunk.start[part].tolist(), chunk.end[part].tolist(), strict=True)])
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, other.schema) as writer:
-                    writer.write_batch(other.take(pa.array(chunk.rows[part])))
-                rows.append((int(bucket[part[0]]), DOCS, to_blob(DOCS, {"doc": doc[part], "null": null[chunk.rows[part]].astype(np.uint8), "tag": tag[part], "size": size[part]}, text + sink.getvalue().to_pybytes())))
-            yield as_batch(rows)
+        held.append(batch)
+        size += batch.nbytes
+        if size >= PACK_BYTES:
+            yield from pack(pa.Table.from_batches(held).combine_chunks().to_batches()[0], buckets, tagged)
+            held, size = [], 0
+    if held and sum(b.num_rows for b in held):
+        yield from pack(pa.Table.from_batches(held).combine_chunks().to_batches()[0], buckets, tagged)
+
+
+def pack(batch: pa.RecordBatch, buckets: int, tagged: bool) -> Iterator[pa.RecordBatch]:
+    ids = batch.column("doc_id")
+    null = ids.is_null().to_numpy(zero_copy_only=False)
+    value = ids.fill_null(0).to_numpy(zero_copy_only=False)
+    other = batch.select([n for n in batch.schema.names if n not in ("doc_id", "text")])
+    if not other.num_columns:
+        other = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows)], names=["none"])
+    for chunk in text_chunks(batch.column("text"), PACK_BYTES):
+        doc, tag, size = value[chunk.rows], tags(chunk, tagged), chunk.end - chunk.start
+        bucket = np.where(null[chunk.rows], (chunk.rows + chunk.data.size) % buckets, of_doc(doc, buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        raw, rows = chunk.data.tobytes(), []
+        for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+            text = b"".join([raw[a:b] for a, b in zip(chunk.start[part].tolist(), chunk.end[part].tolist(), strict=True)])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, other.schema) as writer:
+                writer.write_batch(other.take(pa.array(chunk.rows[part])))
+            rows.append((int(bucket[part[0]]), DOCS, to_blob(DOCS, {"doc": doc[part], "null": null[chunk.rows[part]].astype(np.uint8), "tag": tag[part], "size": size[part]}, text + sink.getvalue().to_pybytes())))
+        yield as_batch(rows)
 
 
 def fetch_texts(docs: pa.Table, asked: pa.Table, buckets: int, length: int) -> pa.Table:
@@ -409,6 +423,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     if length < GRAM:
         raise ValueError(f"length must be at least {GRAM}")
     spark = docs.sparkSession
+    bound_batches(spark)
     made = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
     fields = [f for f in docs.schema.fields if f.name not in (*made, "text")]
     names = [f.name for f in fields]

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import RunHasher, held_out, text_chunks, word_runs
+from memlake.llm.common import RunHasher, bound_batches, held_out, text_chunks, word_runs
 
 #: Labelled documents that a model is fitted on at most: those whose ids come first by hash.
 FIT_ROWS = 8000
@@ -138,6 +138,7 @@ def score_toxicity(docs: DataFrame, model: dict) -> DataFrame:
 
     A null or empty text, or one without words, scores 0. Repeated rows score alike, each by itself.
     """
+    bound_batches(docs.sparkSession)
     clash = {"score", "worst_score", "worst_start", "worst_end"} & set(docs.columns)
     docs = docs.drop(*clash)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double, worst_score double, worst_start long, worst_end long"
