@@ -127,8 +127,12 @@ def block_text(lines: DataFrame, sections: list[tuple[tuple[str, ...], str, str
     parts = F.array_sort(F.collect_list(F.struct("section", "place", "line")))
     rows = lines.agg(parts.alias("rows"))
     blocks = []
+
+    def of(name: str) -> Column:
+        return F.transform(F.filter("rows", lambda r: r["section"] == name), lambda r: r["line"])
+
     for names, header, footer in sections:
-        own = F.concat(*[F.transform(F.filter("rows", lambda r, n=n: r["section"] == n), lambda r: r["line"]) for n in names])
+        own = F.concat(*map(of, names))
         text = F.concat_ws("\n", F.concat(F.array(F.lit(header)), own, F.array(F.lit(footer)) if footer else F.array().cast("array<string>")))
         blocks.append(F.when(F.size(own) > 0, text))
     return rows.select(F.concat_ws("\n\n", *blocks).alias("text"))
