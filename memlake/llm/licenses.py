@@ -1,18 +1,23 @@
 """License scan: ordered signature rules over the words of a text, with DataFrame operations only.
 
-A text becomes its words, each between spaces. A cheap gate (does a word that every notice has stand in it?) decides which
-texts go on; of those, each family of licenses whose keyword occurs gives its rules, ordered by priority. Every place where a
+A text becomes its words, each between spaces. Each family of rules gives its rules, ordered by priority, to the texts that
+have one of the family's words; these are derived from the patterns, so that every match has one. Every place where a
 rule's pattern matches is a detection, an interval of words. One that lies within a detection of the same or a better
 priority is suppressed; of equal intervals the first rule's stays. The base phrases are rules of their own that always stay.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Words of which every license notice has one.
+#: Words that most notices have, but not all ('released under GPLv3'). The SQL of the query tries no rule without
+#: one; the scan does, and only takes DOUBTFUL, which German prose has ('in', 'with'), for no notice where there is none.
 GATES = ["licen", " cc ", " spdx ", " copyleft ", " public  domain ", " rights  reserved "]
+DOUBTFUL = " in  mit "
 
 #: Fixed values: (phrase, label); all places count and the labels stay.
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
@@ -49,13 +54,53 @@ NOTICES = [
 PRIORITIES = 4
 
 
+def _named_rules() -> list[tuple[int, str, str, str, float, bool, str]]:
+    """(priority, keyword, pattern, label, weight, base, the name in the pattern)."""
+    plain = [(0, phrase.split()[2 if "mit" in phrase else 0], phrase, label, 0.95, True, phrase) for phrase, label in BASE]
+    named = [(priority, keyword, notice.format(name), label, weight, False, name) for priority, weight, notice in NOTICES for label, keyword, name in NAMES]
+    whole = [(PRIORITIES, keyword, name, label, 0.5, False, name) for label, keyword, name in NAMES if keyword in ("cc", "cc0", "creative", "unlicense", "wtfpl", "reserved", "domain")]
+    return [*plain, *named, *whole]
+
+
+def forms(pattern: str) -> set[str]:
+    """All texts that a pattern of literals, sets, groups of alternatives and `?` matches."""
+
+    def alternatives(at: int) -> tuple[set[str], int]:
+        out, now = set(), {""}
+        while at < len(pattern) and pattern[at] != ")":
+            if pattern[at] == "|":
+                out, now, at = out | now, {""}, at + 1
+                continue
+            if pattern.startswith("(?:", at):
+                part, at = alternatives(at + 3)
+            elif pattern[at] == "[":
+                end = pattern.index("]", at)
+                part, at = set(pattern[at + 1 : end]), end
+            else:
+                part = {pattern[at]}
+            at += 1
+            if pattern[at : at + 1] == "?":
+                part, at = part | {""}, at + 1
+            now = {a + b for a in now for b in part}
+        return out | now, at
+
+    return alternatives(0)[0]
+
+
+def required(keyword: str, name: str) -> tuple[str, ...]:
+    """Words of which each form of a name has one: the keyword, and of a form without it the longest word."""
+    return tuple(sorted({keyword if keyword in words else max(words, key=len) for words in map(str.split, forms(name))}))
+
+
+def families() -> list[tuple[str, ...]]:
+    """For each rule, in order, the words of which every match has one; rules with the same words are a family."""
+    return [required(keyword, name) for _, keyword, *_, name in _named_rules()]
+
+
 def rules() -> list[tuple[int, int, str, str, str, float, bool]]:
     """(rule, priority, keyword, pattern over words between double spaces, label, weight, base)."""
-    plain = [(0, phrase.split()[2 if "mit" in phrase else 0], phrase, label, 0.95, True) for phrase, label in BASE]
-    named = [(priority, keyword, notice.format(name), label, weight, False) for priority, weight, notice in NOTICES for label, keyword, name in NAMES]
-    whole = [(PRIORITIES, keyword, name, label, 0.5, False) for label, keyword, name in NAMES if keyword in ("cc", "cc0", "creative", "unlicense", "wtfpl", "reserved", "domain")]
     out = []
-    for i, (priority, keyword, pattern, label, weight, base) in enumerate([*plain, *named, *whole]):
+    for i, (priority, keyword, pattern, label, weight, base, _) in enumerate(_named_rules()):
         pattern = pattern.replace(" ?", "\0").replace(" ", "  ").replace("\0", "(?:  )?")
         out.append((i, priority, f" {keyword} ", f" {pattern} ", label, weight, base))
     return out
@@ -78,29 +123,29 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     stays null and repeated rows are scanned each by itself; an empty table gives no rows; other columns are ignored.
     """
     spark: SparkSession = docs.sparkSession
-    table = spark.createDataFrame(rules(), "rule int, priority int, keyword string, pattern string, label string, weight double, base boolean")
-    keywords = sorted({r[2] for r in rules()})
+    words = families()
+    held = [(r[0], r[1], "|".join(w), *r[3:]) for r, w in zip(rules(), words, strict=True)]
+    table = spark.createDataFrame(held, "rule int, priority int, keyword string, pattern string, label string, weight double, base boolean")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", _norm(F.col("text")).alias("raw"))
     # one space on either side of every word
     rows = rows.withColumn("norm", F.when(F.trim("raw") == "", "").otherwise(F.concat(F.lit(" "), F.trim("raw"), F.lit(" "))))
-    gate = F.lit(False)
-    for g in GATES:
-        gate = gate | F.contains("norm", F.lit(g))
-    rows = rows.select("row", "doc_id", "norm", (_spaces(F.col("norm")) / 2).cast("long").alias("n_words"), gate.alias("gated"))
-    found = F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(F.col("norm"), k))
-    rows = rows.select("row", "doc_id", "n_words", F.when(F.col("gated"), F.col("norm")).alias("norm"), F.when(F.col("gated"), found).otherwise(F.array().cast("array<string>")).alias("found"))
+    gated = reduce(or_, [F.contains("norm", F.lit(g)) for g in GATES])
+    rows = rows.select("row", "doc_id", "norm", (_spaces(F.col("norm")) / 2).cast("long").alias("n_words"))
+    any_of = lambda w: reduce(or_, [F.contains("norm", F.lit(f" {x} ")) for x in w])
+    found = F.array_compact(F.array(*[F.when(any_of(w), "|".join(w)) for w in sorted(set(words))]))
+    rows = rows.select("row", "doc_id", "n_words", "norm", found.alias("found"))
     # a row for each document, without a keyword, and one for each of its families
     rows = rows.select("row", "doc_id", "n_words", "norm", F.explode(F.concat(F.array(F.lit(None).cast("string")), "found")).alias("keyword"))
     tried = rows.join(F.broadcast(table), "keyword", "left").where(F.col("keyword").isNull() | F.col("rule").isNotNull())  # a fixed table of some hundreds of rules
     tried = tried.withColumn("match", F.when(F.col("rule").isNotNull(), F.regexp_extract_all("norm", F.col("pattern"), F.lit(0))))
     hit = F.size("match") > 0
     tried = tried.withColumn("before", F.when(hit, F.expr("split(norm, pattern)")))
-    spans = F.when(hit, F.transform(F.col("match"), lambda m, i: F.struct((_spaces(F.get(F.col("before"), i)) / 2).cast("long").alias("gap"), (_spaces(m) / 2).cast("long").alias("size"))))
+    spans = F.when(hit, F.transform(F.col("match"), lambda m, i: F.struct((_spaces(F.get(F.col("before"), i)) / 2).cast("long").alias("gap"), (_spaces(m) / 2).cast("long").alias("size"), ((m == DOUBTFUL) & ~gated).alias("doubtful"))))
     each = tried.select("row", "doc_id", "n_words", "rule", "priority", "label", "weight", "base", F.posexplode_outer(spans).alias("place", "span"))
     each = each.where(F.col("span").isNotNull() | F.col("rule").isNull()).repartition("row")
     upto = Window.partitionBy("row", "rule").orderBy("place")
     ended = F.sum(F.col("span.gap") + F.col("span.size")).over(upto)
-    each = each.withColumn("end", ended).withColumn("start", F.col("end") - F.col("span.size"))
+    each = each.withColumn("end", F.when(~F.col("span.doubtful"), ended)).withColumn("start", F.col("end") - F.col("span.size"))
     outer = Window.partitionBy("row").orderBy(F.col("start").asc_nulls_last(), F.col("end").desc(), "priority", "rule").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.lit(None)
     for p in range(PRIORITIES, -1, -1):

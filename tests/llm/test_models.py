@@ -142,6 +142,35 @@ def test_licenses(spark, odd):
     assert licenses.scan_licenses(odd).count() == len(ODD) and licenses.scan_licenses(odd.limit(0)).count() == 0
 
 
+def test_licenses_need_no_gate(spark):
+    def scan(text):
+        """Labels and number of detections by all rules, without any gate."""
+        norm = re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "  ", text.lower()).strip()
+        norm = f" {norm} "
+        spans = [(norm[: m.start()].count(" ") // 2, norm[: m.end()].count(" ") // 2, priority, rule, label, base) for rule, priority, _, pattern, label, _, base in licenses.rules() for m in re.finditer(pattern, norm)]
+        if not any(g in norm for g in licenses.GATES):
+            spans = [s for s in spans if norm.split()[s[0] : s[1]] != ["in", "mit"]]
+        spans.sort(key=lambda s: (s[0], -s[1], s[2], s[3]))
+        kept = [s for i, s in enumerate(spans) if s[5] or not any(o[2] <= s[2] and o[1] >= s[1] for o in spans[:i])]
+        return ",".join(sorted({s[4] for s in kept})), len(kept)
+
+    stated = [
+        ("released under GPLv3", "gpl-3"), ("distributed under the GNU GPL version 2", "gpl-2"), ("under the terms of Apache 2.0", "apache-2"), ("Creative Commons Attribution-ShareAlike 4.0", "cc-by-sa"), ("CC0 1.0", "cc0"),
+        ("WTFPL", "wtfpl"), ("GPL 3.0 only", "gpl-3"), ("released under FreeBSD", "bsd-2"), ("released under the Expat license", "mit"), ("released under apache2", "apache-2"),
+        ("sie kam in mit dem hund", ""), ("in mit a license", "mit"), ("released under MIT", "mit"),
+    ]
+    rng = random.Random(6)
+    names = sorted({f for _, _, name in licenses.NAMES for f in licenses.forms(name)})
+    around = sorted({w for *_, notice in licenses.NOTICES for f in licenses.forms(notice) for w in f.replace("{}", " ").split()})
+    mixed = [" ".join(f"{rng.choice(around)} {rng.choice(around)} {rng.choice(names)} {rng.choice(around)}" for _ in range(rng.randint(1, 3))) for _ in range(300)]
+    every = [f"released under the {n}" for n in names]
+    texts = [t for t, _ in stated] + mixed + every
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(df).collect()}
+    assert [got[i]["labels"] for i in range(len(stated))] == [label for _, label in stated]
+    assert [(got[i]["labels"], got[i]["n_detections"]) for i in range(len(texts))] == [scan(t) for t in texts]
+
+
 def test_pipeline_keeps_what_is_clean(spark, docs):
     import corpus_pipeline
 
