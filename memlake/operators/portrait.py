@@ -1,18 +1,77 @@
-"""The self portrait: how a new statement meets what is there, and the chains of its revisions."""
+"""The self portrait: how a new statement meets what is there, and the chains of its revisions.
+
+A statement's best match among the records of its facet and subject is found without a row for each pair: blocks of statements
+meet blocks of records, each with an index of its tokens, and give one record for a statement.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memlake.config import DEFAULTS, Config
-from memlake.functions.text import clamp_text, containment_of, js_trim, merged_text, normalize_facet, normalize_text, similarity_of, token_set
+from memlake.functions.text import clamp_text, js_trim, merged_text, normalize_facet, normalize_text, token_set
 from memlake.functions.vectors import clamp01
 from memlake.schema import user_side
 
 #: Subjects of names, which may be short.
 NAMING = ("self.persona.name", "self.persona.address_user", "self.persona.address_self")
 SHORTEST, SHORTEST_NAME = 8, 2
+#: Statements (short) and records (long) of a block, on average, and groups (facet and subject) up to which they are broadcast.
+ASKED_ROWS, HELD_ROWS, BROADCAST_GROUPS = 32_768, 4_096, 10_000
+
+
+def best_in_block(asked: pa.Table, held: pa.Table) -> pa.Table:
+    """The best record of a block for each statement of a block, all of one facet and subject.
+
+    asked: ask, digest, tokens; held: rid, digest, tokens, rpinned, rimportance, rconfidence. Equal texts come first, then those
+    whose tokens contain the other's, then by Jaccard similarity, and ties by pinned, importance, confidence and id.
+    """
+    schema = pa.schema([("ask", pa.string()), ("rid", pa.string()), ("same", pa.bool_()), ("contains", pa.bool_()), ("alike", pa.float64())])
+    if not asked.num_rows or not held.num_rows:
+        return schema.empty_table()
+    ranked = pc.sort_indices(held, sort_keys=[("rpinned", "descending"), ("rimportance", "descending"), ("rconfidence", "descending"), ("rid", "ascending")])
+    held = held.take(ranked).combine_chunks()
+    words = held["tokens"].combine_chunks()
+    sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    code = {w: i for i, w in enumerate(coded.dictionary.to_pylist())}
+    order = np.argsort(coded.indices.to_numpy(zero_copy_only=False), kind="stable")
+    owner = np.repeat(np.arange(held.num_rows), sizes)[order]
+    first = np.concatenate([[0], np.cumsum(np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(code)))]).astype(np.int64)
+    equal: dict[str | None, list[int]] = {}
+    for i, d in enumerate(held["digest"].to_pylist()):
+        if d is not None:
+            equal.setdefault(d, []).append(i)
+    out: tuple[list, list, list, list] = ([], [], [], [])
+    for digest, tokens in zip(asked["digest"].to_pylist(), asked["tokens"].to_pylist(), strict=True):
+        places = [owner[first[c] : first[c + 1]] for c in map(code.get, tokens) if c is not None]
+        both = np.bincount(np.concatenate(places), minlength=held.num_rows) if places else np.zeros(held.num_rows, np.int64)
+        alike = both / np.maximum(len(tokens) + sizes - both, 1)
+        contains = (both > 0) & (both >= np.minimum(len(tokens), sizes))
+        value = alike + 2.0 * contains
+        value[equal.get(digest, [])] += 4
+        i = int(np.argmax(value))  # the first of equal ones, which are in order
+        for column, x in zip(out, (i, i in equal.get(digest, []), bool(contains[i]), float(alike[i])), strict=True):
+            column.append(x)
+    return pa.Table.from_arrays([asked["ask"].combine_chunks(), held["rid"].take(pa.array(out[0])), pa.array(out[1]), pa.array(out[2]), pa.array(out[3])], schema=schema)
+
+
+def best_matches(asked: DataFrame, held: DataFrame, asked_rows: int = ASKED_ROWS, held_rows: int = HELD_ROWS) -> DataFrame:
+    """ask, rid, same, contains, alike: for each statement the best record of its group, in each block of records.
+
+    asked: ask, facet, key, digest, tokens; held: facet, key, rid, digest, tokens, rpinned, rimportance, rconfidence.
+    """
+    groups = asked.select("facet", "key").distinct()
+    held = held.join(F.broadcast(groups) if groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else groups, ["facet", "key"], "left_semi")
+    a, b = (max(1, -(-df.count() // n)) for df, n in ((asked, asked_rows), (held, held_rows)))
+    left = asked.select("facet", "key", F.pmod(F.xxhash64("ask"), F.lit(a)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("shard"), "ask", "digest", "tokens")
+    right = held.select("facet", "key", F.explode(F.sequence(F.lit(0), F.lit(a - 1))).alias("block"), F.pmod(F.xxhash64("rid"), F.lit(b)).cast("int").alias("shard"), "rid", "digest", "tokens", "rpinned", "rimportance", "rconfidence")
+    keys = ("facet", "key", "block", "shard")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best_in_block, "ask string, rid string, same boolean, contains boolean, alike double")
 
 
 def converge(candidates: DataFrame, records: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
@@ -29,10 +88,14 @@ def converge(candidates: DataFrame, records: DataFrame, cfg: Config = DEFAULTS)
         normalize_facet(F.coalesce("facet", F.lit("work"))).alias("facet"), normalize_text(F.coalesce("subject", F.lit(""))).alias("key"), F.col("id").alias("rid"), F.col("text").alias("rtext"),
         F.col("origin").alias("rorigin"), F.col("confidence").alias("rconfidence"), F.col("pinned").alias("rpinned"), F.col("importance").alias("rimportance"),
     ).where(F.col("key") != "")
-    both = c.join(r, ["facet", "key"], "left")
-    both = both.withColumn("same", F.coalesce(normalize_text(F.col("rtext")) == normalize_text(F.col("text")), F.lit(False)))
-    ta, tb = token_set(F.col("text")), token_set(F.coalesce("rtext", F.lit("")))
-    both = both.withColumn("ta", ta).withColumn("tb", tb).withColumn("contains", containment_of(F.col("ta"), F.col("tb")) >= 1).withColumn("alike", similarity_of(F.col("ta"), F.col("tb")))
+    digest = lambda text: F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+    none = F.array().cast("array<string>")
+    c = c.withColumn("ask", F.sha2(F.concat_ws("\0", "facet", "key", F.when(F.col("text").isNull(), "0").otherwise("1"), F.coalesce("text", F.lit(""))).cast("binary"), 256))
+    words = lambda text: F.coalesce(token_set(text), none)
+    asked = c.dropDuplicates(["ask"]).select("ask", "facet", "key", F.when(F.col("text").isNotNull(), digest(normalize_text(F.col("text")))).alias("digest"), words(F.col("text")).alias("tokens"))
+    held = r.select("facet", "key", "rid", F.when(F.col("rtext").isNotNull(), digest(normalize_text(F.col("rtext")))).alias("digest"), words(F.col("rtext")).alias("tokens"), "rpinned", "rimportance", "rconfidence")
+    both = c.join(best_matches(asked, held.where(F.col("rid").isNotNull())), "ask", "left").join(r, ["facet", "key", "rid"], "left")
+    both = both.withColumns({"same": F.coalesce("same", F.lit(False)), "contains": F.coalesce("contains", F.lit(False)), "alike": F.coalesce("alike", F.lit(0.0))})
     best = Window.partitionBy("candidate_id").orderBy(F.col("same").desc(), F.col("contains").desc(), F.col("alike").desc(), F.col("rpinned").desc(), F.col("rimportance").desc(), F.col("rconfidence").desc(), "rid")
     both = both.withColumn("place", F.row_number().over(best)).where("place = 1")
     short = F.col("size") < F.when(F.coalesce(F.col("subject").isin(*NAMING), F.lit(False)), SHORTEST_NAME).otherwise(SHORTEST)

@@ -481,7 +481,7 @@ def consolidate(spark, sf_dir):
 @query()
 def portrait_converge(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select(F.concat_ws("#", "conv_id", "turn").alias("candidate_id"), "text", F.lit("work").alias("facet"), F.lit("en").alias("subject"), F.lit("model_proposed").alias("origin"), F.lit(0.7).alias("confidence"))
-    return portrait.converge(c, records(spark, sf_dir).where(F.col("doc_id") < 60), CFG)
+    return portrait.converge(c, records(spark, sf_dir), CFG)
 
 
 @query()

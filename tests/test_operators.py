@@ -178,6 +178,36 @@ def test_portrait(spark, rows):
     assert got["3"]["confidence"] == pytest.approx(0.85) and got["4"]["archive_target"] and got["2"]["text"] == "speaks plainly and briefly"
 
 
+def test_portrait_meets_every_record(spark, rows, monkeypatch):
+    monkeypatch.setattr(portrait, "best_matches", lambda a, b, f=portrait.best_matches: f(a, b, 9, 7))
+    rng = random.Random(9)
+    words = "red green blue gold grey pink teal navy plum rust sand snow".split()
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    held = [dict(id=str(i), kind="agent_self", facet="work", subject=rng.choice(["en", "de"]), text=some(rng.randint(1, 6)), importance=rng.choice([0.2, 0.5]), confidence=rng.choice([0.6, 0.7]), pinned=rng.random() < 0.1) for i in range(80)]
+    said = [(str(i), some(rng.randint(2, 6)), "work", rng.choice(["en", "de", "fr"]), "user_explicit", 0.7) for i in range(60)] + [("null", None, "work", "en", "user_explicit", 0.7), ("none", "nothing here is shared", "work", "en", "user_explicit", 0.7)]
+    df = spark.createDataFrame(said, "candidate_id string, text string, facet string, subject string, origin string, confidence double")
+    got = {x["candidate_id"]: x for x in portrait.converge(df, rows(*held), CFG).collect()}
+    assert set(got) == {c[0] for c in said}
+    from memlake.functions.text import token_set
+
+    kept = {t: set(k) for t, k in spark.createDataFrame([(t,) for t in {h["text"] for h in held} | {c[1] for c in said if c[1]}], "t string").select("t", token_set(F.col("t"))).collect()}
+    for key, text, _, subject, *_ in said:
+        if text is None or subject == "fr" or len(text) < 8:
+            assert got[key]["action"] == ("add" if text and len(text) >= 8 else "skip")
+            continue
+        both = lambda h: len(kept[h["text"]] & kept[text])
+        least = lambda h: min(len(kept[h["text"]]), len(kept[text]))
+        best = min((h for h in held if h["subject"] == subject), key=lambda h: (h["text"] != text, both(h) < least(h), -both(h) / len(kept[h["text"]] | kept[text]), not h["pinned"], -h["importance"], -h["confidence"], h["id"]))
+        assert got[key]["target_id"] == best["id"]
+
+
+def test_portrait_query_reads_all_records(spark):
+    from memlake.plans.queries import QUERIES
+
+    out = QUERIES["portrait_converge"](spark, "/root/testdata/sf0.001")
+    assert out.where(F.col("target_id").cast("long") >= 60).count() > 0
+
+
 def test_history_tolerates_rings(rows):
     a = dict(kind="agent_self", facet="work", subject="s")
     r = rows(dict(a, id="1", text="x", observedAt=1, supersededBy="2"), dict(a, id="2", text="y", observedAt=2), dict(a, id="3", text="z", observedAt=3, supersedes=["2"]), dict(a, id="9", text="w", observedAt=9), dict(a, id="r1", subject="t", text="p", observedAt=5, supersededBy="r2"), dict(a, id="r2", subject="t", text="q", observedAt=6, supersededBy="r1"))
