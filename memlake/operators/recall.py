@@ -57,6 +57,12 @@ def composite(now: int) -> Column:
     return F.round(0.6 * F.col("relevance") + 0.3 * F.col("importance") + 0.1 * recency(now), 12)
 
 
+def without_tokens(queries: DataFrame, cfg: Config = DEFAULTS, mode: str = "query") -> DataFrame:
+    """(query_id, no_text, no_token) of the queries that have no token to look for but match everything."""
+    empty = queries.select("query_id", (normalize_text(F.coalesce("query", F.lit(""))) == "").alias("no_text"), (F.size(tokenize(F.coalesce("query", F.lit("")), cfg.search_stemming, cfg.search_bigram)) == 0).alias("no_token"))
+    return empty.where(F.col("no_text") | (F.col("no_token") & F.lit(mode != "memory")))
+
+
 def matches(records: DataFrame, queries: DataFrame, cfg: Config = DEFAULTS, mode: str = "query", min_hits: int | None = None) -> DataFrame:
     """Pairs that share a token: query_id, id, match (the gate's number), hits, relevance."""
     tokens = query_tokens(queries, cfg)
@@ -102,8 +108,7 @@ def recall(records: DataFrame, queries: DataFrame, now: int, cfg: Config = DEFAU
         found = found.join(filtered.select("id"), "id", "left_semi")
     scored = found.join(lean, "id").withColumn("score", composite(now))
     scored = scored.withColumn("score", F.when(F.col("match") == 0, 0.0).otherwise(F.col("score")))
-    empty = queries.select("query_id", (normalize_text(F.coalesce("query", F.lit(""))) == "").alias("no_text"), (F.size(tokenize(F.coalesce("query", F.lit("")), cfg.search_stemming, cfg.search_bigram)) == 0).alias("no_token"))
-    empty = empty.where(F.col("no_text") | (F.col("no_token") & F.lit(mode != "memory")))
+    empty = without_tokens(queries, cfg, mode)
     whole = filtered.select("id", "importance", "confidence", "pinned", "observedAt", "lastUsedAt")
     # one page of the pool by importance serves every query without a token; a query without text has no other order
     first = whole.orderBy(F.col("importance").desc(), F.col("pinned").desc(), F.col("confidence").desc(), "id").limit(k)
@@ -146,10 +151,14 @@ def semantic(pool: DataFrame, vectors: DataFrame, queries: DataFrame, query_vect
     bad = (F.size("q") != F.size("v")) | ~finite(F.col("q")) | ~finite(F.col("v"))
     scored = pairs.select("query_id", "id", F.greatest(F.lit(0.0), F.coalesce(cosine(F.col("q"), F.col("v")), F.lit(0.0))).alias("semantic"), bad.alias("bad"))
     broken = scored.groupBy("query_id").agg(F.max("bad").alias("broken"))
-    lexical = recall(pool, queries, now, cfg, "query", MOST, min_match=0.0).select("query_id", "id", F.col("score").alias("lexical"))
     good = scored.join(F.broadcast(broken.where("not broken")), "query_id", "left_semi")
     if mode == "hybrid":
-        good = good.join(lexical, ["query_id", "id"], "left").withColumn("score", blend(F.coalesce("lexical", F.lit(0.0)), F.col("semantic"), blend_weight(cfg)))
+        # the lexical score of every pair, not of a page of them: what is low there can be high in the blend
+        found = matches(pool, queries, cfg).join(own.select("id"), "id", "left_semi").select("query_id", "id", "match", "relevance")
+        lean = pool.select("id", "importance", "observedAt", "lastUsedAt")
+        good = good.join(found, ["query_id", "id"], "left").join(lean, "id").join(F.broadcast(without_tokens(queries, cfg)), "query_id", "left")  # the stated queries
+        lexical = F.when(F.col("no_text"), F.col("importance")).when(F.col("no_token"), 0.3 * F.col("importance") + 0.1 * recency(now)).when(F.col("match") > 0, composite(now)).otherwise(0.0)
+        good = good.withColumn("score", blend(lexical, F.col("semantic"), blend_weight(cfg)))
     else:
         good = good.withColumn("score", F.col("semantic"))
     fall = recall(pool, queries, now, cfg, "query", MOST).join(F.broadcast(broken.where("not broken")), "query_id", "left_anti")

@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from memlake.config import Config
+from memlake.config import Config, blend_weight
 from memlake.operators import capture, filters, govern, portrait, provenance, recall, render, replay
 from memlake.operators import write as writing
 from memlake.plans.tables import events, sessions
@@ -71,6 +71,24 @@ def test_semantic_falls_back_as_a_whole(spark, rows):
     assert [h["id"] for h in out] == ["a"] and out[0]["fallback"]
 
 
+def test_hybrid_blends_every_lexical_score(spark, rows):
+    # 60 records match better than z; z is far ahead by its vector
+    r = rows(*[dict(id=f"a{i:02}", kind="semantic", text="alpha beta gamma", importance=0.9) for i in range(60)], dict(id="z", kind="semantic", text="alpha beta gamma with some more words", importance=0.5), dict(id="y", kind="semantic", text="delta", importance=0.1))
+    q = spark.createDataFrame([(1, "alpha beta gamma"), (2, ""), (3, "é")], "query_id int, query string")
+    qv = spark.createDataFrame([(i, [1.0, 0.0]) for i in (1, 2, 3)], "query_id int, vector array<double>")
+    v = spark.createDataFrame([*((f"a{i:02}", [0.0, 1.0]) for i in range(60)), ("z", [1.0, 0.0]), ("y", [1.0, 0.0])], "id string, vector array<double>")
+    out = {(h["query_id"], h["id"]): h["score"] for h in recall.semantic(r, v, q, qv, NOW, CFG, "hybrid").collect()}
+    weight = blend_weight(CFG)
+    alone = recall.recall(r.where("id in ('z', 'y') or id < 'a40'"), q, NOW, CFG, "query", 50, min_match=0.0)
+    assert alone.where("id = 'z'").count() == 3
+    relevance = recall.matches(r, q).where("id = 'z' and query_id = 1").first()["relevance"]
+    age = recall.recency(NOW)
+    rec = r.where("id = 'z'").select(age.alias("x")).first()["x"]
+    assert out[1, "z"] == pytest.approx(weight + (1 - weight) * (0.6 * relevance + 0.3 * 0.5 + 0.1 * rec), abs=1e-9)
+    assert out[1, "y"] == pytest.approx(weight)
+    assert out[2, "z"] == pytest.approx(weight + (1 - weight) * 0.5) and out[3, "z"] == pytest.approx(weight + (1 - weight) * (0.15 + 0.1 * rec))
+
+
 def test_merge_groups_match_a_plain_loop(spark, rows):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(12)]
