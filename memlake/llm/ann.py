@@ -4,7 +4,8 @@ Vectors are dealt to shards by a hash of their ids, so that copies of one vector
 are one point of the tree. An extra coordinate makes all points of a shard equally long, so that the nearest point to a query
 on the sphere is the one of the largest inner product and the triangle inequality holds. A subtree is left out when the
 inequality puts all of it beyond `factor` times the distance of the k-th neighbour found so far; factor 1 makes the search
-exact, smaller factors prune more. Shards meet blocks of queries in tasks of bounded size, each giving k candidates for a
+exact, smaller factors prune more. Where more points than the list holds tie with its end (within rounding), all of them are
+taken, as only exact scores and ids tell which come first. Shards meet blocks of queries in tasks of bounded size, each giving k candidates for a
 query at most; the k best of them are the result, with scores computed from the original vectors in double precision.
 """
 
@@ -22,6 +23,8 @@ FACTOR = 1.0
 #: Rows of a shard and queries of a block, on average.
 SHARD_ROWS, QUERY_ROWS = 16_384, 4_096
 LEAF = 256
+#: Part of a point's length within which products tie, and of distances (square roots of such) that no pruning relies on.
+TIE, SLACK = 1e-9, 1e-7
 
 
 class Tree:
@@ -58,11 +61,20 @@ class Search:
         self.length = length  # of every point; the squared distance is 1 + length**2 - 2 * product
         self.best = np.full((len(queries), k), -np.inf)
         self.rows = np.full((len(queries), k), -1)
+        self.lost = np.full(len(queries), -np.inf)  # the best product that a list has dropped
         self.visited = 0
 
     def limit(self, q: np.ndarray) -> np.ndarray:
         """The distance beyond which no point of these queries' lists can be replaced."""
-        return np.sqrt(np.maximum(1 + self.length**2 - 2 * self.best[q, -1], 0)) * (1 + 1e-12) + 1e-12
+        least = self.best[q, -1] - TIE * self.length
+        return np.sqrt(np.maximum(1 + self.length**2 - 2 * least, 0)) + SLACK * np.sqrt(1 + self.length**2)
+
+    def tied(self, q: int) -> np.ndarray:
+        """The rows of a query's list, or all rows that reach its end within rounding where some were dropped."""
+        least = self.best[q, -1] - TIE * self.length
+        if self.lost[q] < least:
+            return self.rows[q][self.rows[q] >= 0]
+        return np.flatnonzero(self.tree.points @ self.queries[q] >= least)
 
     def visit(self, node: int, q: np.ndarray) -> None:
         if not len(q):
@@ -82,11 +94,16 @@ class Search:
         self.visited += len(rows) * len(q)
         product = self.queries[q] @ self.tree.points[rows].T
         k = self.best.shape[1]
-        hope = np.flatnonzero(product.max(axis=1) > self.best[q, -1])
+        most = product.max(axis=1)
+        better = most > self.best[q, -1]
+        self.lost[q[~better]] = np.maximum(self.lost[q[~better]], most[~better])
+        hope = np.flatnonzero(better)
         if len(hope):
             values = np.concatenate([self.best[q[hope]], product[hope]], axis=1)
             names = np.concatenate([self.rows[q[hope]], np.broadcast_to(rows, (len(hope), len(rows)))], axis=1)
-            top = np.argpartition(-values, k - 1, axis=1)[:, :k]
+            parted = np.argpartition(-values, (k - 1, k), axis=1)
+            self.lost[q[hope]] = np.maximum(self.lost[q[hope]], np.take_along_axis(values, parted[:, k : k + 1], 1)[:, 0])
+            top = parted[:, :k]
             values, names = np.take_along_axis(values, top, 1), np.take_along_axis(names, top, 1)
             order = np.argsort(-values, axis=1, kind="stable")
             self.best[q[hope]], self.rows[q[hope]] = np.take_along_axis(values, order, 1), np.take_along_axis(names, order, 1)
@@ -123,7 +140,7 @@ def search_shard(vectors: pa.Table, queries: pa.Table, k: int, factor: float) ->
         found.visit(found.tree.root, np.arange(a, min(a + 512, len(units))))
     out: tuple[list, list, list] = ([], [], [])
     for i in range(len(q)):
-        rows = found.rows[i][found.rows[i] >= 0]
+        rows = found.tied(i)
         member = np.concatenate([by[first[r] : last[r]] for r in rows.tolist()]) if len(rows) else np.empty(0, np.int64)
         member = member[ids[member] != q_ids[i]]
         score = np.zeros(len(member))

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +47,23 @@ def test_nearest_is_exact_at_factor_one(spark):
     assert ann.nearest(few.where("vec_id = 0").withColumnRenamed("vec_id", "query_id"), few).count() == 2
 
 
+@pytest.mark.parametrize("values", [(-1, 0, 1), (0, 1)])
+def test_ties_of_different_vectors_go_to_the_smaller_id(values):
+    rng = np.random.default_rng(5)
+    x = np.unique(rng.choice(values, size=(700, 6)).astype(float), axis=0)
+    x = x[(x != 0).any(axis=1)]
+    x = x[rng.permutation(len(x))]
+    ids = np.arange(len(x)) * 3
+    asked = np.flatnonzero(ids % 20 == 0)
+    vectors = pa.table({"vec_id": ids, "vector": x.tolist()})
+    out = ann.search_shard(vectors, pa.table({"query_id": ids[asked], "vector": x[asked].tolist()}), 20, 1.0).to_pandas()
+    for i in asked:
+        product = x @ x[i]
+        product[i] = -np.inf
+        want = ids[np.lexsort((ids, -product))[:20]].tolist()
+        assert out[out["query_id"] == ids[i]]["vec_id"].tolist() == want
+
+
 def test_relaxed_search_visits_less():
     rng = np.random.default_rng(3)
     x = np.repeat(rng.normal(size=(40, 6)) * 8, 100, axis=0) + rng.normal(size=(4000, 6))
