@@ -3,12 +3,15 @@
 Test items and texts are lower-cased (A-Z, À-Þ) with white space made single spaces. A test item that a text holds with at most e
 edits, cut into e + 1 pieces, has a piece in it unchanged. One Aho-Corasick pass finds all pieces of all items; around each
 hit Myers' bit-parallel algorithm gives the least edit distance of the whole item, and those within its budget are matches.
+Short items match exactly, where no word goes on beyond their ends.
 
 Items travel to the tasks in blocks of bounded size, a pass for each block.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -21,9 +24,12 @@ from memlake.llm.common import Chunk, text_chunks
 
 #: Edits allowed, in hundredths of an item's length.
 BUDGET_PERCENT = 6
-#: Bytes of items in a block, and bytes below which an item's length (normalised) is too short to tell.
+#: Bytes of items in a block, and bytes below which an item (normalised) has no edits and begins and ends with words.
 BLOCK_BYTES, SHORTEST = 8 << 20, 24
 
+#: Scripts that put no spaces between words, so that a word can begin and end anywhere.
+UNSPACED = re.compile("[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\U00020000-\U0003FFFF]")
+
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[32, *range(9, 14)]] = 32
@@ -46,6 +52,12 @@ def normal(data: np.ndarray) -> tuple[bytes, np.ndarray]:
     return folded[at].tobytes(), at
 
 
+def edge(text: bytes, at: int) -> bool:
+    """Whether no word goes on from before `at` to after it."""
+    before, after = text[max(0, at - 4) : at].decode("utf-8", "ignore")[-1:], text[at : at + 4].decode("utf-8", "ignore")[:1]
+    return not all(c and (c.isalnum() or c == "_" or unicodedata.category(c)[0] == "M") and not UNSPACED.match(c) for c in (before, after))
+
+
 class Item:
     __slots__ = ("budget", "item_id", "masks", "pattern", "reverse")
 
@@ -96,9 +108,9 @@ class Matcher:
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for item_id, text in items:
             pattern = normal(np.frombuffer((text or "").encode(), np.uint8))[0].strip()
-            if len(pattern) < SHORTEST:
+            if not pattern:
                 continue
-            budget = len(pattern) * budget_percent // 100
+            budget = len(pattern) * budget_percent // 100 if len(pattern) >= SHORTEST else 0
             edges = [len(pattern) * i // (budget + 1) for i in range(budget + 2)]
             for a, b in zip(edges, edges[1:], strict=False):
                 pieces[pattern[a:b].decode("latin-1")].append((len(self.items), a))
@@ -134,7 +146,12 @@ class Matcher:
         for (row, i), starts in hits.items():
             item = self.items[i]
             m, e, a, b = len(item.pattern), item.budget, int(begin[row]), int(stop[row])
-            exact = text.find(item.pattern, a, b)
+            if m < SHORTEST:  # its only piece is the whole item
+                exact = next((s for s in sorted(starts) if edge(text, s) and edge(text, s + m)), -1)
+                if exact < 0:
+                    continue
+            else:
+                exact = text.find(item.pattern, a, b)
             if exact >= 0:
                 best = (0, exact, exact + m)
             else:
@@ -202,7 +219,8 @@ def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, s
 def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = BUDGET_PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row for each document and test item that it holds within the budget: doc_id, item_id, distance, budget, start_byte, end_byte.
 
-    Null and empty texts hold nothing; items that are null, or shorter than SHORTEST bytes when normalised, match nothing. A
+    Null and empty texts hold nothing; items that are null or empty when normalised match nothing, and those shorter than
+    SHORTEST bytes match exactly, between words. A
     null doc_id stays null; repeated rows are matched each by itself, repeated items once; of equally near places the first
     counts. Empty tables give no rows; other columns are ignored.
     """

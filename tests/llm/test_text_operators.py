@@ -209,6 +209,17 @@ def test_leaks(spark):
     assert find_leaks(df, bench.unionByName(spark.createDataFrame([(13, noise(25))], bench.schema)), block_bytes=10).count() == len(got)
 
 
+def test_short_items_match_between_words(spark):
+    items = [(1, "Who is he?"), (2, "今天天气好"), (3, "кто это"), (4, "cat"), (5, "  "), (6, "exactly twenty bytes")]
+    docs = [(1, "so. WHO  is he? they said"), (2, "我说今天天气好不好"), (3, "и кто это был"), (4, "concatenate catalog tomcat"), (5, "concat, a cat."), (6, "никто это"), (7, "exactly twenty bytez"), (8, "exactly twenty bytes")]
+    df = spark.createDataFrame([(i, t, "en", 1) for i, t in docs], DOCS)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["distance"], r["budget"], r["start_byte"], r["end_byte"]) for r in find_leaks(df, bench).collect())
+    assert [g[:4] for g in got] == [(1, 1, 0, 0), (2, 2, 0, 0), (3, 3, 0, 0), (5, 4, 0, 0), (8, 6, 0, 0)]
+    assert got[0][4:] == (4, 15) and got[3][4:] == (10, 13)
+    assert sorted(r["doc_id"] for r in drop_leaks(df, bench).collect()) == [4, 6, 7]
+
+
 def test_every_edit_within_the_budget_is_found():
     rng = random.Random(8)
     pattern = "".join(rng.choice("abcdefghijklmnop ") for _ in range(120)).replace("  ", "xy").strip()
