@@ -1,12 +1,11 @@
 """Best-fit packing of tokenised documents into sequences of bounded length.
 
-Bulk-synchronous best-fit. Pieces are range-sorted by length (their rank within a length comes from per-partition counts
-and prefix sums, so no partition ever holds a whole length), open sequences by the gap they have left. Each superstep takes
-the longest lengths not yet placed and sweeps the sorted gaps for each length's successor, the smallest gap that holds it;
-where several pieces want one gap, the lower rank gets it and the rest go on to the next gap. Gaps are updated and the next
-superstep begins. Pieces of one length are interchangeable, so a sweep moves whole intervals of ranks: its state is bounded by
-the capacity (2048), not by the number of documents, and only the small interval table reaches the driver. Every piece then
-finds its interval by a join on its length.
+A plan on the driver in place of distributed sweeps: the executors count the pieces of each length, and only that histogram,
+of as many entries as the capacity (2048) at most, reaches the driver. There plan() goes through the lengths, longest first, as
+one sequential best-fit-decreasing loop: each length's pieces go to the smallest gap that holds them, then to the next. Pieces of
+one length are interchangeable, so the loop moves whole intervals of ranks and its result is an interval table. Ranks within a
+length come from per-partition counts and prefix sums, so no partition ever holds a whole length, and every piece finds its
+interval by a join on its length.
 """
 
 from __future__ import annotations
@@ -184,7 +183,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 
     for length in sorted((n for n in counts if n > 0), reverse=True):
         rank, left = 0, counts[length]
-        while left:  # a superstep's sweep: the successor among the gaps, and on to the next where it has been taken
+        while left:  # the successor among the gaps, and on to the next where it has been taken
             k = bisect_left(sizes, length)
             if k == len(sizes):
                 leave(capacity, sequences, -(-left // (capacity // length)))
