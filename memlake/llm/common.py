@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import gc
+import inspect
 import shutil
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes handled at once in a Python worker; a longer single document is handled alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _P = 0x9E3779B97F4A7C15 | 1  # base of the polynomial hashes, odd so that it has an inverse mod 2**64
 _PINV = pow(_P, -1, 1 << 64)
@@ -28,16 +31,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of a batch that goes to a Python worker: texts are long, and a batch is held on both sides.
-BATCH_ROWS = 500
+#: Bytes of a batch that goes to a Python worker: it is held on both sides, and texts are long.
+BATCH_BYTES = 2 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's rows in an Arrow batch to BATCH_ROWS, unless they are fewer already."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    rows = int(spark.conf.get(name))
-    if rows <= 0 or rows > BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Lower the session's bytes in an Arrow batch to BATCH_BYTES, unless they are fewer already; its rows stay as they are.
+
+    A DataFrame reads the setting when it runs, so it can't be put back before; it bounds memory and changes no result.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(str(spark.conf.get(name))))
+    if held <= 0 or held > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def trim() -> None:
+    """Give memory that a worker has freed back to the system: workers are used again and would keep the most that any task took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(f: Callable) -> Callable:
+    """Of a function from batches to batches, or from groups to a table: trim at the end."""
+
+    @functools.wraps(f)
+    def batches(*args, **options):
+        try:
+            yield from f(*args, **options)
+        finally:
+            trim()
+
+    @functools.wraps(f)
+    def group(*args, **options):
+        try:
+            return f(*args, **options)
+        finally:
+            trim()
+
+    return batches if inspect.isgeneratorfunction(f) else group
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -83,14 +118,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**i and P**-i mod 2**64 for i < n."""
-    if not _powers or len(_powers["p"]) < n:
-        m = max(n, 2 * CHUNK_BYTES)
+    """P**i and P**-i mod 2**64 for i < n; a worker keeps those that chunks of usual size need."""
+    have = _powers if _powers and len(_powers["p"]) >= n else {}
+    if not have:
+        m = max(n, CHUNK_BYTES + CHUNK_BYTES // 8)
         for key, base in (("p", _P), ("q", _PINV)):
             out = np.full(m, base, dtype=U64)
             out[0] = 1
-            _powers[key] = np.multiply.accumulate(out)
-    return _powers["p"][:n], _powers["q"][:n]
+            have[key] = np.multiply.accumulate(out)
+        if m <= 2 * CHUNK_BYTES:
+            _powers.update(have)
+    return have["p"][:n], have["q"][:n]
 
 
 _BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))

@@ -1,5 +1,6 @@
 """Deduplication, decontamination and packing against brute force, with nulls, empty and long texts, ties and repeated rows."""
 
+import bisect
 import hashlib
 import random
 import re
@@ -11,11 +12,12 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from memlake.llm.common import text_chunks
 from memlake.llm.decontaminate import Matcher, drop_leaks, find_leaks, masks, myers
 from memlake.llm.neardup import estimate, merge, near_duplicates, registers, remaining_pairs, shingle_sets
-from memlake.llm.packing import pack, plan
+from memlake.llm.packing import brackets, fill, needed, pack, place_all
 from memlake.llm.queries import tokenizer_path
 from memlake.llm.suffixdedup import longest_previous, remove_repeats
 
@@ -236,21 +238,90 @@ def test_every_edit_within_the_budget_is_found():
         assert found and found[0][2] <= budget
 
 
-@given(st.dictionaries(st.integers(1, 64), st.integers(1, 9), min_size=1, max_size=20))
+def best_fit_decreasing(lengths: list[int], capacity: int) -> int:
+    gaps: list[int] = []  # in order
+    for n in sorted(lengths, reverse=True):
+        k = bisect.bisect_left(gaps, n)
+        gap = gaps.pop(k) if k < len(gaps) else capacity
+        bisect.insort(gaps, gap - n)
+    return len(gaps)
+
+
+def mixed_lengths(rng, kind):
+    if kind == "one length":
+        return [500] * 5
+    if kind == "hot":  # a third of the pieces has one length, a third another, and some fill a sequence
+        return [1] * 900 + [700] * 900 + [rng.randint(1, 2048) for _ in range(900)] + [2048] * 20
+    if kind == "halves":
+        return [1025] * 300 + [rng.randint(1, 1100) for _ in range(200)]
+    if kind == "small":
+        return [rng.randint(1, 40) for _ in range(3000)]
+    return [min(2048, int(rng.expovariate(1 / 400)) + 1) for _ in range(2500)]
+
+
+@pytest.mark.parametrize(("kind", "sweep_rows"), [("one length", 100), ("hot", 150), ("halves", 60), ("small", 400), ("mixed", 200), ("mixed", 100_000)])
+def test_rounds_place_all_about_as_best_fit_does(spark, kind, sweep_rows):
+    lengths = mixed_lengths(random.Random(7), kind)
+    rows = spark.createDataFrame(list(enumerate(lengths)), "pid long, length long")
+    got = place_all(spark, rows, 2048, sweep_rows).collect()
+    assert sorted(r["pid"] for r in got) == list(range(len(lengths)))
+    by = defaultdict(list)
+    for r in got:
+        by[r["sequence_id"]].append((r["offset"], lengths[r["pid"]]))
+    for spans in by.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(by) <= 1.01 * best_fit_decreasing(lengths, 2048) + 1
+    if kind == "one length":
+        assert sorted(len(spans) for spans in by.values()) == [1, 4]
+
+
+@given(st.lists(st.integers(1, 30), max_size=20), st.lists(st.integers(1, 60), max_size=6))
 @settings(max_examples=80, deadline=None)
-def test_plan_places_all(counts):
-    used = defaultdict(int)
-    placed = Counter()
-    for length, first, number, sequence, offset in plan(counts, 64):
+def test_a_gap_takes_the_longest_that_fit(sizes, gaps):
+    sizes.sort()
+    below, left = list(range(len(sizes) + 1)), set(range(len(sizes)))
+    for gap in gaps:
+        want, room = [], gap
+        while fits := [i for i in left if sizes[i] <= room]:
+            i = max(fits)
+            want.append(i)
+            left.remove(i)
+            room -= sizes[i]
+        assert fill(gap, sizes, below) == want
+
+
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 5)), min_size=1, max_size=8))
+@settings(max_examples=80, deadline=None)
+def test_runs_match_like_brackets(parts):
+    runs = {}
+    for p, (gaps, pieces) in enumerate(parts):
+        if gaps:
+            runs[p, 1] = (gaps, 10 * p + 1, 10 * p + 2)
+        if pieces:
+            runs[p, 0] = (pieces, 10 * p + 3, 10 * p + 4)
+    used, held = Counter(), Counter()
+    for part, first, number, gap_part, gap_first, each in brackets(runs):
+        assert part < gap_part and 0 <= first and first + number <= runs[part, 0][0] and number > 0
+        assert each * runs[part, 0][2] <= runs[gap_part, 1][1]
         for k in range(number):
-            assert used[sequence + k] == offset
-            used[sequence + k] += length
-        assert placed[length] == first
-        placed[length] += number
-    assert dict(placed) == counts and max(used.values()) <= 64
-    total = sum(k * v for k, v in counts.items())
-    assert len(used) <= 11 * (total / 64 + sum(v for k, v in counts.items() if k > 32)) / 9 + 1
-    assert sorted(used) == list(range(len(used)))
+            used[part, first + k] += 1
+            held[gap_part, gap_first + k // each] += 1
+    assert not used or max(used.values()) == 1
+    assert all(g < runs[p, 1][0] for p, g in held)
+
+
+def test_needed():
+    assert needed({500: 5}, 2048) == 2 and needed({1025: 7}, 2048) == 7 and needed({1: 5000}, 2048) == 3 and needed({700: 5, 10: 1}, 2048) == 3
+
+
+def test_many_seeds_are_drawn_by_hash(spark, monkeypatch):
+    monkeypatch.setattr("memlake.llm.packing.EXACT_SEEDS", 10)
+    got = place_all(spark, spark.range(400).select(F.col("id").alias("pid"), F.lit(900).cast("long").alias("length")), 2048, 100)
+    assert got.count() == 400 and got.select("sequence_id").distinct().count() <= 215
 
 
 def test_packing(spark):
