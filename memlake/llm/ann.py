@@ -1,34 +1,46 @@
 """Nearest neighbours by largest inner product: a vantage-point tree in each shard.
 
 Vectors are dealt to shards by a hash of their ids, so that copies of one vector spread evenly; within a shard, equal vectors
-are one point of the tree. An extra coordinate makes all points of a shard equally long, so that the nearest point to a query
-on the sphere is the one of the largest inner product and the triangle inequality holds. A subtree is left out when the
-inequality puts all of it beyond `factor` times the distance of the k-th neighbour found so far; factor 1 makes the search
-exact, smaller factors prune more. Where more points than the list holds tie with its end (within rounding), all of them are
-taken, as only exact scores and ids tell which come first. Shards meet blocks of queries in tasks of bounded size, each giving k candidates for a
-query at most; the k best of them are the result, with scores computed from the original vectors in double precision.
+are one point of the tree. An extra coordinate puts all points of a shard on one sphere, where the largest inner product is the
+smallest angle to the query, and angles keep the triangle inequality. A node's vantage point is the one, of some, that sees its
+points under the most different angles; each part of them has the interval of its angles. A part is left out when the
+inequality puts all of it beyond `factor` times the angle of the k-th neighbour found so far; factor 1 makes the search exact,
+smaller factors prune more. Where more points than the list holds tie with its end (within rounding), all of them are taken, as
+only exact scores and ids tell which come first.
+
+A shard's vectors and all queries meet in one task, vectors first: the tree is built once, and the queries stream through it. Each
+query gets k candidates of a shard at most; the k best of them are the result, with scores computed from the original vectors in
+double precision.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.llm.common import bound_batches, lean, shuffle_partitions
 
 K = 20
 FACTOR = 1.0
-#: Rows of a shard and queries of a block, on average.
-SHARD_ROWS, QUERY_ROWS = 16_384, 4_096
-LEAF = 256
-#: Part of a point's length within which products tie, and of distances (square roots of such) that no pruning relies on.
+#: Vectors of a shard: the least, and the most that a task holds.
+SHARD_ROWS, MOST_ROWS = 8_192, 65_536
+LEAF = 128
+#: Points that are tried as a node's vantage point, and points that they are tried on.
+TRIED, SEEN = 8, 256
+#: Part of a product within which products tie, and of angles that no pruning relies on.
 TIE, SLACK = 1e-9, 1e-7
 
 
+def angles(cosines: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosines, -1, 1))
+
+
 class Tree:
-    """A vantage-point tree over rows of equal length; `nodes`: (vantage row, radius, inside, outside) or a leaf's rows."""
+    """A vantage-point tree over unit vectors; `nodes`: (vantage row, [(least angle, largest angle, node), ...]) or a leaf's rows."""
 
     def __init__(self, points: np.ndarray):
         self.points = points
@@ -36,59 +48,57 @@ class Tree:
         self.root = self._build(np.arange(len(points)))
 
     def _build(self, rows: np.ndarray) -> int:
-        if len(rows) <= LEAF:
-            self.nodes.append((rows,))
-            return len(self.nodes) - 1
-        # the row farthest from the first one lies at the edge, which makes a good vantage point
-        some = rows[:: max(1, len(rows) // 64)]
-        vantage = some[np.argmin(self.points[some] @ self.points[rows[0]])]
-        far = np.sqrt(np.maximum(((self.points[rows] - self.points[vantage]) ** 2).sum(axis=1), 0))
-        radius = float(np.median(far))
-        inside = far <= radius
-        if inside.all():
-            self.nodes.append((rows,))
-            return len(self.nodes) - 1
-        a, b = self._build(rows[inside]), self._build(rows[~inside])
-        self.nodes.append((vantage, radius, a, b))
-        return len(self.nodes) - 1
+        at = len(self.nodes)
+        self.nodes.append((rows,))
+        if len(rows) > LEAF:
+            tried, seen = rows[:: -(-len(rows) // TRIED)], rows[:: -(-len(rows) // SEEN)]
+            vantage = tried[angles(self.points[tried] @ self.points[seen].T).std(axis=1).argmax()]
+            angle = angles(self.points[rows] @ self.points[vantage])
+            near = angle <= np.median(angle)
+            if not near.all():  # else all are as far away: a leaf
+                parts = [(angle[part].min(), angle[part].max(), self._build(rows[part])) for part in (near, ~near)]
+                self.nodes[at] = (vantage, parts)
+        return at
 
 
 class Search:
-    """The best k points for each of a block of queries (unit vectors with a last coordinate of zero)."""
+    """The best k points for each of a block of queries (unit vectors)."""
 
-    def __init__(self, tree: Tree, queries: np.ndarray, k: int, factor: float, length: float):
+    def __init__(self, tree: Tree, queries: np.ndarray, k: int, factor: float):
         self.tree, self.queries, self.factor = tree, queries, factor
-        self.length = length  # of every point; the squared distance is 1 + length**2 - 2 * product
-        self.best = np.full((len(queries), k), -np.inf)
+        self.best = np.full((len(queries), k), -np.inf)  # cosines, in order
         self.rows = np.full((len(queries), k), -1)
-        self.lost = np.full(len(queries), -np.inf)  # the best product that a list has dropped
+        self.lost = np.full(len(queries), -np.inf)  # the best cosine that a list has dropped
         self.visited = 0
 
-    def limit(self, q: np.ndarray) -> np.ndarray:
-        """The distance beyond which no point of these queries' lists can be replaced."""
-        least = self.best[q, -1] - TIE * self.length
-        return np.sqrt(np.maximum(1 + self.length**2 - 2 * least, 0)) + SLACK * np.sqrt(1 + self.length**2)
+    def run(self) -> Search:
+        self.visit(self.tree.root, np.arange(len(self.queries)), np.zeros(len(self.queries)))
+        return self
 
     def tied(self, q: int) -> np.ndarray:
         """The rows of a query's list, or all rows that reach its end within rounding where some were dropped."""
-        least = self.best[q, -1] - TIE * self.length
+        least = self.best[q, -1] - TIE
         if self.lost[q] < least:
             return self.rows[q][self.rows[q] >= 0]
         return np.flatnonzero(self.tree.points @ self.queries[q] >= least)
 
-    def visit(self, node: int, q: np.ndarray) -> None:
+    def visit(self, at: int, q: np.ndarray, bound: np.ndarray) -> None:
+        """A node for some queries, none of whose points is at a smaller angle than the bound."""
+        q = q[bound <= self.factor * (angles(np.maximum(self.best[q, -1] - TIE, -1)) + SLACK)]
         if not len(q):
             return
-        node = self.tree.nodes[node]
+        node = self.tree.nodes[at]
         if len(node) == 1:
             self._leaf(node[0], q)
             return
-        vantage, radius, inside, outside = node
-        far = np.sqrt(np.maximum(1 + self.length**2 - 2 * (self.queries[q] @ self.tree.points[vantage]), 0))
-        near_in = far <= radius
-        for first, then, own, bound in ((inside, outside, q[near_in], radius - far[near_in]), (outside, inside, q[~near_in], far[~near_in] - radius)):
-            self.visit(first, own)
-            self.visit(then, own[bound <= self.factor * self.limit(own)])
+        vantage, parts = node
+        angle = angles(self.queries[q] @ self.tree.points[vantage])
+        bounds = [np.maximum(np.maximum(low - angle, angle - high), 0) for low, high, _ in parts]
+        first = bounds[0] <= bounds[1]  # each query goes where it may be nearer, then to the other part
+        for turn in (0, 1):
+            for (_, _, child), bound, mine in zip(parts, bounds, (first, ~first), strict=True):
+                mine = mine if turn == 0 else ~mine
+                self.visit(child, q[mine], bound[mine])
 
     def _leaf(self, rows: np.ndarray, q: np.ndarray) -> None:
         self.visited += len(rows) * len(q)
@@ -115,42 +125,65 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def search_shard(vectors: pa.Table, queries: pa.Table, k: int, factor: float) -> pa.Table:
-    """The k best vectors of a shard for each query of a block: query_id, vec_id, score."""
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-    if not vectors.num_rows or not queries.num_rows:
-        return schema.empty_table()
-    x, ids = matrix(vectors["vector"]), vectors["vec_id"].to_numpy()
-    q, q_ids = matrix(queries["vector"]), queries["query_id"].to_numpy()
-    order = np.argsort(ids, kind="stable")
-    x, ids = x[order], ids[order]
-    distinct, owner = np.unique(x, axis=0, return_inverse=True)
-    owner = owner.reshape(-1)
-    # the smallest ids of each distinct vector: one more than can be asked for, as a query leaves itself out
-    by = np.argsort(owner, kind="stable")
-    place = np.arange(len(by)) - np.searchsorted(owner[by], owner[by])
-    by = by[place <= k]
-    first, last = np.searchsorted(owner[by], np.arange(len(distinct))), np.searchsorted(owner[by], np.arange(len(distinct)), side="right")
-    norm2 = (distinct**2).sum(axis=1)
-    length2 = float(norm2.max())
-    points = np.column_stack([distinct, np.sqrt(np.maximum(length2 - norm2, 0))])
-    units = np.column_stack([q / np.sqrt((q**2).sum(axis=1))[:, None], np.zeros(len(q))])
-    found = Search(Tree(points), units, min(k + 1, len(points)), factor, np.sqrt(length2))
-    for a in range(0, len(units), 512):
-        found.visit(found.tree.root, np.arange(a, min(a + 512, len(units))))
-    out: tuple[list, list, list] = ([], [], [])
-    for i in range(len(q)):
-        rows = found.tied(i)
-        member = np.concatenate([by[first[r] : last[r]] for r in rows.tolist()]) if len(rows) else np.empty(0, np.int64)
-        member = member[ids[member] != q_ids[i]]
-        score = np.zeros(len(member))
-        for j in range(x.shape[1]):  # in order of the components, so that the sum is the same everywhere
-            score += x[member, j] * q[i, j]
-        top = np.lexsort((ids[member], -score))[:k]
-        out[0].append(np.full(len(top), q_ids[i]))
-        out[1].append(ids[member][top])
-        out[2].append(score[top])
-    return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in out], schema=schema)
+class Shard:
+    """The vectors of a shard, all of one length, and their tree; of rows that repeat an id the least vector counts."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
+        order = np.lexsort((*x.T[::-1], ids))
+        x, ids = x[order], ids[order]
+        fresh = np.append(True, ids[1:] != ids[:-1])
+        self.x, self.ids, self.k = x[fresh], ids[fresh], k
+        distinct, owner = np.unique(self.x, axis=0, return_inverse=True)
+        owner = owner.reshape(-1)
+        # the smallest ids of each distinct vector: one more than can be asked for, as a query leaves itself out
+        by = np.argsort(owner, kind="stable")
+        place = np.arange(len(by)) - np.searchsorted(owner[by], owner[by])
+        self.by = by[place <= k]
+        self.first, self.last = (np.searchsorted(owner[self.by], np.arange(len(distinct)), side=s) for s in ("left", "right"))
+        norm2 = (distinct**2).sum(axis=1)
+        length2 = float(norm2.max())
+        self.tree = Tree(np.column_stack([distinct, np.sqrt(np.maximum(length2 - norm2, 0))]) / np.sqrt(length2))
+
+    def search(self, q_ids: np.ndarray, q: np.ndarray, factor: float) -> list[np.ndarray]:
+        """query_id, vec_id and score of the k best vectors for each query."""
+        out: tuple[list, list, list] = ([np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)])
+        for a in range(0, len(q), 512):
+            own, names = q[a : a + 512], q_ids[a : a + 512]
+            units = np.column_stack([own / np.sqrt((own**2).sum(axis=1))[:, None], np.zeros(len(own))])
+            found = Search(self.tree, units, min(self.k + 1, len(self.tree.points)), factor).run()
+            for i in range(len(own)):
+                rows = found.tied(i)
+                member = np.concatenate([np.empty(0, np.int64), *(self.by[self.first[r] : self.last[r]] for r in rows.tolist())])
+                member = member[self.ids[member] != names[i]]
+                score = np.zeros(len(member))
+                for j in range(q.shape[1]):  # in order of the components, so that the sum is the same everywhere
+                    score += self.x[member, j] * own[i, j]
+                top = np.lexsort((self.ids[member], -score))[: self.k]
+                for column, x in zip(out, (np.full(len(top), names[i]), self.ids[member][top], score[top]), strict=True):
+                    column.append(x)
+        return [np.concatenate(c) for c in out]
+
+
+@lean
+def search_shards(batches: Iterator[pa.RecordBatch], k: int, factor: float) -> Iterator[pa.RecordBatch]:
+    """Rows (size, shard, query, id, vector) in that order, a shard's vectors before its queries: query_id, vec_id, score."""
+    key, held, shard = None, [], None
+    for batch in batches:
+        names = np.stack([batch.column(c).to_numpy() for c in ("size", "shard", "query")])
+        edges = np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0)) + 1
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+            if a == b:
+                continue
+            if key != (now := (names[0, a], names[1, a])):
+                key, held, shard = now, [], None
+            ids, x = batch.column("id").slice(a, b - a).to_numpy(), matrix(batch.column("vector").slice(a, b - a))
+            if not names[2, a]:
+                held.append((ids, x))
+                continue
+            if held:
+                shard, held = Shard(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), k), []
+            if shard is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in shard.search(ids, x, factor)], names=["query_id", "vec_id", "score"])
 
 
 def usable(vector: Column) -> Column:
@@ -159,23 +192,27 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = K, factor: float = FACTOR, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = K, factor: float = FACTOR, shard_rows: int | None = None) -> DataFrame:
     """The k vectors of the largest inner product with each query: query_id, rank, vec_id, score.
 
-    queries: query_id, vector; vectors: vec_id, vector (arrays of one length). Null ids and vectors that are null, zero or hold
-    a null, NaN or infinite component take no part; a query's own id is no candidate of it; ties go to the smaller vec_id and
-    repeated ids count once each. Empty tables give no rows.
+    queries: query_id, vector; vectors: vec_id, vector. Null ids and vectors that are null, zero or hold a null, NaN or infinite
+    component take no part, and a query meets vectors of its own length alone. A query's own id is no candidate of it; ties go to
+    the smaller vec_id. Rows that repeat an id count once, with the least of its vectors (of one length). Empty tables give no rows;
+    other columns are ignored.
     """
-    vectors = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).select("vec_id", F.col("vector").cast("array<double>").alias("vector"))
-    queries = queries.where(F.col("query_id").isNotNull() & usable(F.col("vector"))).select("query_id", F.col("vector").cast("array<double>").alias("vector"))
-    n, m = vectors.count(), queries.count()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // query_rows))
-    shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard")
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
-    left = vectors.select(shard, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "vector")
-    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), block, "query_id", "vector")
-    keys = ("shard", "block")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: search_shard(a, b, k, factor), "query_id long, vec_id long, score double")
+    spark = vectors.sparkSession
+    bound_batches(spark)
+    vectors = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).select(F.col("vec_id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    queries = queries.where(F.col("query_id").isNotNull() & usable(F.col("vector"))).select(F.col("query_id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    queries = queries.groupBy("id").agg(F.min("vector").alias("vector"))
+    n = vectors.count()
+    if shard_rows is None:  # a shard for each task while that leaves enough to build a tree on, and no more than a task holds
+        shard_rows = min(MOST_ROWS, max(SHARD_ROWS, -(-n // shuffle_partitions(spark))))
+    shards = max(1, -(-n // shard_rows))
+    left = vectors.select(F.size("vector").alias("size"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("query"), "id", "vector")
+    right = queries.select(F.size("vector").alias("size"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("query"), "id", "vector")
+    met = left.unionByName(right).repartition(max(shards, 1), "size", "shard").sortWithinPartitions("size", "shard", "query")
+    found = met.mapInArrow(lambda b: search_shards(b, k, factor), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
