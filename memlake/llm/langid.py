@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import bound_batches, held_out, text_chunks
+from memlake.llm.common import bound_batches, held_out, lean, release, text_chunks
 
 #: Labelled documents that a model is fitted on at most: those whose ids come first by hash.
 FIT_ROWS = 3000
@@ -31,13 +31,23 @@ _FOLD[:33] = 32
 _FOLD[65:91] += 32
 
 
-def windows(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All windows of some byte ranges, padded with spaces, and the range of each."""
+def window_starts(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the windows of some byte ranges begin, and the range of each."""
     n = -(-(end - start) // WINDOW)
     doc = np.repeat(np.arange(len(start)), n)
-    first = np.repeat(start - (np.cumsum(n) - n) * WINDOW, n) + np.arange(len(doc)) * WINDOW
+    return np.repeat(start - (np.cumsum(n) - n) * WINDOW, n) + np.arange(len(doc)) * WINDOW, doc
+
+
+def window_bytes(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The bytes of some windows, padded with spaces from where their ranges end."""
     at = first[:, None] + np.arange(WINDOW)
-    return np.where(at < end[doc][:, None], _FOLD[data[np.minimum(at, len(data) - 1)]], 32).astype(np.uint8), doc
+    return np.where(at < end[:, None], _FOLD[data[np.minimum(at, len(data) - 1)]], 32).astype(np.uint8)
+
+
+def windows(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All windows of some byte ranges, and the range of each."""
+    first, doc = window_starts(start, end)
+    return window_bytes(data, first, end[doc]), doc
 
 
 def init(n_classes: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
@@ -66,21 +76,14 @@ def forward(model: dict, x: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], labels: list[str], steps: int = STEPS, seed: int = 7) -> dict:
-    """Adam on windows drawn from the texts, languages in equal shares."""
+    """Adam on windows drawn from all windows of the texts, languages in equal shares."""
     classes = sorted(set(labels))
     model = init(max(1, len(classes)), np.random.default_rng(seed)) | {"classes": classes}
     if len(classes) < 2:
         return model
     rng = np.random.default_rng(seed + 1)
-    x, doc = [], []
-    for chunk in text_chunks(pa.array(texts, pa.string())):
-        w, d = windows(chunk.data, chunk.start, chunk.end)
-        some = np.lexsort((rng.random(len(d)), d))  # a few windows of each text
-        place = np.arange(len(d)) - np.searchsorted(d[some], d[some])
-        some = some[place < 8]
-        x.append(w[some])
-        doc.append(chunk.rows[d[some]])
-    x, doc = np.concatenate(x), np.concatenate(doc)
+    chunk = next(text_chunks(pa.array(texts, pa.string()), 1 << 62))  # the rows to fit on are bounded
+    first, doc = window_starts(chunk.start, chunk.end)
     y = np.searchsorted(classes, np.array(labels))[doc]
     by = [np.flatnonzero(y == c) for c in range(len(classes))]
     by = [b for b in by if len(b)]
@@ -89,7 +92,7 @@ def fit(texts: list[str], labels: list[str], steps: int = STEPS, seed: int = 7)
     mask = model["kernel"] != 0
     for t in range(1, steps + 1):
         pick = np.concatenate([rng.choice(b, BATCH // len(by)) for b in by])
-        xb, yb = x[pick], y[pick]
+        xb, yb = window_bytes(chunk.data, first[pick], chunk.end[doc[pick]]), y[pick]
         roll = int(rng.integers(0, WINDOW // 2))
         xb = np.roll(xb, -roll, axis=1)
         short = rng.random(len(xb)) < 0.3
@@ -121,6 +124,7 @@ def fit(texts: list[str], labels: list[str], steps: int = STEPS, seed: int = 7)
     return model
 
 
+@lean
 def predict_batches(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
     """doc_id, held_out as they are, lang_pred and score."""
     classes = np.array([*model["classes"], "und"], dtype=object)
@@ -148,8 +152,11 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS, modulus: int = 4, remainder
     rows = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("doc_id"), modulus, remainder))
     # ids are chosen first, so that tasks send the texts of the chosen alone
     ids = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    some = rows.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("doc_id", "r.*").orderBy("doc_id").toPandas()
-    return fit(some["text"].tolist(), some["lang"].tolist())
+    some = rows.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("doc_id", "r.*").orderBy("doc_id").toArrow()
+    model = fit(some["text"].to_pylist(), some["lang"].to_pylist())
+    del some
+    release(docs.sparkSession)
+    return model
 
 
 def identify_language(docs: DataFrame, model: dict, modulus: int = 4, remainder: int = 2) -> DataFrame:

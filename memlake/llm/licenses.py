@@ -14,8 +14,8 @@ from operator import or_
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Words that most notices have, but not all ('released under GPLv3'). The SQL of the query tries no rule without
-#: one; the scan does, and only takes DOUBTFUL, which German prose has ('in', 'with'), for no notice where there is none.
+#: Words that most notices have, but not all ('released under GPLv3'). A text without one of them is scanned as
+#: any other; only DOUBTFUL, which German prose has ('in', 'with'), is no notice there.
 GATES = ["licen", " cc ", " spdx ", " copyleft ", " public  domain ", " rights  reserved "]
 DOUBTFUL = " in  mit "
 

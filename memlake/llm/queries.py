@@ -12,7 +12,7 @@ from memlake.llm.common import held_out, table
 from memlake.llm.decontaminate import find_leaks
 from memlake.llm.langid import identify_language
 from memlake.llm.langid import train as train_language
-from memlake.llm.licenses import GATES, PRIORITIES, scan_licenses
+from memlake.llm.licenses import DOUBTFUL, GATES, PRIORITIES, families, scan_licenses
 from memlake.llm.licenses import rules as license_rules
 from memlake.llm.neardup import near_duplicates
 from memlake.llm.packing import pack
@@ -21,7 +21,7 @@ from memlake.llm.quality import train as train_quality
 from memlake.llm.suffixdedup import remove_repeats
 from memlake.llm.toxicity import THRESHOLD, score_toxicity
 from memlake.llm.toxicity import train as train_toxicity
-from memlake.llm.urlfilter import RULES, SOFT, SOFT_LIMIT, STRICT, filter_urls
+from memlake.llm.urlfilter import RULES, SOFT, SOFT_LIMIT, SOFT_WEIGHT, STRICT, filter_urls
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -108,21 +108,23 @@ def url_filter_sql() -> str:
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""WITH c AS (SELECT page_id, row_number() OVER () AS n, CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') ELSE '' END AS c FROM pages),
 h AS (SELECT page_id, n, {lower.format("regexp_extract(c, '^[^/]*')")} AS host, substr(c, length(regexp_extract(c, '^[^/]*')) + 1) AS path FROM c),
-t AS (SELECT n, count(*) FILTER (WHERE strict) AS n_strict, count(*) FILTER (WHERE NOT strict) AS n_soft, sum(weight) AS weight FROM h JOIN (VALUES {terms}) v(term, weight, strict) ON regexp_matches(host || chr(10) || {lower.format("path")}, '(^|[^a-z0-9])' || term || '([^a-z0-9]|$)') GROUP BY 1),
+t AS (SELECT n, count(*) FILTER (WHERE strict) AS n_strict, count(*) FILTER (WHERE NOT strict) AS n_soft, coalesce(sum(weight) FILTER (WHERE NOT strict), 0) AS soft, sum(weight) AS weight FROM h JOIN (VALUES {terms}) v(term, weight, strict) ON regexp_matches(host || chr(10) || {lower.format("path")}, '(^|[^a-z0-9])' || term || '([^a-z0-9]|$)') GROUP BY 1),
 r AS (SELECT n, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict, length(rh || rp)) AS verdict FROM h JOIN (VALUES {rules}) v(rh, rp, verdict) ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY 1)
-SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN coalesce(n_strict, 0) > 0 OR coalesce(n_soft, 0) >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, CAST(coalesce(n_strict, 0) AS INTEGER) AS n_strict, CAST(coalesce(n_soft, 0) AS INTEGER) AS n_soft, coalesce(weight, 0) AS weight FROM h LEFT JOIN t USING (n) LEFT JOIN r USING (n)"""
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN coalesce(n_strict, 0) > 0 OR (coalesce(n_soft, 0) >= {SOFT_LIMIT} AND soft >= {SOFT_WEIGHT}) THEN 'block' ELSE 'allow' END) AS verdict, CAST(coalesce(n_strict, 0) AS INTEGER) AS n_strict, CAST(coalesce(n_soft, 0) AS INTEGER) AS n_soft, coalesce(weight, 0) AS weight FROM h LEFT JOIN t USING (n) LEFT JOIN r USING (n)"""
 
 
 def licenses_sql() -> str:
-    table_ = ", ".join(f"({i}, {p}, '{k}', '{x}', '{label}', {w}::DOUBLE, {str(b).lower()})" for i, p, k, x, label, w, b in license_rules())
+    words = ["|".join(f" {w} " for w in f) for f in families()]
+    table_ = ", ".join(f"({i}, {p}, '{k}', '{x}', '{label}', {w}::DOUBLE, {str(b).lower()})" for (i, p, _, x, label, w, b), k in zip(license_rules(), words, strict=True))
     gate = " OR ".join(f"contains(norm, '{g}')" for g in GATES)
+    has = ", ".join(f"CASE WHEN regexp_matches(norm, '{w}') THEN '{w}' END" for w in sorted(set(words)))
     spaces = "(length({0}) - length(replace({0}, ' ', '')))".format
     reach = " ".join(f"WHEN {p} THEN max(CASE WHEN priority <= {p} THEN stop END) OVER o" for p in range(PRIORITIES + 1))
     return f"""WITH d AS (SELECT row_number() OVER () AS n, doc_id, trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', '  ', 'g'), ' ') AS t FROM documents),
-w AS (SELECT n, doc_id, CASE WHEN t = '' THEN '' ELSE ' ' || t || ' ' END AS norm FROM d), c AS (SELECT n, doc_id, CAST({spaces("norm")} / 2 AS BIGINT) AS n_words, norm, {gate} AS gated FROM w),
-m AS (SELECT n, rule, priority, label, weight, base, regexp_extract_all(norm, pattern) AS m, string_split_regex(norm, pattern) AS b FROM c JOIN (VALUES {table_}) v(rule, priority, keyword, pattern, label, weight, base) ON gated AND contains(norm, keyword)),
-e AS (SELECT n, rule, priority, label, weight, base, unnest(range(len(m))) AS place, unnest(m) AS m, unnest(b[1:len(m)]) AS b FROM m WHERE len(m) > 0),
-s AS (SELECT *, CAST({spaces("m")} / 2 AS BIGINT) AS size, CAST(sum({spaces("b")} / 2 + {spaces("m")} / 2) OVER (PARTITION BY n, rule ORDER BY place) AS BIGINT) AS stop FROM e),
+w AS (SELECT n, doc_id, CASE WHEN t = '' THEN '' ELSE ' ' || t || ' ' END AS norm FROM d), c AS (SELECT n, doc_id, CAST({spaces("norm")} / 2 AS BIGINT) AS n_words, norm, {gate} AS gated, [{has}] AS has FROM w),
+m AS (SELECT n, gated, rule, priority, label, weight, base, regexp_extract_all(norm, pattern) AS m, string_split_regex(norm, pattern) AS b FROM c JOIN (VALUES {table_}) v(rule, priority, keyword, pattern, label, weight, base) ON list_contains(has, keyword)),
+e AS (SELECT n, gated, rule, priority, label, weight, base, unnest(range(len(m))) AS place, unnest(m) AS m, unnest(b[1:len(m)]) AS b FROM m WHERE len(m) > 0),
+s AS (SELECT *, CAST({spaces("m")} / 2 AS BIGINT) AS size, CAST(sum({spaces("b")} / 2 + {spaces("m")} / 2) OVER (PARTITION BY n, rule ORDER BY place) AS BIGINT) AS stop FROM e QUALIFY gated OR m <> '{DOUBTFUL}'),
 k AS (SELECT *, stop - size AS start, base OR coalesce((CASE priority {reach} END) < stop, true) AS kept FROM s WINDOW o AS (PARTITION BY n ORDER BY stop - size, stop DESC, priority, rule ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 g AS (SELECT n, count(*) FILTER (WHERE base) AS n_base, min(start) FILTER (WHERE base) AS first_word, max(start) FILTER (WHERE base) AS last_word, array_to_string(list_sort(list_distinct(list(label) FILTER (WHERE base))), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list(label) FILTER (WHERE kept))), ',') AS labels, max(weight) FILTER (WHERE kept) AS score, count(*) FILTER (WHERE kept) AS n_detections FROM k GROUP BY 1)

@@ -1,7 +1,8 @@
 """URL filter: ordered host and path rules, then a weighted vocabulary matched by Aho-Corasick.
 
-The vocabulary has strict terms, one of which rejects a URL, and soft terms, several distinct ones of which do. A term counts
-only where it stands alone: between ends of the host or path or characters other than ASCII letters and digits.
+The vocabulary has strict terms, one of which rejects a URL, and soft terms, several distinct ones of which do where their
+weights add up. A term counts only where it stands alone: between ends of the host or path or characters other than ASCII
+letters and digits.
 """
 
 from __future__ import annotations
@@ -11,12 +12,30 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Terms of which one rejects, with their weights.
-STRICT = {"casino": 5.0, "porn": 5.0, "xxx": 5.0, "viagra": 5.0, "escort": 4.0, "warez": 4.0, "sexcam": 5.0, "hentai": 5.0, "jackpot": 4.0, "malware": 4.0, "phishing": 4.0, "gambling": 4.0}
-#: Terms of which several distinct ones reject, with their weights.
-SOFT = {"adult": 1.5, "bet": 1.0, "win": 1.0, "free": 0.5, "cheap": 1.0, "pills": 1.5, "dating": 1.5, "poker": 1.5, "slots": 1.5, "bonus": 1.0, "torrent": 1.5, "crack": 1.5, "hot": 0.5, "deals": 0.5, "loan": 1.0, "click": 0.5, "cash": 1.0, "replica": 1.5}
-#: Soft hits, all distinct, that reject a URL.
-SOFT_LIMIT = 2
+from memlake.llm.common import lean
+
+#: Terms of which one rejects, by their weight.
+STRICT_TERMS = {
+    5.0: """porn porno pornos porntube xxx xxxtube sexcam sexcams sexchat sexshop sexfilme sexvideo sexvideos hentai camgirl camgirls livecam livecams milf
+        escort escorts escortservice bordell hookup hookups upskirt nsfw erotik erotika erotica erotico erotique""",
+    4.5: """casino casinos kasino spielbank spielautomaten tragamonedas ruleta roulette blackjack baccarat jackpot jackpots sportsbook sportwetten apuestas pokies
+        gambling gluecksspiel slotmachine slotmachines livecasino onlinecasino""",
+    4.0: """warez keygen keygens cracked crackz nulled serialz rapidleech camrip torrents piratebay putlocker
+        malware ransomware keylogger botnet rootkit phishing spyware carding fullz cvv dumps ddoser stresser booter
+        viagra cialis levitra xanax tramadol oxycontin modafinil phentermine kamagra""",
+}
+#: Terms of which several distinct ones reject, by their weight.
+SOFT_TERMS = {
+    1.5: """adult adults sex sexy nude nudes naked fetish dating singles flirt poker slots slot bingo lotto lottery wetten betting bookmaker odds pills pharmacy
+        pharma steroids replica replicas counterfeit torrent crack serial patch hack hacks cheats bitcoin forex binary payday""",
+    1.0: """bet bets win winner winners bonus bonuses cheap cash credit loan loans debt casinobonus spins rolex handbags diet detox weightloss slimming miracle
+        gratis kostenlos gewinnspiel gewinn oferta ofertas premio premios gagner gagnez cadeau earn income profit millionaire affiliate clickbank mlm proxy proxies""",
+    0.5: "free hot deals deal click clicks offer offers discount coupon coupons promo sale save now best top buy shop gift",
+}
+STRICT = {term: weight for weight, terms in STRICT_TERMS.items() for term in terms.split()}
+SOFT = {term: weight for weight, terms in SOFT_TERMS.items() for term in terms.split()}
+#: Distinct soft terms that reject a URL, and what their weights must come to.
+SOFT_LIMIT, SOFT_WEIGHT = 2, 2.0
 #: Fixed values: (host, path prefix, verdict); the longest rule that fits wins.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -48,16 +67,16 @@ def automaton(strict: dict[str, float], soft: dict[str, float]):
     return out
 
 
-def hits(found, host: str, path: str) -> tuple[int, int, float]:
-    """Strict terms, distinct soft terms and their weight in a URL's host and path."""
+def hits(found, host: str, path: str) -> tuple[int, int, float, float]:
+    """Strict terms, distinct soft terms, the soft ones' weight and the weight of all in a URL's host and path."""
     text = f"{host}\n{path.translate(_AZ)}"
     terms = {}
     for end, (term, weight, strict) in found.iter(text) if len(found) else ():
         start = end + 1 - len(term)
         if (start == 0 or text[start - 1] not in _WORD) and (end + 1 == len(text) or text[end + 1] not in _WORD):
             terms[term] = (weight, strict)
-    n = sum(strict for _, strict in terms.values())
-    return n, len(terms) - n, sum(weight for weight, _ in terms.values())
+    soft = [weight for weight, strict in terms.values() if not strict]
+    return len(terms) - len(soft), len(soft), sum(soft), sum(weight for weight, _ in terms.values())
 
 
 def rule_of(by_host: dict[str, list[tuple[str, str, str]]], host: str, path: str) -> tuple[str, str] | None:
@@ -73,7 +92,8 @@ def rule_of(by_host: dict[str, list[tuple[str, str, str]]], host: str, path: str
         at = dot + 1
 
 
-def judge(batches: Iterator[pa.RecordBatch], rules: list, strict: dict, soft: dict, soft_limit: int) -> Iterator[pa.RecordBatch]:
+@lean
+def judge(batches: Iterator[pa.RecordBatch], rules: list, strict: dict, soft: dict, soft_limit: int, soft_weight: float) -> Iterator[pa.RecordBatch]:
     found = automaton(strict, soft)
     by_host: dict[str, list[tuple[str, str, str]]] = {}
     for host, prefix, verdict in rules:
@@ -82,19 +102,20 @@ def judge(batches: Iterator[pa.RecordBatch], rules: list, strict: dict, soft: di
         rows = []
         for url in batch.column("url").to_pylist():
             host, path = split_url(url)
-            n_strict, n_soft, weight = hits(found, host, path)
+            n_strict, n_soft, soft_sum, weight = hits(found, host, path)
             rule = rule_of(by_host, host, path)
-            verdict = rule[1] if rule else "block" if n_strict or n_soft >= soft_limit else "allow"
+            verdict = rule[1] if rule else "block" if n_strict or (n_soft >= soft_limit and soft_sum >= soft_weight) else "allow"
             rows.append((host, path, rule and rule[0], verdict, n_strict, n_soft, weight))
         columns = list(zip(*rows, strict=True)) or [()] * 7
         types = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64())
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft", "weight"])
 
 
-def filter_urls(pages: DataFrame, rules: list = RULES, strict: dict = STRICT, soft: dict = SOFT, soft_limit: int = SOFT_LIMIT) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list = RULES, strict: dict = STRICT, soft: dict = SOFT, soft_limit: int = SOFT_LIMIT, soft_weight: float = SOFT_WEIGHT) -> DataFrame:
     """One row for each page: page_id, host, path, rule, verdict, n_strict, n_soft, weight.
 
-    A null URL, or one without `://`, has an empty host and path; no rule fits it and it is allowed. A null page_id stays
-    null and repeated rows are judged each by itself; an empty table gives no rows; other columns are ignored.
+    A null URL, or one without `://`, has an empty host and path; no rule fits it and it is allowed. URLs are judged whole, however
+    long; a null page_id stays null and repeated rows are judged each by itself; an empty table gives no rows; other columns
+    are ignored.
     """
-    return pages.select("page_id", "url").mapInArrow(lambda b: judge(b, rules, strict, soft, soft_limit), "page_id long, host string, path string, rule string, verdict string, n_strict int, n_soft int, weight double")
+    return pages.select("page_id", "url").mapInArrow(lambda b: judge(b, rules, strict, soft, soft_limit, soft_weight), "page_id long, host string, path string, rule string, verdict string, n_strict int, n_soft int, weight double")
