@@ -1,11 +1,13 @@
 """The record store: an append-only log of versions in Parquet, and the views, imports and exports of it.
 
-A write appends a batch of versions; the current state is the latest version of each id that isn't a tombstone. Batches are
-numbered, so that a repeated batch (a retried micro-batch) replaces itself instead of doubling.
+A write appends a batch of versions; the current state is the latest version of each id that isn't a tombstone. Each batch has a
+name of its own; one that is given (a stream's and a micro-batch's number) is replaced when it is written again, and no other is.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from memlake.functions.vectors import clamp01
 from memlake.schema import COLUMNS, KINDS, RECORD_DDL, make_records
 
 VERSION_DDL = f"{RECORD_DDL}, version bigint, deleted boolean"
+#: What the log's folder is called while compact() replaces it.
+ASIDE = ".aside"
 
 
 class Store:
@@ -27,17 +31,28 @@ class Store:
             return self.spark.createDataFrame([], ddl)
         return self.spark.read.schema(ddl).parquet(f"{self.path}/{name}")
 
-    def _exists(self, name: str) -> bool:
+    def _path(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _exists(self, name: str) -> bool:
+        fs, path = self._path(name)
+        if not fs.exists(path) and fs.exists(path.suffix(ASIDE)):  # compact() was broken off between its renames
+            fs.rename(path.suffix(ASIDE), path)
+        return fs.exists(path)
 
     def versions(self) -> DataFrame:
         """Every version, partition column `batch` included."""
-        return self._read("records", f"{VERSION_DDL}, batch bigint")
+        return self._read("records", f"{VERSION_DDL}, batch string")
+
+    def records(self, without: str | None = None) -> DataFrame:
+        """The latest version of each record: a partial aggregate, so that no record's history meets in one task unreduced.
 
-    def records(self) -> DataFrame:
-        """The latest version of each record: a partial aggregate, so that no record's history meets in one task unreduced."""
-        latest = self.versions().groupBy("id").agg(F.max_by(F.struct(*COLUMNS, "deleted"), F.struct("version", "batch")).alias("r"))
+        without: a batch that doesn't count, as it is about to be written again.
+        """
+        rows = self.versions()
+        rows = rows if without is None else rows.where(F.col("batch") != without)
+        latest = rows.groupBy("id").agg(F.max_by(F.struct(*COLUMNS, "deleted"), F.struct("version", "batch")).alias("r"))
         return latest.select("r.*").where(~F.coalesce("deleted", F.lit(False))).select(*COLUMNS)
 
     def with_usage(self) -> DataFrame:
@@ -47,17 +62,22 @@ class Store:
         rows = rows.withColumn("useCount", F.col("useCount") + F.coalesce("n", F.lit(0))).withColumn("lastUsedAt", F.greatest("lastUsedAt", "last"))
         return rows.select(*COLUMNS)
 
-    def next_batch(self) -> int:
-        return int(self.versions().agg(F.max("batch")).first()[0] or 0) + 1
+    def next_version(self) -> int:
+        return int(self.versions().agg(F.max("version")).first()[0] or 0) + 1
 
-    def append(self, rows: DataFrame, batch: int | None = None, deleted: bool = False) -> int:
-        """Append versions of some records as one batch."""
-        batch = self.next_batch() if batch is None else batch
-        out = rows.select(*COLUMNS).withColumn("version", F.lit(batch).cast("long")).withColumn("deleted", F.lit(deleted)).withColumn("batch", F.lit(batch).cast("long"))
+    def append(self, rows: DataFrame, batch: str | None = None, deleted: bool = False) -> str:
+        """Append versions of some records as one batch, newer than all there are; returns its name.
+
+        Names of batches are unique unless given, so that writers at the same time don't meet; where both write a record, the
+        larger name wins.
+        """
+        version = self.next_version()
+        batch = f"{version:012d}-{uuid.uuid4().hex}" if batch is None else str(batch)
+        out = rows.select(*COLUMNS).withColumn("version", F.lit(version).cast("long")).withColumn("deleted", F.lit(deleted)).withColumn("batch", F.lit(batch))
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.path}/records")
         return batch
 
-    def delete(self, rows: DataFrame) -> int:
+    def delete(self, rows: DataFrame) -> str:
         return self.append(rows, deleted=True)
 
     def mark_used(self, ids: DataFrame, at: int) -> None:
@@ -69,6 +89,24 @@ class Store:
     def rejected(self) -> DataFrame:
         return self._read("rejected", "hash string").distinct()
 
+    def table(self, name: str, ddl: str) -> DataFrame:
+        """A table of state beside the records; empty where there is none yet. One that was replaced has a folder for each state."""
+        if self._exists(f"{name}.states"):
+            return self._read(f"{name}.states/{self.mark('state:' + name)}", ddl)
+        return self._read(name, ddl)
+
+    def add(self, name: str, rows: DataFrame) -> None:
+        """Append rows to a table of state."""
+        rows.write.mode("append").parquet(f"{self.path}/{name}")
+
+    def replace(self, name: str, rows: DataFrame) -> None:
+        """A table's new state: written beside the old one, which goes once the new one counts."""
+        old = self.mark(f"state:{name}")
+        rows.write.mode("overwrite").parquet(f"{self.path}/{name}.states/{old + 1}")
+        self.set_mark(f"state:{name}", old + 1)
+        fs, path = self._path(f"{name}.states/{old}")
+        fs.delete(path, True)
+
     def set_mark(self, name: str, value: int) -> None:
         self.spark.createDataFrame([(name, value, self.mark_version() + 1)], "name string, value bigint, version bigint").write.mode("append").parquet(f"{self.path}/marks")
 
@@ -84,15 +122,20 @@ class Store:
         return int(row[0] or 0)
 
     def compact(self) -> None:
-        """Write the current state as one batch into a new folder beside the log and put it in its place."""
-        fresh = Store(self.spark, f"{self.path}/compacted")
-        batch = self.next_batch()
-        fresh.append(self.records(), batch)
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
-        old, new = hadoop(f"{self.path}/records"), hadoop(f"{fresh.path}/records")
-        fs = old.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.delete(old, True)
-        fs.rename(new, old)
+        """Put the current state, as one batch, in the place of the log; there must be no other writer meanwhile.
+
+        The log is moved aside and goes only when the new one stands; a store that finds it aside moves it back.
+        """
+        if not self._exists("records"):
+            return
+        fresh = Store(self.spark, f"{self.path}/compacted-{uuid.uuid4().hex}")
+        fresh.append(self.records())
+        fs, old = self._path("records")
+        _, new = fresh._path("records")
+        if not fs.rename(old, old.suffix(ASIDE)) or not fs.rename(new, old):
+            raise OSError(f"{self.path}: the log could not be moved")
+        fs.delete(old.suffix(ASIDE), True)
+        fs.delete(fresh._path("")[1], True)
         self.spark.catalog.clearCache()
 
 

@@ -5,6 +5,7 @@ State is kept by session or key; queries that run on let idle state expire, so t
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -70,16 +71,33 @@ def turn_candidates(closed: DataFrame, cfg: Config = DEFAULTS, signals: list[tup
     return candidates(rows.select("message_id", "sessionId", "turn", "closed_seq", "closed_at", "text"), cfg, signals)
 
 
-def capture_into(store, closed: DataFrame, checkpoint: str, cfg: Config = DEFAULTS, signals: list[tuple] = SIGNALS):
-    """Start the query that writes closed turns' candidates into a store, a numbered batch for each micro-batch."""
+def capture_batch(store, stream: str, batch: DataFrame, number: int, cfg: Config = DEFAULTS, signals: list[tuple] = SIGNALS) -> None:
+    """Write the candidates of a stream's micro-batch into a store, once.
+
+    The batch has a name of its own in the log, so that it can't replace another writer's. One that has landed is skipped when it
+    comes again; one that was broken off is judged against the store without it and replaces itself.
+    """
     from memlake.operators.write import write
+    from memlake.plans.lineage import cut
+
+    name, mark = f"stream-{stream}-{number}", f"stream:{stream}"
+    if store.mark(mark) > number:
+        return
+    found = turn_candidates(batch, cfg, signals)
+    rows = found.select(F.concat_ws("#", "message_id", F.col("place").cast("string")).alias("input_id"), F.col("closed_at").alias("arrival"), "sessionId", "kind", "origin", "confidence", "importance", "text", F.array("signal").alias("tags"), F.col("closed_at").alias("observedAt"))
+    rows = cut(batch.sparkSession, rows)
+    if rows.take(1):
+        versions, _ = write(store.records(without=name), rows, 0, cfg, rejected=store.rejected())
+        store.append(cut(batch.sparkSession, versions), name)
+    store.set_mark(mark, number + 1)
+
+
+def capture_into(store, closed: DataFrame, checkpoint: str, cfg: Config = DEFAULTS, signals: list[tuple] = SIGNALS, stream: str | None = None):
+    """Start the query that writes closed turns' candidates into a store; a stream is known by its name, else by its checkpoint."""
+    name = stream or hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
 
     def each(batch: DataFrame, number: int) -> None:
-        found = turn_candidates(batch, cfg, signals)
-        rows = found.select(F.concat_ws("#", "message_id", F.col("place").cast("string")).alias("input_id"), F.col("closed_at").alias("arrival"), "sessionId", "kind", "origin", "confidence", "importance", "text", F.array("signal").alias("tags"), F.col("closed_at").alias("observedAt"))
-        if rows.take(1):
-            versions, _ = write(store.records(), rows, 0, cfg, rejected=store.rejected())
-            store.append(versions, number + 1)
+        capture_batch(store, name, batch, number, cfg, signals)
 
     return closed.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

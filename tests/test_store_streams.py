@@ -17,8 +17,9 @@ def test_store_keeps_versions(spark, rows, tmp_path):
     store.append(rows(dict(id="a", kind="semantic", text="one"), dict(id="b", kind="semantic", text="two")))
     store.append(rows(dict(id="a", kind="semantic", text="uno")))
     assert {r["id"]: r["text"] for r in store.records().collect()} == {"a": "uno", "b": "two"}
-    store.append(rows(dict(id="a", kind="semantic", text="uno!")), batch=2)  # a repeated batch replaces itself
-    assert store.versions().count() == 3
+    store.append(rows(dict(id="a", kind="semantic", text="eins")), batch="x")
+    store.append(rows(dict(id="a", kind="semantic", text="uno!")), batch="x")  # a repeated batch replaces itself
+    assert store.versions().count() == 4
     store.delete(store.records().where("id = 'b'"))
     store.mark_used(spark.createDataFrame([("a",)], "id string"), 5)
     assert [(r["id"], r["text"], r["useCount"], r["lastUsedAt"]) for r in store.with_usage().collect()] == [("a", "uno!", 1, 5)]
