@@ -21,8 +21,9 @@ SECRETS = [
     ("cn-id", rf"{_L}\d{{17}}[0-9Xx]{_R}"),
     ("bank-card", rf"{_L}(?:\d[ -]?){{16,19}}(?:(?<=[0-9]){_R}|(?<=[ -])(?=[A-Za-z0-9_]))"),
 ]
-#: Personal data that is masked. The quantifier before @ is bounded, so that long runs cost little.
-EMAIL = r"([A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{0,254}(@[A-Za-z0-9.-]+\.[A-Za-z]{2,})"
+#: Personal data that is masked. An address is tried once for each run of its characters, from the run's beginning
+#: (or from the end of the address before it), and never backtracks in it, so that long runs cost no more than their length.
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)([A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*+(@[A-Za-z0-9.-]+\.[A-Za-z]{2,})"
 PHONE = rf"{_L}(1[3-9]\d)\d{{4}}(\d{{4}}){_R}"
 #: Wishes to be remembered.
 EXPLICIT = "(?iu)(记住|记一下|记下|帮我记|以后都|以后也|从现在起|别再|不要再用|下次要|remember|always|never)"

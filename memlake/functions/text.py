@@ -1,9 +1,12 @@
-"""Text functions over columns: normal forms, fingerprints, tokens, similarity. No Python runs on the executors."""
+"""Text functions over columns: normal forms, fingerprints, tokens, similarity. Fingerprints alone run in Python."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as the record format understands it (a character class without brackets).
 SPACE = r"\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
@@ -19,17 +22,50 @@ def js_trim(c: Column) -> Column:
 
 
 def one_space(c: Column) -> Column:
-    return F.regexp_replace(c, f"[{SPACE}]+", " ")
+    """White space collapsed; the pattern leaves single plain spaces alone, which most are."""
+    return F.regexp_replace(c, f"[{SPACE}&&[^ ]][{SPACE}]*| [{SPACE}]+", " ")
 
 
 def normalize_text(c: Column) -> Column:
     """Full-width forms narrowed, white space collapsed, end marks dropped, lower case."""
-    flat = F.trim(one_space(F.translate(c, WIDE, NARROW)))
+    narrow = F.when(F.rlike(c, F.lit(r"[\x{FF01}-\x{FF5E}]")), F.translate(c, WIDE, NARROW)).otherwise(c)
+    flat = F.trim(one_space(narrow))
     return F.lower(F.trim(F.regexp_replace(flat, f"[{END_MARKS}]+$", "")))
 
 
+@F.pandas_udf(T.LongType())
+def _fnv1a(texts: pd.Series) -> pd.Series:
+    """All texts of a batch at once, unit by unit; when few are left, each by itself."""
+    out = np.full(len(texts), 2166136261, dtype=np.uint64)
+    known = texts.notna().to_numpy()
+    raw = [t.encode("utf-16-le", "surrogatepass") if ok else b"" for t, ok in zip(texts, known, strict=True)]
+    sizes = np.array([len(r) // 2 for r in raw], dtype=np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    units = np.frombuffer(b"".join([raw[i] for i in order]), dtype="<u2").astype(np.uint64)
+    ordered = sizes[order]
+    begin = np.cumsum(ordered) - ordered
+    h, prime, mask = out[order], np.uint64(16777619), np.uint64(0xFFFFFFFF)
+    at, active = 0, int(np.searchsorted(-ordered, 0, side="left"))
+    while active > 8:
+        h[:active] = ((h[:active] ^ units[begin[:active] + at]) * prime) & mask
+        at += 1
+        active = int(np.searchsorted(-ordered[:active], -at, side="left"))
+    for i in range(active):
+        value = int(h[i])
+        for unit in units[begin[i] + at : begin[i] + ordered[i]].tolist():
+            value = ((value ^ unit) * 16777619) & 0xFFFFFFFF
+        h[i] = value
+    out[order] = h
+    return pd.Series(out.astype(np.int64)).where(known)
+
+
 def fnv1a_number(c: Column) -> Column:
-    """32-bit FNV-1a over UTF-16 units."""
+    """32-bit FNV-1a over UTF-16 units; Spark has no such hash, and a fold over a long text's characters in the JVM is far slower."""
+    return _fnv1a(c)
+
+
+def fnv1a_short(c: Column) -> Column:
+    """The same in base 36 for short strings (paths), within the JVM's expressions."""
     step = lambda h, unit: F.pmod(h.bitwiseXOR(unit) * F.lit(16777619), F.lit(4294967296))
 
     def both(h: Column, ch: Column) -> Column:
@@ -39,12 +75,16 @@ def fnv1a_number(c: Column) -> Column:
         return F.when(code < 65536, step(h, code)).otherwise(step(step(h, high.cast("long")), low))
 
     letters = F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, ""))
-    return F.aggregate(letters, F.lit(2166136261).cast("long"), both)
+    return base36(F.aggregate(letters, F.lit(2166136261).cast("long"), both))
+
+
+def base36(number: Column) -> Column:
+    return F.lower(F.conv(number.cast("string"), 10, 36))
 
 
 def fnv1a(c: Column) -> Column:
     """FNV-1a in base 36."""
-    return F.lower(F.conv(fnv1a_number(c).cast("string"), 10, 36))
+    return base36(fnv1a_number(c))
 
 
 def record_hash(kind: Column, level: Column, key: Column, subject: Column, text: Column, branch: Column | None = None) -> Column:
@@ -63,7 +103,7 @@ def vector_key(text: Column, subject: Column, tags: Column) -> Column:
 
 
 def workspace_key(cwd: Column) -> Column:
-    return F.when(F.length(cwd) > 0, fnv1a(cwd))
+    return F.when(F.length(cwd) > 0, fnv1a_short(cwd))
 
 
 def estimate_tokens(c: Column, chars_per_token: float = 2.5) -> Column:
@@ -80,17 +120,17 @@ def clamp_text(c: Column, max_tokens: float, chars_per_token: float = 2.5) -> Co
 
 def stem(w: Column) -> Column:
     """Longer Latin words lose one of three endings."""
-    plain = (F.length(w) <= 4) | F.rlike(w, F.lit(f"^[0-9]+$|[{CJK}]"))
-    return F.when(plain, w).otherwise(F.regexp_replace(w, "(ing|ed|s)$", ""))
+    def ending(end: str) -> Column:
+        return (F.length(w) > 4) & F.endswith(w, F.lit(end)) & ~F.rlike(w, F.lit(f"[{CJK}]"))
+
+    out = w
+    for end in ("s", "ed", "ing"):
+        out = F.when(ending(end), F.substring(w, F.lit(1), F.length(w) - len(end))).otherwise(out)
+    return out
 
 
 def tokenize(c: Column, stemming: bool = True, bigram: bool = True) -> Column:
     """Latin words and numbers (stemmed), then pairs of neighbouring CJK characters; duplicates stay."""
-    flat = normalize_text(c)
-    words = F.regexp_extract_all(flat, F.lit("([a-z0-9]+)"), F.lit(0))
-    if stemming:
-        words = F.transform(words, stem)
-    runs = F.regexp_extract_all(flat, F.lit(f"([{CJK}]+)"), F.lit(0))
 
     def pairs(run: Column) -> Column:
         if not bigram:
@@ -98,7 +138,14 @@ def tokenize(c: Column, stemming: bool = True, bigram: bool = True) -> Column:
         each = F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))
         return F.when(F.length(run) == 1, F.array(run)).otherwise(each)
 
-    return F.when(F.size(runs) > 0, F.concat(words, F.flatten(F.transform(runs, pairs)))).otherwise(words)
+    def tokens(flat: Column) -> Column:
+        words = F.regexp_extract_all(flat, F.lit("([a-z0-9]+)"), F.lit(0))
+        words = F.transform(words, stem) if stemming else words
+        runs = F.regexp_extract_all(flat, F.lit(f"([{CJK}]+)"), F.lit(0))
+        return F.when(F.rlike(flat, F.lit(f"[{CJK}]")), F.concat(words, F.flatten(F.transform(runs, pairs)))).otherwise(words)
+
+    # a variable of its own, so that the normal form is made once however often it is read
+    return F.element_at(F.transform(F.array(normalize_text(c)), tokens), 1)
 
 
 def record_text(text: Column, subject: Column, tags: Column) -> Column:
