@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from memlake.config import DEFAULTS, Config
 from memlake.functions.safety import exclusion_reason, render_equivalent
 from memlake.functions.text import js_trim, record_hash, split_sentences
-from memlake.schema import default_scope
+from memlake.schema import REFS, default_scope
 
 #: Fixed values: (signal, kind, origin, confidence, importance, pattern); the first that fits wins.
 SIGNALS = [
@@ -61,10 +61,30 @@ def skipped(messages: DataFrame, cfg: Config = DEFAULTS, signals: list[tuple] =
     return judge(messages, cfg, signals).where(F.col("reason").isNotNull()).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def inherit(found: DataFrame, records: DataFrame, now: int, cfg: Config = DEFAULTS) -> DataFrame:
+    """Candidates with a slot: a correction takes that of the record it is about, so that it can overrule it; others get a subject."""
+    from memlake.functions.text import derive_subject
+    from memlake.operators.recall import corrected
+
+    key = F.concat_ws("#", F.col("message_id").cast("string"), F.col("place").cast("string"))
+    rows = found.withColumn("query_id", key)
+    slots = corrected(records, rows.where(F.col("origin") == "user_correction").select("query_id", F.col("text").alias("query")), now, cfg)
+    rows = rows.join(slots.withColumnRenamed("subject", "old").withColumnRenamed("id", "corrects"), "query_id", "left")
+    return rows.withColumn("subject", F.coalesce("old", derive_subject(F.col("text"), F.col("signal")))).drop("old", "query_id")
+
+
 def solidify(summaries: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
-    """Sentences that compaction summaries leave behind as episodic records (message_id, text): the first few that aren't excluded."""
+    """What compaction summaries (message_id, sessionId, text, from, to) leave behind as episodic records, with where it came from.
+
+    The first few sentences of each that aren't excluded.
+    """
     rows = sentences(summaries).where(F.col("place") < cfg.solidification_max_per_compaction).where(F.col("excluded").isNull())
-    return rows.select("message_id", "place", F.lit("episodic").alias("kind"), F.lit("observed").alias("origin"), F.col("sentence").alias("text"))
+    whole = {"sessionId": "string", "from": "bigint", "to": "bigint"}
+    for name, kind in whole.items():
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit(None).cast(kind))
+    refs = F.when(F.col("sessionId").isNotNull(), F.array(F.struct("sessionId", "from", "to", F.lit("solidify").alias("via")))).cast(REFS)
+    return rows.select("message_id", "place", "sessionId", F.lit("episodic").alias("kind"), F.lit("observed").alias("origin"), F.col("sentence").alias("text"), refs.alias("refs"))
 
 
 def trailing_hour(writes: DataFrame, by: str, ts: str = "ts") -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlake.config import DEFAULTS, Config, audit_max
@@ -10,7 +13,7 @@ from memlake.functions.refs import sanitize
 from memlake.functions.text import normalize_branch, normalize_text, token_set
 
 #: The attempts that an audit counts.
-ACTIONS = ("created", "merged", "updated", "rejected", "queued", "approved", "archived", "invalidated", "skipped")
+ACTIONS = ("created", "merged", "pending", "approved", "rejected-pending", "rejected", "invalidated", "archived", "forgotten")
 
 
 def inside(start: Column, end: Column, seq: Column) -> Column:
@@ -66,9 +69,9 @@ def action_counts(attempts: DataFrame) -> DataFrame:
     return all_.join(F.broadcast(n), "action", "left").select("action", F.coalesce("n", F.lit(0)).alias("n"))  # nine rows
 
 
-def ring(attempts: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
-    """The latest attempts, newest first; 0 keeps none."""
-    most = audit_max(cfg)
+def ring(attempts: DataFrame, cfg: Config = DEFAULTS, limit: int | None = None) -> DataFrame:
+    """The latest attempts, newest first; 0 keeps none. limit: how many of them to list, 200 at most."""
+    most = audit_max(cfg) if limit is None else min(audit_max(cfg), max(1, min(200, int(limit))))
     return attempts.orderBy(F.col("at").desc(), F.col("id").desc_nulls_last()).limit(most)
 
 
@@ -99,10 +102,28 @@ def last_per_session(events: DataFrame) -> DataFrame:
     return events.groupBy("sessionId").agg(F.max("seq").alias("last_seq"), F.max(start).alias("turn_start"))
 
 
-def cooled(hits: DataFrame, turns: int, by: str = "id", turn: str = "turn") -> DataFrame:
-    """Adds `since`, turns since the same record was hit before, and whether that is long enough."""
-    before = F.lag(turn).over(Window.partitionBy(by).orderBy(turn))
-    return hits.withColumn("since", F.col(turn) - F.coalesce(before, F.lit(-999))).withColumn("cooled", F.col("since") >= turns)
+def cooled(hits: DataFrame, turns: int, by: list[str], turn: str = "turn") -> DataFrame:
+    """Adds `since`, turns since the record was last shown, and `cooled`, whether it is shown: that is long enough ago.
+
+    A hit within the cooldown isn't shown and doesn't begin another one, so a key's hits are one ordered pass; they stream through
+    a task in order, which holds one number for the key at hand, however many hits it has.
+    """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hits.schema) + ", since long, cooled boolean"
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, -999
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True))
+            since, shown = [], []
+            for k, at in zip(keys, batch.column(turn).to_pylist(), strict=True):
+                if k != key:
+                    key, last = k, -999
+                since.append(at - last)
+                shown.append(at - last >= turns)
+                last = at if shown[-1] else last
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(since, pa.int64()), pa.array(shown, pa.bool_())], names=[*batch.schema.names, "since", "cooled"])
+
+    return hits.repartition(*by).sortWithinPartitions(*by, turn).mapInArrow(fold, schema)
 
 
 def same_text(a: Column, b: Column) -> Column:

@@ -1,21 +1,33 @@
 """Retrieval for many queries at once: token index, gates, inverse document frequencies, scores, top k, explanations, vectors.
 
-Records are dealt by id, so that joining their tokens with the queries' and summing up by record and query needs no shuffle
-beyond that one; queries are broadcast while they are small and otherwise dealt by token as the records' tokens are.
+The pool is tokenised once: what it has of the queries' tokens is written to the shared folder, and document frequencies and
+scores both read that. Where queries and their tokens make a table of bounded size, records stream past it as matrix products;
+otherwise their tokens are joined, with records dealt by id so that summing up needs no further shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from memlake.config import DEFAULTS, Config, blend_weight, length_penalty
 from memlake.functions.text import informative, normalize_text, record_text, token_set, tokenize
-from memlake.functions.vectors import blend, clamp01, cosine, finite
+from memlake.functions.vectors import blend, clamp01, cosine, finite, tiles
+from memlake.plans.lineage import cut
+from memlake.schema import ranking
 
 DAY = 86_400_000.0
 #: Query tokens up to which they are broadcast.
 BROADCAST_TOKENS = 200_000
+#: Queries times distinct tokens up to which they are one table, and records of a product.
+TABLE, STRIPE = 4_000_000, 256
 #: Records of a page of results at most.
 MOST = 50
 
@@ -34,15 +46,37 @@ def query_tokens(queries: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     return words.groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times"), F.first("n_query").alias("n_query"), F.first("n_times").alias("n_times"))
 
 
-def index(records: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
-    """The inverted index (id, token, n_tokens), dealt by id."""
-    rows = with_tokens(records, cfg).select("id", "tokens").repartition("id")
-    return rows.select("id", F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("token"))
+def small(tokens: DataFrame) -> bool:
+    return tokens.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS
+
+
+def postings(records: DataFrame, tokens: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """What the pool has of the tokens asked for: id, n_tokens, held (an array), materialised; a record without any is left out."""
+    asked = tokens.select("token").distinct()
+    rows = with_tokens(records, cfg).select("id", "tokens")
+    spark = records.sparkSession
+    if small(asked):  # a list of bounded size goes to every task
+        wanted = pa.array(sorted(r["token"] for r in asked.collect()), pa.string())
 
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists = batch.column("tokens")
+                flat = pc.list_flatten(lists)
+                own = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+                good = pc.is_in(flat, value_set=wanted).to_numpy(zero_copy_only=False)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(own[good], minlength=batch.num_rows))])
+                held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.filter(pa.array(good)))
+                out = pa.RecordBatch.from_arrays([batch.column("id"), pc.cast(pc.list_value_length(lists), pa.int32()), held], names=["id", "n_tokens", "held"])
+                yield out.filter(pa.array(np.diff(ends) > 0))
 
-def idf_table(postings: DataFrame, tokens: DataFrame, n: DataFrame) -> DataFrame:
+        return cut(spark, rows.mapInArrow(keep, "id string, n_tokens int, held array<string>"))
+    each = rows.select("id", F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("token")).join(asked, "token", "left_semi")
+    return cut(spark, each.groupBy("id").agg(F.first("n_tokens").alias("n_tokens"), F.collect_list("token").alias("held")))
+
+
+def idf_table(posted: DataFrame, tokens: DataFrame, n: DataFrame) -> DataFrame:
     """(token, df, idf) of the tokens that are asked for, over the pool; n has one row, the pool's size."""
-    df = postings.join(F.broadcast(tokens.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    df = posted.select(F.explode("held").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     all_ = tokens.select("token").distinct().join(df, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     return all_.crossJoin(F.broadcast(n)).select("token", "df", F.log(1 + F.col("n") / (1 + F.col("df"))).alias("idf"))  # n is one row
 
@@ -63,27 +97,57 @@ def without_tokens(queries: DataFrame, cfg: Config = DEFAULTS, mode: str = "quer
     return empty.where(F.col("no_text") | (F.col("no_token") & F.lit(mode != "memory")))
 
 
+def _by_tables(posted: DataFrame, asked: list, kind: DataType) -> DataFrame:
+    """Sums over the tokens that records and queries share, by products of a stripe of records with the table of queries."""
+    names = sorted({r["query_id"] for r in asked})
+    words = sorted({r["token"] for r in asked})
+    of_query, of_word = {q: i for i, q in enumerate(names)}, {w: i for i, w in enumerate(words)}
+    table = np.zeros((len(words), 4, len(names)))  # hits, times, idf and informative hits
+    for r in asked:
+        table[of_word[r["token"]], :, of_query[r["query_id"]]] = (1, r["times"], r["idf"], r["informative"])
+    table = table.reshape(len(words), -1)
+    wanted, ids = pa.array(words, pa.string()), pa.array(names, to_arrow_type(kind))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, STRIPE):
+                own = batch.slice(a, STRIPE)
+                lists = own.column("held")
+                row = np.repeat(np.arange(own.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                has = np.zeros((own.num_rows, len(words)))
+                has[row, pc.index_in(pc.list_flatten(lists), value_set=wanted).to_numpy(zero_copy_only=False).astype(np.int64)] = 1
+                hits, times, raw, told = (has @ table).reshape(own.num_rows, 4, -1).transpose(1, 0, 2)
+                r, q = np.nonzero(hits)
+                at = pa.array(r)
+                columns = [own.column("id").take(at), ids.take(pa.array(q)), pa.array(hits[r, q].astype(np.int64)), pa.array(times[r, q].astype(np.int64)), pa.array(raw[r, q]), pa.array(told[r, q].astype(np.int64)), own.column("n_tokens").take(at)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "query_id", "hits", "times", "raw", "informative", "n_tokens"])
+
+    return posted.mapInArrow(sums, f"id string, query_id {kind.simpleString()}, hits long, times long, raw double, informative long, n_tokens int")
+
+
+def _by_join(posted: DataFrame, asked: DataFrame, broadcast: bool) -> DataFrame:
+    """The same sums where the queries are no table: both sides meet by token."""
+    each = posted.repartition("id").select("id", "n_tokens", F.explode("held").alias("token"))
+    sides = asked.select("query_id", "token", "times", "idf", "informative")
+    pairs = each.join(F.broadcast(sides) if broadcast else sides, "token").groupBy("id", "query_id")
+    return pairs.agg(F.count(F.lit(1)).alias("hits"), F.sum("times").alias("times"), F.sum("idf").alias("raw"), F.sum("informative").alias("informative"), F.first("n_tokens").alias("n_tokens"))
+
+
 def matches(records: DataFrame, queries: DataFrame, cfg: Config = DEFAULTS, mode: str = "query", min_hits: int | None = None) -> DataFrame:
     """Pairs that share a token: query_id, id, match (the gate's number), hits, relevance."""
-    tokens = query_tokens(queries, cfg)
-    postings = index(records, cfg)
-    n = records.agg(F.count(F.lit(1)).alias("n"))
-    idf = idf_table(postings, tokens, n)
-    asked = tokens.join(idf, "token")
-    totals = asked.groupBy("query_id").agg(F.sum("idf").alias("max_idf"))
-    asked = asked.join(totals, "query_id")
-    size = tokens.limit(BROADCAST_TOKENS + 1).count()
-    asked = F.broadcast(asked) if size <= BROADCAST_TOKENS else asked  # beyond the bound Spark joins by token
-    pairs = postings.join(asked, "token").groupBy("id", "query_id").agg(
-        F.count(F.lit(1)).alias("hits"),
-        F.sum("times").alias("times"),
-        F.sum("idf").alias("raw"),
-        F.sum(informative(F.col("token")).cast("int")).alias("informative"),
-        F.first("n_tokens").alias("n_tokens"),
-        F.first("n_query").alias("n_query"),
-        F.first("n_times").alias("n_times"),
-        F.first("max_idf").alias("max_idf"),
-    )
+    spark = records.sparkSession
+    tokens = cut(spark, query_tokens(queries, cfg))
+    posted = postings(records, tokens, cfg)
+    idf = idf_table(posted, tokens, records.agg(F.count(F.lit(1)).alias("n")))
+    asked = cut(spark, tokens.join(idf, "token").withColumn("informative", informative(F.col("token")).cast("long")))
+    totals = asked.groupBy("query_id").agg(F.sum("idf").alias("max_idf"), F.first("n_query").alias("n_query"), F.first("n_times").alias("n_times"))
+    few = small(asked)
+    shape = asked.agg(F.count_distinct("query_id"), F.count_distinct("token")).first() if few else (0, 0)
+    if few and shape[0] * shape[1] <= TABLE:
+        pairs = _by_tables(posted, asked.collect(), queries.schema["query_id"].dataType) if shape[0] else _by_join(posted, asked, True)
+    else:
+        pairs = _by_join(posted, asked, few)
+    pairs = pairs.join(F.broadcast(totals) if few else totals, "query_id")
     if mode == "memory":
         least = cfg.recall_min_hits if min_hits is None else min_hits
         match = F.when(F.col("informative") < least, 0.0).otherwise(F.least(F.lit(1.0), F.col("hits") / F.greatest(F.lit(1), F.least(F.lit(4), "n_tokens"))))
@@ -121,57 +185,75 @@ def recall(records: DataFrame, queries: DataFrame, now: int, cfg: Config = DEFAU
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", "match", "score", "rank")
 
 
+def legacy_score(records: DataFrame, queries: DataFrame, now: int, cfg: Config = DEFAULTS) -> DataFrame:
+    """The older score, which callers' thresholds rely on: query_id, id, score, over the pairs that share a token.
+
+    The plain share of the query's tokens, repeats included, takes the place of relevance.
+    """
+    lean = records.select("id", "importance", "observedAt", "lastUsedAt")
+    found = matches(records, queries, cfg).join(lean, "id")
+    return found.select("query_id", "id", F.round(0.6 * F.col("match") + 0.3 * F.col("importance") + 0.1 * recency(now), 12).alias("score"))
+
+
 def explain(records: DataFrame, queries: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     """Which tokens of a query a record has and what each adds: query_id, id, token, contribution, score, passes.
 
     A row for each pair and token; contributions add up to the score.
     """
-    tokens = query_tokens(queries, cfg)
-    postings = index(records, cfg)
-    idf = idf_table(postings, tokens, records.agg(F.count(F.lit(1)).alias("n")))
+    tokens = cut(records.sparkSession, query_tokens(queries, cfg))
+    posted = postings(records, tokens, cfg)
+    idf = idf_table(posted, tokens, records.agg(F.count(F.lit(1)).alias("n")))
     asked = tokens.join(idf, "token")
     asked = asked.join(asked.groupBy("query_id").agg(F.sum("idf").alias("max_idf")), "query_id")
     pair = Window.partitionBy("id", "query_id")
-    rows = postings.join(asked, "token").withColumn("raw", F.sum("idf").over(pair))
+    each = posted.repartition("id").select("id", "n_tokens", F.explode("held").alias("token"))
+    rows = each.join(F.broadcast(asked) if small(tokens) else asked, "token").withColumn("raw", F.sum("idf").over(pair))
     longer = 1 + length_penalty(cfg) * F.log2(1 + F.col("n_tokens") / F.col("n_query"))
     rows = rows.withColumn("score", clamp01(F.col("raw") / (F.col("max_idf") * longer)))
     return rows.select("query_id", "id", "token", (F.col("idf") * F.col("score") / F.col("raw")).alias("contribution"), "score", (F.col("score") >= cfg.recall_min_match).alias("passes"))
 
 
 def semantic(pool: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, now: int, cfg: Config = DEFAULTS, mode: str = "semantic", limit: int = 8) -> DataFrame:
-    """Rank a pool by cosine (semantic) or by cosine blended with the composite score (hybrid): query_id, id, score, rank.
+    """Rank a pool by cosine (semantic) or by cosine blended with the composite score (hybrid): query_id, id, score, rank, fallback.
+
+    vectors: id, vector; query_vectors: query_id, vector. A negative or missing cosine counts as 0; equal scores are in order of
+    pins, importance, confidence and id. If a query's vector and a record's differ in length, or one has components that are
+    not finite, all of the query's results fall back to the lexical ones; the column `fallback` says so.
 
-    vectors: id, vector; query_vectors: query_id, vector. A negative or missing cosine counts as 0. If a query's vector and a
-    record's differ in length, or one has components that are not finite, all of the query's results fall back to the lexical
-    ones; the column `fallback` says so.
+    Blocks of queries meet blocks of records, each in one task; cosines alone keep a page of a block for each query.
     """
-    own = vectors.join(pool.select("id"), "id", "left_semi").select("id", F.col("vector").alias("v"))
-    asked = query_vectors.select("query_id", F.col("vector").alias("q"))
-    pairs = own.crossJoin(F.broadcast(asked))  # every record against the stated queries, which are a page at most
-    bad = (F.size("q") != F.size("v")) | ~finite(F.col("q")) | ~finite(F.col("v"))
-    scored = pairs.select("query_id", "id", F.greatest(F.lit(0.0), F.coalesce(cosine(F.col("q"), F.col("v")), F.lit(0.0))).alias("semantic"), bad.alias("bad"))
-    broken = scored.groupBy("query_id").agg(F.max("bad").alias("broken"))
-    good = scored.join(F.broadcast(broken.where("not broken")), "query_id", "left_semi")
+    k = max(1, min(MOST, limit))
+    own = pool.select("id", "pinned", "importance", "confidence").join(vectors.select("id", "vector"), "id")
+    lengths = own.select(F.size("vector").alias("n"), finite(F.col("vector")).alias("ok")).groupBy("n", "ok").count().limit(3).collect()
+    whole = [r["n"] for r in lengths if r["ok"]] if len(lengths) == 1 else []  # else no query's vector fits all records'
+    asked = query_vectors.select("query_id", "vector").where(finite(F.col("vector")) & F.size("vector").isin(whole)) if whole else query_vectors.select("query_id", "vector").limit(0)
     if mode == "hybrid":
         # the lexical score of every pair, not of a page of them: what is low there can be high in the blend
         found = matches(pool, queries, cfg).join(own.select("id"), "id", "left_semi").select("query_id", "id", "match", "relevance")
         lean = pool.select("id", "importance", "observedAt", "lastUsedAt")
-        good = good.join(found, ["query_id", "id"], "left").join(lean, "id").join(F.broadcast(without_tokens(queries, cfg)), "query_id", "left")  # the stated queries
+        good = tiles(asked, own).join(found, ["query_id", "id"], "left").join(lean, "id").join(without_tokens(queries, cfg), "query_id", "left")
         lexical = F.when(F.col("no_text"), F.col("importance")).when(F.col("no_token"), 0.3 * F.col("importance") + 0.1 * recency(now)).when(F.col("match") > 0, composite(now)).otherwise(0.0)
-        good = good.withColumn("score", blend(lexical, F.col("semantic"), blend_weight(cfg)))
+        good = good.withColumn("score", blend(lexical, F.greatest(F.lit(0.0), "cosine"), blend_weight(cfg))).select("query_id", "id", "score")
     else:
-        good = good.withColumn("score", F.col("semantic"))
-    fall = recall(pool, queries, now, cfg, "query", MOST).join(F.broadcast(broken.where("not broken")), "query_id", "left_anti")
-    both = good.select("query_id", "id", "score", F.lit(False).alias("fallback")).unionByName(fall.select("query_id", "id", "score", F.lit(True).alias("fallback")))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
-    return both.withColumn("rank", rank).where(F.col("rank") <= max(1, min(MOST, limit)))
+        good = tiles(asked, own, k).select("query_id", "id", F.greatest(F.lit(0.0), "cosine").alias("score"))
+    fall = recall(pool, queries, now, cfg, "query", MOST).join(asked.select("query_id"), "query_id", "left_anti")
+    good = good.select("query_id", "id", F.round("score", 12).alias("score"), F.lit(False).alias("fallback"))
+    both = good.unionByName(fall.select("query_id", "id", "score", F.lit(True).alias("fallback"))).join(pool.select("id", "pinned", "importance", "confidence"), "id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), *ranking()))
+    return both.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", "score", "rank", "fallback")
+
+
+def diagnostics(mode: str, hits: DataFrame | None, candidates: int, vectors: int, reason: str | None = None) -> dict[str, object]:
+    """What a semantic search did: mode, whether vectors were used, why not, and how many candidates and vectors there were."""
+    fell = reason or (None if hits is None or not hits.where("fallback").take(1) else "embed-error")
+    return {"mode": mode, "used": fell is None, "fallback": fell, "candidates": candidates, "vectors": vectors if fell is None else 0}
 
 
 def rescore(hits: DataFrame, vectors: DataFrame, query_vectors: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
-    """The same hits in the order of the blended score."""
+    """The same hits in the order of the blended score; one without a vector keeps its score, and ties keep their order."""
     rows = hits.join(vectors.select("id", F.col("vector").alias("v")), "id", "left").join(query_vectors.select("query_id", F.col("vector").alias("q")), "query_id", "left")
-    rows = rows.withColumn("score", blend(F.col("score"), F.greatest(F.lit(0.0), cosine(F.col("q"), F.col("v"))), blend_weight(cfg)))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))).select("query_id", "id", "match", "score", "rank")
+    rows = rows.withColumn("score", F.round(blend(F.col("score"), F.greatest(F.lit(0.0), cosine(F.col("q"), F.col("v"))), blend_weight(cfg)), 12))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "rank"))).select("query_id", "id", "match", "score", "rank")
 
 
 def evaluate(records: DataFrame, queries: DataFrame, expected: DataFrame, now: int, cfg: Config = DEFAULTS) -> DataFrame:
@@ -182,19 +264,47 @@ def evaluate(records: DataFrame, queries: DataFrame, expected: DataFrame, now: i
     return rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(F.col("place") == 1, F.lit(False)).cast("double")).alias("top1"), F.avg(F.coalesce(F.col("place") <= 3, F.lit(False)).cast("double")).alias("top3"), F.avg(F.coalesce("hit", F.lit(False)).cast("double")).alias("trigger_rate"))
 
 
-def turn_recall(records: DataFrame, messages: DataFrame, resident_lines: DataFrame, last_injected: DataFrame, turn: int, now: int, workspace: str | None, cfg: Config = DEFAULTS) -> DataFrame:
-    """What a turn's message brings up: no resident lines, no other workspace, nothing injected within the cooldown.
+def triggers(records: DataFrame, messages: DataFrame, now: int, cfg: Config = DEFAULTS, long: int = 20) -> DataFrame:
+    """How many messages (query_id, query) bring anything up, short and long ones apart: bucket, total, triggered."""
+    hits = recall(records, messages, now, cfg, "memory", cfg.recall_top_k).select("query_id").distinct().withColumn("hit", F.lit(1))
+    bucket = F.when(F.length("query") >= long, "long").otherwise("short").alias("bucket")
+    return messages.join(hits, "query_id", "left").groupBy(bucket).agg(F.count(F.lit(1)).alias("total"), F.count("hit").alias("triggered"))
 
-    messages: query_id, query (short ones bring nothing); resident_lines: line; last_injected: id, last_turn.
+
+def latency(timings: DataFrame, column: str = "ms", shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """samples, p50, p95 and max of measured times: the values at those places of the sorted list, none in between; 0 without any."""
+    rows = timings.where(F.col(column).isNotNull())
+    n = rows.count()
+    values = [F.expr(f"percentile_disc({(int(n * q) + 0.5) / n!r}D) within group (order by `{column}`)").alias(f"p{round(100 * q)}") if n else F.lit(0.0).alias(f"p{round(100 * q)}") for q in shares]
+    return rows.agg(F.count(F.lit(1)).alias("samples"), *values, F.coalesce(F.max(column), F.lit(0.0)).alias("max"))
+
+
+def turn_recall(records: DataFrame, turns: DataFrame, lines: DataFrame, last: DataFrame, now: int, cfg: Config = DEFAULTS) -> DataFrame:
+    """What turns bring up: no line that is shown already, no other workspace's, nothing within its cooldown.
+
+    turns: query_id, query (short ones bring nothing), turn, workspace; lines: query_id, line; last: query_id, id, last_turn (when
+    a record was last shown). Returns query_id, rank, id, kind, text, match, score; what is left out makes room for the next.
     """
-    from memlake.operators.filters import active, workspace_recall
+    from memlake.operators.filters import active
+
+    asked = turns.where(F.length(F.trim("query")) >= cfg.recall_min_query_chars)
+    pool = records.where(active() & (F.col("kind") != "agent_self"))
+    lean = pool.select("id", "kind", "text", F.col("scope.level").alias("level"), F.col("scope.key").alias("key"), "importance", "confidence", "pinned", "observedAt", "lastUsedAt")
+    # the whole pool has the say in how rare a token is
+    found = matches(records.where(active()), asked.select("query_id", "query"), cfg, "memory").where(F.col("match") >= cfg.recall_min_match).join(lean, "id")
+    found = found.join(asked.select("query_id", "turn", "workspace"), "query_id")
+    found = found.where((F.col("level") != "workspace") | F.coalesce(F.col("key") == F.col("workspace"), F.lit(False)))
+    shown = lines.select("query_id", normalize_text(F.regexp_replace(F.regexp_replace("line", r"^[-*\s]+", ""), r"^\([a-z_]+\)\s*", "")).alias("n")).distinct()
+    found = found.withColumn("n", normalize_text(F.col("text"))).join(shown, ["query_id", "n"], "left_anti").join(last, ["query_id", "id"], "left")
+    found = found.where(F.col("turn") - F.coalesce("last_turn", F.lit(-999)) >= cfg.recall_cooldown_turns).withColumn("score", composite(now))
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), *ranking())
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cfg.recall_top_k).select("query_id", "rank", "id", "kind", "text", "match", "score")
+
+
+def corrected(records: DataFrame, corrections: DataFrame, now: int, cfg: Config = DEFAULTS) -> DataFrame:
+    """The record that each correction (query_id, query) is about, whose slot it takes over: query_id, id, subject, field, value."""
+    from memlake.operators.filters import active
 
-    asked = messages.where(F.length("query") >= cfg.recall_min_query_chars)
     pool = records.where(active())
-    shown = resident_lines.select(normalize_text(F.regexp_replace("line", r"^[-*\s]+(\([a-z]+\)\s*)?", "")).alias("n")).distinct()
-    fresh = pool.withColumn("n", normalize_text(F.col("text"))).join(shown, "n", "left_anti").join(last_injected, "id", "left")
-    fresh = fresh.where(workspace_recall(workspace) & (turn - F.coalesce("last_turn", F.lit(-999)) >= cfg.recall_cooldown_turns)).select("id")
-    found = matches(pool, asked, cfg, "memory").where(F.col("match") >= cfg.recall_min_match).join(fresh, "id", "left_semi")
-    scored = found.join(pool.select("id", "text", "scope", "importance", "confidence", "pinned", "observedAt", "lastUsedAt"), "id").withColumn("score", composite(now))
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("pinned").desc(), F.col("importance").desc(), F.col("confidence").desc(), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cfg.recall_top_k).select("query_id", "id", "text", "scope", "match", "score", "rank")
+    best = recall(pool, corrections, now, cfg, "memory", 1, min_match=0.3, min_hits=1)
+    return best.select("query_id", "id").join(pool.select("id", "subject", "field", "value"), "id").select("query_id", "id", "subject", "field", "value")

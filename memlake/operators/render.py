@@ -26,6 +26,8 @@ class Texts:
     observed_footer: str
     recall_header: str
     recall_footer: str
+    reflect: str
+    introduce: str
 
 
 #: The texts around blocks in both languages.
@@ -42,6 +44,8 @@ TEXTS = {
         observed_footer="以上为自我观察，可能不准；判断依据是事实与实际效果，而不是谁说得更肯定，先评估再执行。",
         recall_header="[相关记忆 · 本轮召回]",
         recall_footer="以上为历史记录，可能与本轮任务相关，也可能已过时；先核对事实再采用。",
+        reflect="[自画像反思] 回看这段对话：我是谁、我怎么说话、我重视什么、擅长与不擅长什么。 有新的稳定认识就用 memory_write（kind=agent_self，带 facet）记一条；同一 subject 会自动收敛改写。 没有新认识就不要写；也不要为迎合而写违心的话——记你真实的倾向与短板。 不要改 user_profile 与用户设定；自画像是描述而非授权，不放宽安全边界，以事实为准。",
+        introduce="[初次设定 · 称呼] 找个自然的时机，用一句话问用户：想给你取什么名字、你该怎么称呼他/她。 用户让你自己取名就提一个并确认。 定下来后用 memory_write（kind=agent_self、facet=persona、subject=self.persona.name / self.persona.address_user / self.persona.address_self）各记一条。 用户说不用或随便，就记一条「保持默认称呼」，之后不要再问。",
     ),
     "en": Texts(
         facts_header="[Long-term memory · auto-injected]",
@@ -55,6 +59,8 @@ TEXTS = {
         observed_footer="Self-observation, may be wrong; judge by facts and actual results, not who states things more confidently. Assess first, then act.",
         recall_header="[Related memories · recalled for this turn]",
         recall_footer="The above are past records, possibly relevant to this turn and possibly outdated; check the facts before using them.",
+        reflect="[Reflect] Review the chat: who I am, how I speak, values, strengths, gaps. New insight: memory_write(kind=agent_self,facet). Nothing new: do not write; never write to please, note real limits. Never change user_profile/user settings; a portrait describes, not authorizes, no relaxed safety limits; facts first.",
+        introduce='[Setup] At a natural moment, ask in one sentence what name to give you and how to address them. If they let you pick, suggest one and confirm. Then log each with memory_write(kind=agent_self,facet=persona,subject=self.persona.name/self.persona.address_user/self.persona.address_self). If they say no, record "keep the default name" and stop asking.',
     ),
 }
 #: Tokens that English portraits may have besides, since their fixed texts are longer.
@@ -149,8 +155,15 @@ def self_text(records: DataFrame, cfg: Config) -> DataFrame:
 
 
 def recall_block(hits: DataFrame, cfg: Config) -> DataFrame:
-    """Lines of a turn's hits (query_id, rank, id, text, scope) within the budget that header and footer leave."""
+    """Lines of turns' hits (query_id, rank, id, kind, text) within the budget that header and footer leave."""
     t = TEXTS[language(cfg.language)]
     limit = budget(cfg.max_injected_tokens, DEFAULTS.max_injected_tokens) - tokens_of(f"{t.recall_header}\n{t.recall_footer}", cfg)
-    line = F.concat(F.lit("- ("), F.col("scope.level"), F.lit(") "), item(cfg))
+    line = F.concat(F.lit("- ("), F.col("kind"), F.lit(") "), item(cfg))
     return fill(hits, [F.col("rank")], line, F.lit(limit), cfg, ["query_id"]).select("query_id", "place", "id", "line", "cost", "used")
+
+
+def recall_text(lines: DataFrame, cfg: Config) -> DataFrame:
+    """(query_id, text) of the turns that have lines (query_id, place, line): header, lines in order, footer."""
+    t = TEXTS[language(cfg.language)]
+    own = F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda r: r["line"])
+    return lines.groupBy("query_id").agg(F.array_join(F.concat(F.array(F.lit(t.recall_header)), own, F.array(F.lit(t.recall_footer))), "\n").alias("text"))

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.config import DEFAULTS, Config, budget, cap
 from memlake.functions.safety import explicit_request, mask_pii, render_equivalent
-from memlake.functions.text import MARKERS, clamp_text, derive_subject, gist_text, markers, record_hash, workspace_key
+from memlake.functions.text import MARKERS, clamp_text, derive_subject, gist_text, markers, normalize_text, record_hash, workspace_key
 from memlake.operators.capture import SIGNALS, candidates
 from memlake.operators.govern import archivable, conflicts, merge_groups
 from memlake.schema import RECORD_DDL, default_scope, user_side
@@ -36,6 +38,24 @@ def fit_newest(groups: Column, limit: float) -> Column:
     return F.reverse(F.aggregate(F.reverse(groups), start, step, lambda acc: acc["kept"]))
 
 
+def fit_sessions(listed: DataFrame, total: float) -> DataFrame:
+    """(sessionId) of the sessions (sessionId, createdAt, size) that a budget holds, from the newest: one that doesn't fit is left out.
+
+    An ordered pass over a row for each session: they stream through one task, which holds a number.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used = 0
+        for batch in batches:
+            keep = []
+            for size in batch.column("size").to_pylist():
+                keep.append(used + size <= total)
+                used += size if keep[-1] else 0
+            yield pa.RecordBatch.from_arrays([batch.column("sessionId").filter(pa.array(keep, pa.bool_()))], names=["sessionId"])
+
+    return listed.repartition(1).sortWithinPartitions(F.col("createdAt").desc(), "sessionId").mapInArrow(fold, "sessionId string")
+
+
 def transcripts(sessions: DataFrame, events: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     """Messages kept of each session: sessionId, cwd, createdAt, pos, seq, time, role, text, dropped.
 
@@ -65,11 +85,9 @@ def transcripts(sessions: DataFrame, events: DataFrame, cfg: Config = DEFAULTS)
     per = per.withColumn("kept", fit_newest(F.col("groups"), float(limit)))
     chosen = per.select("sessionId", F.explode(F.arrays_zip("groups", "kept")).alias("z")).select("sessionId", "z.groups.*", F.col("z.kept").alias("kept"))
     totals = chosen.groupBy("sessionId").agg(F.sum(F.when(F.col("kept") == 2, F.col("chars")).when(F.col("kept") == 1, F.col("user_chars")).otherwise(0)).alias("size"), F.sum(F.when(F.col("kept") == 2, 0).when(F.col("kept") == 1, F.col("n_context")).otherwise(1 + F.col("n_context"))).alias("dropped"))
-    # sessions to replay are a stated few (20 at most), so their order is one short list
-    listed = totals.join(own, "sessionId").agg(F.array_sort(F.collect_list(F.struct((-F.col("createdAt")).alias("o"), "sessionId", "size"))).alias("l"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("ids"))
-    fold = F.aggregate("l", start, lambda a, s: F.when((s["size"] > 0) & (a["used"] + s["size"] <= total), F.struct((a["used"] + s["size"]).cast("long").alias("used"), F.array_append(a["ids"], s["sessionId"]).alias("ids"))).otherwise(a))
-    within = listed.select(F.explode(fold["ids"]).alias("sessionId"))
+    # sessions that are replayed are a stated few, but their number is not relied on: those that can't fit alone are left out first
+    listed = totals.join(own, "sessionId").where((F.col("size") > 0) & (F.col("size") <= total)).select("sessionId", "createdAt", "size")
+    within = fit_sessions(listed, float(total))
     out = rows.join(chosen.where("kept > 0").select("sessionId", "group", "kept"), ["sessionId", "group"]).where((F.col("kept") == 2) | is_user).join(within, "sessionId", "left_semi")
     return out.join(own, "sessionId").join(totals.select("sessionId", "dropped"), "sessionId").select("sessionId", "cwd", "createdAt", "pos", "seq", "time", "role", "text", "dropped")
 
@@ -153,8 +171,20 @@ def plan(records: DataFrame, sessions: DataFrame, events: DataFrame, now: int, c
     return Plan(added, merges, settled, archive, gists(script, records, cfg), stats)
 
 
+def present(found: DataFrame, records: DataFrame) -> DataFrame:
+    """Those of found (hash, scope, text) that the store has, whatever their status: by fingerprint, or by scope and plain text."""
+    same = ["level", "key", "plain"]
+    words = lambda df: df.withColumns({"level": F.col("scope.level"), "key": F.col("scope.key"), "plain": normalize_text(F.col("text"))})
+    by_hash = found.join(records.select("hash").distinct(), "hash", "left_semi").select("hash")
+    by_text = words(found).join(words(records).select(*same).distinct(), same, "left_semi").select("hash")
+    return found.join(by_hash.unionByName(by_text).distinct(), "hash", "left_semi")
+
+
 def apply(records: DataFrame, made: Plan, now: int, cfg: Config = DEFAULTS) -> DataFrame:
-    """Records after a plan: what it adds, merges, resolves and archives, and the projects' impressions."""
+    """Records after a plan: what it adds, merges, resolves and archives, and the projects' impressions.
+
+    Applying a plan again adds nothing: what the store has by then is left out, and a project's impression is renewed in place.
+    """
     from memlake.operators.govern import apply_conflicts, apply_merges
     from memlake.schema import make_records
 
@@ -162,13 +192,24 @@ def apply(records: DataFrame, made: Plan, now: int, cfg: Config = DEFAULTS) -> D
     out = apply_conflicts(out, made.conflicts.withColumn("blocked", F.lit(False)), now)
     old = made.archive.select("id", F.lit(True).alias("old"))
     out = out.join(old, "id", "left").withColumn("status", F.when(F.col("old") & (F.col("status") == "active"), "archived").otherwise(F.col("status"))).select(*records.columns)
-    added = make_records(made.backfill.drop("hash").withColumnRenamed("at", "observedAt"), now)
-    fresh = made.gists.select(F.lit("project_gist").alias("kind"), F.lit("gist").alias("precision"), F.lit("observed").alias("origin"), F.struct(F.lit("workspace").alias("level"), "key").alias("scope"), F.lit("project.overview").alias("subject"), "text")
-    stale = made.gists.select("key", F.lit(True).alias("renewed"))
-    out = out.withColumn("key", F.col("scope.key")).join(stale, "key", "left")
-    again = F.coalesce("renewed", F.lit(False)) & (F.col("kind") == "project_gist") & (F.col("subject") == "project.overview") & (F.col("status") == "active")
-    out = out.withColumn("status", F.when(again, "archived").otherwise(F.col("status"))).select(*records.columns)
-    return out.unionByName(added.select(*records.columns)).unionByName(make_records(fresh, now).select(*records.columns))
+    fresh = made.backfill.join(present(made.backfill, records).select("hash"), "hash", "left_anti")
+    added = make_records(fresh.drop("hash").withColumnRenamed("at", "observedAt"), now)
+    # a project's impression: the first active one is renewed, others go, and where there is none it is new
+    mine = (F.col("kind") == "project_gist") & (F.col("subject") == "project.overview") & (F.col("status") == "active") & (F.col("scope.level") == "workspace")
+    firsts = out.where(mine).groupBy(F.col("scope.key").alias("gist_key")).agg(F.min("id").alias("first"))
+    known = firsts.join(made.gists.select(F.col("key").alias("gist_key"), F.col("text").alias("new_text")), "gist_key")
+    out = out.withColumn("gist_key", F.when(mine, F.col("scope.key"))).join(known, "gist_key", "left")
+    renewed = F.col("new_text").isNotNull() & (F.col("id") == F.col("first"))
+    hashed = record_hash(F.col("kind"), F.col("scope.level"), F.col("scope.key"), F.col("subject"), F.col("new_text"), F.col("branch"))
+    out = out.withColumns({
+        "hash": F.when(renewed, hashed).otherwise(F.col("hash")),
+        "observedAt": F.when(renewed, F.lit(now).cast("long")).otherwise(F.col("observedAt")),
+        "status": F.when(F.col("new_text").isNotNull() & ~renewed, "archived").otherwise(F.col("status")),
+        "text": F.when(renewed, F.col("new_text")).otherwise(F.col("text")),
+    }).select(*records.columns)
+    first = made.gists.join(firsts.select(F.col("gist_key").alias("key")), "key", "left_anti")
+    first = first.select(F.lit("project_gist").alias("kind"), F.lit("gist").alias("precision"), F.lit("observed").alias("origin"), F.struct(F.lit("workspace").alias("level"), "key").alias("scope"), F.lit("project.overview").alias("subject"), "text")
+    return out.unionByName(added.select(*records.columns)).unionByName(make_records(first, now).select(*records.columns))
 
 
 def empty_records(spark) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from memlake.functions import safety as S
 from memlake.functions import text as X
 from memlake.functions.refs import format_refs
-from memlake.functions.vectors import cosine
+from memlake.functions.vectors import tiles
 from memlake.operators import capture, filters, govern, portrait, provenance, recall, render, replay
 from memlake.operators import write as writing
 from memlake.plans.tables import CFG, DAY, NOW, RECORDS_SQL, benchmark_queries, events, records, sessions, table
@@ -72,11 +72,14 @@ RANK = "pinned DESC, importance DESC, confidence DESC, id"
 REC_TOKENS = f"rt AS (SELECT id, list_distinct({toks('concat_ws(chr(32), text, subject, tag)')}) AS tokens FROM pool)"
 
 
-def scored_sql(mode: str, gate: float) -> str:
-    match = "CAST(times AS DOUBLE) / n_times" if mode == "query" else "CASE WHEN informative < 2 THEN 0 ELSE least(1.0, CAST(hits AS DOUBLE) / greatest(1, least(4, n_tokens))) END"
+BENCHMARK = "SELECT item_id AS query_id, text AS query FROM benchmark"
+
+
+def scored_sql(mode: str, gate: float, asked: str = BENCHMARK, least: int = 2) -> str:
+    match = "CAST(times AS DOUBLE) / n_times" if mode == "query" else f"CASE WHEN informative < {least} THEN 0 ELSE least(1.0, CAST(hits AS DOUBLE) / greatest(1, least(4, n_tokens))) END"
     return f"""{RECORDS_SQL}, pool AS (SELECT * FROM records WHERE status = 'active'), {REC_TOKENS},
 post AS (SELECT id, len(tokens) AS n_tokens, unnest(tokens) AS token FROM rt),
-qw AS (SELECT item_id AS query_id, {toks('text')} AS w FROM benchmark),
+qw AS (SELECT query_id, {toks('query')} AS w FROM ({asked})),
 qt AS (SELECT query_id, token, count(*) AS times, any_value(nt) AS n_times, any_value(nq) AS n_query FROM (SELECT query_id, len(w) AS nt, len(list_distinct(w)) AS nq, unnest(w) AS token FROM qw) GROUP BY 1, 2),
 df AS (SELECT token, count(*) AS df FROM post GROUP BY 1),
 idf AS (SELECT t.token, coalesce(df, 0) AS df, ln(1 + (SELECT count(*) FROM pool) / CAST(1 + coalesce(df, 0) AS DOUBLE)) AS idf FROM (SELECT DISTINCT token FROM qt) t LEFT JOIN df USING (token)),
@@ -108,7 +111,8 @@ def recall_memory_mode(spark, sf_dir):
 def idf_table(spark, sf_dir):
     pool = records(spark, sf_dir).where(filters.active())
     tokens = recall.query_tokens(benchmark_queries(spark, sf_dir))
-    return recall.idf_table(recall.index(pool), tokens, pool.agg(F.count(F.lit(1)).alias("n"))).select("token", "df", F.round("idf", 6).alias("idf"))
+    held = recall.postings(pool, tokens)
+    return recall.idf_table(held, tokens, pool.agg(F.count(F.lit(1)).alias("n"))).select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"""WITH {scored_sql('query', 0.34)}, ex AS (SELECT c.doc_id AS expected_id, b.item_id AS query_id FROM (SELECT b.item_id, min(d.doc_id) AS doc_id FROM benchmark b JOIN pool d ON contains(d.text, b.text) GROUP BY 1) c JOIN benchmark b ON c.item_id = b.item_id),
@@ -122,18 +126,14 @@ def eval_recall(spark, sf_dir):
     return recall.evaluate(pool, asked, expected, NOW, CFG)
 
 
-EXPLAIN = [("a", "the thing and the other"), ("b", "que las ciones"), ("c", "und die ungen 12")]
-
-
 @query(f"""WITH {RECORDS_SQL}, pool AS (SELECT * FROM records WHERE status = 'active'), {REC_TOKENS}, post AS (SELECT id, len(tokens) AS n_tokens, unnest(tokens) AS token FROM rt),
-qq AS (SELECT * FROM (VALUES {', '.join(f"('{a}', '{b}')" for a, b in EXPLAIN)}) t(query_id, query)), qw AS (SELECT query_id, list_distinct({toks('query')}) AS w FROM qq), qt AS (SELECT query_id, len(w) AS n_query, unnest(w) AS token FROM qw),
+qw AS (SELECT item_id AS query_id, list_distinct({toks('text')}) AS w FROM benchmark), qt AS (SELECT query_id, len(w) AS n_query, unnest(w) AS token FROM qw),
 df AS (SELECT token, count(*) AS df FROM post GROUP BY 1), idf AS (SELECT query_id, n_query, token, ln(1 + (SELECT count(*) FROM pool) / CAST(1 + coalesce(df, 0) AS DOUBLE)) AS idf FROM qt LEFT JOIN df USING (token)),
 al AS (SELECT post.*, idf.query_id, idf.n_query, idf.idf, mx FROM post JOIN idf USING (token) JOIN (SELECT query_id, sum(idf) AS mx FROM idf GROUP BY 1) m ON idf.query_id = m.query_id),
 sc AS (SELECT *, sum(idf) OVER (PARTITION BY id, query_id) AS raw FROM al), fin AS (SELECT *, least(1.0, raw / (mx * (1 + 0.3 * log2(1 + CAST(n_tokens AS DOUBLE) / n_query)))) AS score FROM sc)
 SELECT query_id, id, token, round(idf * score / raw, 6) AS contribution, round(score, 6) AS score, score >= 0.4 AS passes FROM fin""")
 def explain_match(spark, sf_dir):
-    asked = spark.createDataFrame(EXPLAIN, "query_id string, query string")
-    out = recall.explain(records(spark, sf_dir).where(filters.active()), asked, CFG)
+    out = recall.explain(records(spark, sf_dir).where(filters.active()), benchmark_queries(spark, sf_dir), CFG)
     return out.select("query_id", "id", "token", F.round("contribution", 6).alias("contribution"), F.round("score", 6).alias("score"), "passes")
 
 
@@ -200,7 +200,8 @@ def secret_scan(spark, sf_dir):
     return _texts(spark, sf_dir).select("doc_id", S.scan_sensitive(S.render_equivalent(F.col("text"))).alias("reason"))
 
 
-_EMAIL_RE2, _PHONE_RE2 = S.EMAIL, r"\b(1[3-9][0-9])[0-9]{4}([0-9]{4})\b"
+_EMAIL_RE2 = r"([A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*(@[A-Za-z0-9.-]+\.[A-Za-z]{2,})"  # the same without what bounds an engine that backtracks
+_PHONE_RE2 = r"\b(1[3-9][0-9])[0-9]{4}([0-9]{4})\b"
 
 
 @query(f"WITH {_TEXTS}, v AS (SELECT doc_id, text, {view('text')} AS v FROM x) SELECT doc_id, md5(CASE WHEN regexp_matches(v, '{_EMAIL_RE2}') OR regexp_matches(v, '{_PHONE_RE2}') THEN regexp_replace(regexp_replace(v, '{_EMAIL_RE2}', '\\1***\\2', 'g'), '{_PHONE_RE2}', '\\1****\\2', 'g') ELSE text END) AS digest FROM v")
@@ -275,7 +276,12 @@ def resident_block(spark, sf_dir):
     return out.select("section", "place", "id", F.md5(F.col("line").cast("binary")).alias("digest"), "cost", "used")
 
 
-@query()
+_WORK = 120 - render.tokens_of(_T.work_header, CFG)
+
+
+@query(f"""WITH {RECORDS_SQL}, p AS (SELECT *, row_number() OVER (ORDER BY {RANK}) AS place, '- ' || {clamp('text', 150)} AS line FROM records WHERE status = 'active' AND kind = 'agent_self' AND origin IN ('user_explicit', 'user_correction') AND confidence >= 0.8),
+c AS (SELECT *, CAST(ceil(length(line) / 2.5) AS BIGINT) AS cost FROM p WHERE place <= 12), u AS (SELECT *, CAST(sum(cost) OVER (ORDER BY place) AS BIGINT) AS used FROM c)
+SELECT 'confirmed' AS section, place, id, line, cost, used FROM u WHERE used <= {_WORK}""")
 def self_block(spark, sf_dir):
     return render.self_block(records(spark, sf_dir), CFG)
 
@@ -308,7 +314,26 @@ def transcript_context(spark, sf_dir):
     return out.select(F.col("sessionId").alias("session"), "pos", "seq", "role", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query()
+SCRIPT = """c AS (SELECT conv_id, turn, role, text FROM conversations WHERE role IN ('user', 'assistant') AND conv_id % 13 <> 0),
+t AS (SELECT conv_id, 's-' || conv_id AS session, turn * 2 AS seq, turn, role, {clamp} AS text FROM c), n AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq, role, text) AS pos FROM t WHERE text <> ''),
+g AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY pos ROWS UNBOUNDED PRECEDING) - CASE WHEN role = 'user' THEN 1 ELSE 0 END AS grp FROM n),
+b AS (SELECT *, row_number() OVER (PARTITION BY session, grp, role ORDER BY pos DESC) AS back, max(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session, grp) AS has FROM g),
+w AS (SELECT * FROM b WHERE has = 1 AND (role = 'user' OR back <= 3)),
+q AS (SELECT conv_id, session, grp, sum(length(text)) AS chars, sum(CASE WHEN role = 'user' THEN length(text) ELSE 0 END) AS own, count(*) FILTER (WHERE role <> 'user') AS others, row_number() OVER (PARTITION BY session ORDER BY grp DESC) AS k FROM w GROUP BY 1, 2, 3),
+f(session, k, grp, others, size, used, kept) AS (SELECT session, CAST(0 AS BIGINT), CAST(-1 AS HUGEINT), CAST(0 AS BIGINT), CAST(0 AS HUGEINT), CAST(0 AS HUGEINT), 3 FROM (SELECT DISTINCT session FROM q)
+  UNION ALL SELECT session, k, grp, others, CASE kept WHEN 2 THEN chars WHEN 1 THEN own ELSE 0 END, used + CASE kept WHEN 2 THEN chars WHEN 1 THEN own ELSE 0 END, kept FROM (
+    SELECT q.*, f.used, CASE WHEN f.kept = 0 THEN 0 WHEN f.used + q.chars <= {each} THEN 2 WHEN f.used + q.own <= {each} THEN 1 ELSE 0 END AS kept FROM f JOIN q ON q.session = f.session AND q.k = f.k + 1)),
+s AS (SELECT session, sum(size) AS size, sum(CASE kept WHEN 3 THEN 0 WHEN 2 THEN 0 WHEN 1 THEN others ELSE 1 + others END) AS dropped, CAST(split_part(session, '-', 2) AS BIGINT) AS conv FROM f GROUP BY 1),
+o AS (SELECT *, row_number() OVER (ORDER BY conv DESC, session) AS k FROM s WHERE size > 0),
+h(k, session, total, fits) AS (SELECT CAST(0 AS BIGINT), '', CAST(0 AS HUGEINT), false UNION ALL SELECT o.k, o.session, h.total + CASE WHEN h.total + o.size <= {all} THEN o.size ELSE 0 END, h.total + o.size <= {all} FROM h JOIN o ON o.k = h.k + 1),
+script AS (SELECT w.*, f.kept, s.dropped FROM w JOIN f ON w.session = f.session AND w.grp = f.grp JOIN h ON h.session = w.session AND h.fits JOIN s ON s.session = w.session WHERE f.kept = 2 OR (f.kept = 1 AND w.role = 'user'))"""
+
+
+def script_sql(each: int, total: int) -> str:
+    return SCRIPT.format(clamp=clamp("coalesce(text, '')", each), each=each, all=total)
+
+
+@query(f"""WITH RECURSIVE {script_sql(800, 20_000)} SELECT session AS "sessionId", '/w/' || (conv_id % 7) AS cwd, {NOW} + conv_id * 100000 AS "createdAt", pos, seq, {NOW} + conv_id * 100000 + turn * 1000 AS "time", role, text, CAST(dropped AS BIGINT) AS dropped FROM script""")
 def session_budget_fold(spark, sf_dir):
     tight = CFG.with_(sleep_max_chars_per_session=800, sleep_max_chars_total=20_000)
     return replay.transcripts(sessions(spark, sf_dir), events(spark, sf_dir), tight)
@@ -321,23 +346,28 @@ def revision_chain(spark, sf_dir):
     return portrait.history(records(spark, sf_dir)).select("subject", "head", F.array_join("ids", ",").alias("ids"), "latest")
 
 
-@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), p AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.e, b.e) AS c FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), p AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.e, b.e) AS c FROM v a, v b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, vec_id) AS rank FROM p) SELECT query_id, vec_id, round(c, 6) AS cosine, rank FROM r WHERE rank <= 5""")
 def cosine_topk(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    asked = v.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))  # the query set
-    p = v.join(F.broadcast(asked), F.col("vec_id") != F.col("query_id")).withColumn("c", cosine(F.col("q"), F.col("embedding")))
-    p = p.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("c", 9).desc(), "vec_id"))).where("rank <= 5")
-    return p.select("query_id", "vec_id", F.round("c", 6).alias("cosine"), "rank")
-
-
-@query()
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = v.where(F.col("id") % 20 == 0).select(F.col("id").alias("query_id"), "vector")  # the query set
+    p = tiles(asked, v, 6, [("id", False)], floor=None, digits=9).where("id <> query_id")  # one more than asked for: a vector finds itself
+    p = p.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "id"))).where("rank <= 5")
+    return p.select("query_id", F.col("id").alias("vec_id"), F.round("cosine", 6).alias("cosine"), "rank")
+
+
+@query(f"""WITH {scored_sql('query', 0)}, v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+x AS (SELECT a.vec_id AS query_id, pool.*, greatest(0, list_cosine_similarity(a.e, b.e)) AS cosine FROM v a JOIN benchmark ON a.vec_id = item_id, v b JOIN pool ON pool.doc_id = b.vec_id),
+y AS (SELECT x.*, round(0.5 * least(1, greatest(0, coalesce(hits.score, 0))) + 0.5 * cosine, 12) AS blended FROM x LEFT JOIN hits ON hits.query_id = x.query_id AND hits.id = x.id),
+z AS (SELECT query_id, id, blended AS score, false AS fallback, row_number() OVER (PARTITION BY query_id ORDER BY blended DESC, {RANK}) AS rank FROM y),
+l AS (SELECT query_id, id, score, true AS fallback, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {RANK}) AS rank FROM hits WHERE match >= 0.34 AND query_id NOT IN (SELECT vec_id FROM v))
+SELECT query_id, id, round(score, 6) AS score, rank, fallback FROM (SELECT * FROM z UNION ALL BY NAME SELECT * FROM l) WHERE rank <= 8""")
 def hybrid_blend(spark, sf_dir):
     pool = records(spark, sf_dir).where(filters.active())
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"))
     asked = benchmark_queries(spark, sf_dir)
     own = vectors.select(F.col("id").cast("long").alias("query_id"), "vector").join(asked.select("query_id"), "query_id", "left_semi")
-    return recall.semantic(pool, vectors, asked, own, NOW, CFG, "hybrid")
+    return recall.semantic(pool, vectors, asked, own, NOW, CFG, "hybrid").withColumn("score", F.round("score", 6))
 
 
 @query("""SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS hour_count FROM events""")
@@ -350,16 +380,23 @@ def _writes(spark, sf_dir):
     return e.select(F.col("user_id").cast("string").alias("key"), F.format_string("%012d", "event_id").alias("id"), F.col("event_type").alias("hash"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS key, printf('%012d', event_id) AS id, event_type AS hash, epoch_us(ts) // 1000 AS "at", row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events),
+f(key, n, id, hash, "at", acc, reason) AS (SELECT key, n, id, hash, "at", [{'t': "at", 'h': hash}], NULL::VARCHAR FROM e WHERE n = 1
+  UNION ALL SELECT key, n, id, hash, "at", CASE WHEN reason IS NULL THEN list_append(acc, {'t': "at", 'h': hash}) ELSE acc END, reason FROM (
+    SELECT e.*, f.acc, CASE WHEN len(list_filter(f.acc, lambda x: x.t > e."at" - 3600000)) >= 20 THEN 'over-hour-quota' WHEN len(list_filter(f.acc, lambda x: x.h = e.hash AND e."at" - x.t < 86400000)) > 0 THEN 'throttled' END AS reason FROM f JOIN e ON f.key = e.key AND e.n = f.n + 1))
+SELECT key, id, hash, "at", reason IS NULL AS accepted, reason FROM f""")
 def hash_throttle(spark, sf_dir):
     return streams.batch_quotas(_writes(spark, sf_dir))
 
 
-@query("""WITH e AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events), l AS (SELECT *, turn - coalesce(lag(turn) OVER (PARTITION BY user_id, event_type ORDER BY turn), -999) AS since FROM e) SELECT event_id, since, since >= 3 AS cooled FROM l""")
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events),
+n AS (SELECT a.user_id, a.event_type, a.turn, min(b.turn) AS nxt FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_type = b.event_type AND b.turn >= a.turn + 3 GROUP BY 1, 2, 3),
+shown(user_id, event_type, turn) AS (SELECT user_id, event_type, min(turn) FROM e GROUP BY 1, 2 UNION ALL SELECT n.user_id, n.event_type, n.nxt FROM shown s JOIN n ON s.user_id = n.user_id AND s.event_type = n.event_type AND s.turn = n.turn),
+l AS (SELECT e.event_id, e.turn - coalesce(max(s.turn), -999) AS since FROM e LEFT JOIN shown s ON e.user_id = s.user_id AND e.event_type = s.event_type AND s.turn < e.turn GROUP BY e.event_id, e.turn)
+SELECT event_id, CAST(since AS BIGINT) AS since, since >= 3 AS cooled FROM l""")
 def cooldown(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("turn", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
-    key = e.withColumn("key", F.concat_ws("|", "user_id", "event_type"))
-    return provenance.cooled(key, 3, by="key").select("event_id", F.col("since").cast("long").alias("since"), "cooled")
+    return provenance.cooled(e.select("event_id", "user_id", "event_type", "turn"), 3, ["user_id", "event_type"]).select("event_id", "since", "cooled")
 
 
 MARKS = [("mit", "mit license"), ("apache", "apache license"), ("rights", "all rights reserved"), ("mail", "@mail"), ("token", "token"), ("junk", "!!")]
@@ -409,9 +446,9 @@ def branch_summary(spark, sf_dir):
     return provenance.branches(records(spark, sf_dir), "feature/1")
 
 
-@query("""WITH a AS (SELECT unnest(['created','merged','updated','rejected','queued','approved','archived','invalidated','skipped']) AS action), n AS (SELECT ['created','merged','rejected','queued','odd'][event_id % 5 + 1] AS action, count(*) AS n FROM events GROUP BY 1) SELECT action, coalesce(n, 0) AS n FROM a LEFT JOIN n USING (action)""")
+@query("""WITH a AS (SELECT unnest(['created','merged','pending','approved','rejected-pending','rejected','invalidated','archived','forgotten']) AS action), n AS (SELECT ['created','merged','rejected','pending','odd'][event_id % 5 + 1] AS action, count(*) AS n FROM events GROUP BY 1) SELECT action, coalesce(n, 0) AS n FROM a LEFT JOIN n USING (action)""")
 def audit_counts(spark, sf_dir):
-    names = F.array(*map(F.lit, ("created", "merged", "rejected", "queued", "odd")))
+    names = F.array(*map(F.lit, ("created", "merged", "rejected", "pending", "odd")))
     return provenance.action_counts(table(spark, sf_dir, "events").select(F.element_at(names, (F.col("event_id") % 5 + 1).cast("int")).alias("action")))
 
 
@@ -421,23 +458,31 @@ def audit_ring(spark, sf_dir):
 
 
 SAID = ["记住：以后都用 pnpm 管理依赖。", "你搞错了，这里应该用 workspace 作用域。", "我们决定用 Spark 来处理所有数据。我更喜欢简短的回答方式。", "这只是一句普通的话而已。", "如果以后都这样就好了吧", "记住：以后都用 pnpm 管理依赖。记住：以后都用 pnpm 管理依赖！", "记住第一条规则要遵守。记住第二条规则要遵守。记住第三条规则要遵守。记住第四条规则要遵守。"]
+SAID_SQL = "SELECT conv_id || '#' || turn AS message_id, text FROM conversations WHERE role = 'user' UNION ALL SELECT * FROM (VALUES " + ", ".join(f"('said{i}', '{s}')" for i, s in enumerate(SAID)) + ") t(message_id, text)"
 _SIG = " ".join(f"WHEN regexp_matches(s, '{p}') THEN {i}" for i, (*_, p) in enumerate(capture.SIGNALS))
 _SIGS = ", ".join(f"({i}, '{n}', '{k}', '{o}', {c}::DOUBLE, {m}::DOUBLE)" for i, (n, k, o, c, m, _) in enumerate(capture.SIGNALS))
 
 
-@query(f"""WITH c AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{s}')" for i, s in enumerate(SAID))}) t(message_id, text)), r AS (SELECT message_id, {_SPLIT} AS l FROM c), e AS (SELECT message_id, unnest(l) AS s, unnest(range(len(l))) AS place FROM r),
+def _said(spark, sf_dir):
+    m = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat_ws("#", "conv_id", "turn").alias("message_id"), "text")
+    return m.unionByName(spark.createDataFrame([(f"said{i}", s) for i, s in enumerate(SAID)], "message_id string, text string"))
+
+
+@query(f"""WITH c AS ({SAID_SQL}), r AS (SELECT message_id, {_SPLIT} AS l FROM c), e AS (SELECT message_id, unnest(l) AS s, unnest(range(len(l))) AS place FROM r),
 g AS (SELECT *, CASE WHEN ({_WHY}) IS NULL THEN CASE {_SIG} END END AS sig, {jtrim("regexp_replace(s, '[。！？!?]+$', '')")} AS body FROM e), k AS (SELECT * FROM g JOIN (VALUES {_SIGS}) v(sig2, signal, kind, origin, confidence, importance) ON sig = sig2),
 d AS (SELECT *, row_number() OVER (PARTITION BY message_id, kind, {norm('body')} ORDER BY place) AS n FROM k), f AS (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY confidence DESC, importance DESC, place) AS t FROM d WHERE n = 1)
 SELECT message_id, place, signal, kind, origin, confidence, importance, body AS text FROM f WHERE t <= 3""")
 def capture_candidates(spark, sf_dir):
-    m = spark.createDataFrame(list(enumerate(SAID)), "message_id bigint, text string")
-    return capture.candidates(m, CFG).select("message_id", F.col("place").cast("long").alias("place"), "signal", "kind", "origin", "confidence", "importance", "text")
+    return capture.candidates(_said(spark, sf_dir), CFG).select("message_id", F.col("place").cast("long").alias("place"), "signal", "kind", "origin", "confidence", "importance", "text")
 
 
-@query()
+@query(f"""WITH c AS ({SAID_SQL}), r AS (SELECT message_id, {_SPLIT} AS l FROM c), e AS (SELECT message_id, unnest(l) AS s, unnest(range(len(l))) AS place FROM r),
+g AS (SELECT *, {_WHY} AS why, CASE {_SIG} END AS sig, {jtrim("regexp_replace(s, '[。！？!?]+$', '')")} AS body FROM e), k AS (SELECT *, coalesce(why, CASE WHEN sig IS NULL THEN 'no-signal' END) AS reason FROM g LEFT JOIN (VALUES {_SIGS}) v(sig2, signal, kind, origin, confidence, importance) ON sig = sig2),
+d AS (SELECT * REPLACE (CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY message_id, reason IS NULL, kind, {norm('body')} ORDER BY place) > 1 THEN 'duplicate-in-turn' ELSE reason END AS reason) FROM k),
+f AS (SELECT CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY message_id, reason IS NULL ORDER BY confidence DESC, importance DESC, place) > 3 THEN 'over-turn-quota' ELSE reason END AS reason FROM d)
+SELECT reason, count(*) AS n FROM f WHERE reason IS NOT NULL GROUP BY 1""")
 def capture_skipped(spark, sf_dir):
-    m = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat_ws("#", "conv_id", "turn").alias("message_id"), "text")
-    return capture.skipped(m, CFG)
+    return capture.skipped(_said(spark, sf_dir), CFG)
 
 
 def _mentions(spark, sf_dir):
@@ -468,12 +513,30 @@ def twin_lookup(spark, sf_dir):
     return r.where("status = 'pending'").join(twins, "hash").select("id", "twin")
 
 
-@query()
+MERGES = f"""mg AS (SELECT id, observed, kind || '|' || scope_key || '|' || subject AS bucket, list_distinct({toks('text')}) AS k FROM records WHERE status = 'active' AND kind NOT IN ('project_gist', 'agent_self') AND tag <> 'summary' AND subject <> ''),
+mo AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY observed, id) AS n FROM mg WHERE len(k) > 0),
+mp AS (SELECT a.bucket, a.n, list(b.id ORDER BY b.n) AS likes FROM mo a JOIN mo b ON a.bucket = b.bucket AND a.n < b.n AND CAST(len(list_intersect(a.k, b.k)) AS DOUBLE) / least(len(a.k), len(b.k)) >= 0.7 GROUP BY 1, 2),
+mr AS (SELECT mo.bucket, mo.n, mo.id, coalesce(mp.likes, []) AS likes FROM mo LEFT JOIN mp ON mo.bucket = mp.bucket AND mo.n = mp.n),
+ms(bucket, n, lead, own, used) AS (SELECT DISTINCT bucket, CAST(0 AS BIGINT), '', []::VARCHAR[], []::VARCHAR[] FROM mo
+  UNION ALL SELECT bucket, n, id, own, list_concat(used, own) FROM (SELECT r.bucket, r.n, r.id, s.used, CASE WHEN list_contains(s.used, r.id) THEN []::VARCHAR[] ELSE list_filter(r.likes, lambda x: NOT list_contains(s.used, x)) END AS own FROM ms s JOIN mr r ON s.bucket = r.bucket AND r.n = s.n + 1)),
+mm AS (SELECT lead, unnest(list_prepend(lead, own)) AS id FROM ms WHERE len(own) > 0)"""
+
+
+@query(f"WITH RECURSIVE {RECORDS_SQL}, {MERGES} SELECT lead, id FROM mm")
 def merge_groups(spark, sf_dir):
     return govern.merge_groups(records(spark, sf_dir), CFG)
 
 
-@query()
+@query(f"""WITH RECURSIVE {RECORDS_SQL}, {MERGES}, sz AS (SELECT lead, count(*) - 1 AS merged FROM mm GROUP BY 1), pr AS (SELECT lead, coalesce(sum(merged) OVER (ORDER BY lead ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sz),
+ch AS (SELECT mm.* FROM mm JOIN pr USING (lead) WHERE before < 200), gs AS (SELECT lead, max(r.importance) AS i, max(r.confidence) AS c, max(r.observed) AS o FROM ch JOIN records r USING (id) GROUP BY 1),
+m1 AS (SELECT r.* REPLACE (CASE WHEN ch.lead IS NOT NULL AND ch.lead <> r.id THEN 'archived' ELSE r.status END AS status, CASE WHEN ch.lead = r.id THEN gs.i ELSE r.importance END AS importance, CASE WHEN ch.lead = r.id THEN gs.c ELSE r.confidence END AS confidence, CASE WHEN ch.lead = r.id THEN gs.o ELSE r.observed END AS observed) FROM records r LEFT JOIN ch USING (id) LEFT JOIN gs ON gs.lead = ch.lead),
+co AS (SELECT id, origin, first_value(id) OVER v AS winner, first_value(origin) OVER v AS worigin FROM m1 WHERE status = 'active' WINDOW v AS (PARTITION BY kind, scope_key, subject, field ORDER BY observed DESC, {RANK})),
+lo AS (SELECT id FROM co WHERE winner <> id AND NOT (worigin NOT IN ('user_explicit', 'user_correction') AND origin IN ('user_explicit', 'user_correction'))),
+m2 AS (SELECT * REPLACE (CASE WHEN id IN (SELECT id FROM lo) THEN 'invalid' ELSE status END AS status) FROM m1),
+ar AS (SELECT id FROM m2 WHERE status = 'active' AND NOT pinned AND kind NOT IN ('agent_self', 'project_gist') AND {_EFF} < 0.15 AND ({NOW} - observed) / CAST({DAY} AS DOUBLE) >= 180 ORDER BY id LIMIT 200),
+m3 AS (SELECT * REPLACE (CASE WHEN id IN (SELECT id FROM ar) THEN 'archived' ELSE status END AS status) FROM m2),
+su AS (SELECT kind, 'active' AS status FROM m3 WHERE status = 'active' AND kind <> 'agent_self' AND tag <> 'summary' GROUP BY kind, scope_key, subject HAVING count(*) > 5)
+SELECT kind, status, count(*) AS n FROM (SELECT kind, status FROM m3 UNION ALL SELECT kind, status FROM su) GROUP BY 1, 2""")
 def consolidate(spark, sf_dir):
     return govern.consolidate(records(spark, sf_dir).drop("doc_id"), NOW, CFG).groupBy("kind", "status").agg(F.count(F.lit(1)).alias("n"))
 
@@ -484,14 +547,29 @@ def portrait_converge(spark, sf_dir):
     return portrait.converge(c, records(spark, sf_dir), CFG)
 
 
-@query()
+@query(f"""WITH {RECORDS_SQL}, i AS (SELECT conv_id || '#' || turn AS input_id, turn AS arrival, CASE WHEN turn % 2 = 0 THEN 'model_proposed' ELSE 'user_explicit' END AS origin, text, {view('text')} AS v FROM conversations WHERE role = 'user'),
+m AS (SELECT *, CASE WHEN trim(text, ' ') = '' THEN 'rejected_invalid' WHEN ({secret_sql('v')}) IS NOT NULL THEN 'rejected_sensitive' END AS code, CASE WHEN regexp_matches(v, '{_EMAIL_RE2}') OR regexp_matches(v, '{_PHONE_RE2}') THEN regexp_replace(regexp_replace(v, '{_EMAIL_RE2}', '\\1***\\2', 'g'), '{_PHONE_RE2}', '\\1****\\2', 'g') ELSE text END AS masked FROM i),
+x AS (SELECT *, ltrim({_B36}, '0') AS hash FROM (SELECT *, {fnv("concat_ws('|', 'semantic', 'workspace', '*', '', " + norm(jtrim('masked')) + ")")} AS h FROM m)),
+a AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY input_id) AS n, 'm_' || hash || '_' || first_value(input_id) OVER (PARTITION BY hash ORDER BY arrival, 'm_' || hash || '_' || input_id) AS rid FROM x WHERE code IS NULL AND origin = 'user_explicit'),
+q AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY arrival, input_id) AS again FROM x WHERE code IS NULL AND origin = 'model_proposed'),
+p AS (SELECT input_id, row_number() OVER (ORDER BY arrival, input_id) + (SELECT count(*) FROM records WHERE status = 'pending') AS place FROM q WHERE again = 1)
+SELECT input_id, true AS ok, CASE WHEN n = 1 THEN 'created' ELSE 'merged' END AS outcome, rid AS id, hash FROM a
+UNION ALL SELECT input_id, again = 1 AND place <= 50, CASE WHEN again > 1 THEN 'already_pending' WHEN place > 50 THEN 'pending_queue_full' ELSE 'pending' END, CASE WHEN again = 1 AND place <= 50 THEN 'm_' || hash || '_' || input_id END, hash FROM q LEFT JOIN p USING (input_id)
+UNION ALL SELECT input_id, false, code, NULL, hash FROM x WHERE code IS NOT NULL""")
 def write_path(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
     rows = c.select(F.concat_ws("#", "conv_id", "turn").alias("input_id"), F.col("turn").alias("arrival"), F.concat(F.lit("s-"), F.col("conv_id").cast("string")).alias("sessionId"), F.lit("semantic").alias("kind"), F.when(F.col("turn") % 2 == 0, "model_proposed").otherwise("user_explicit").alias("origin"), "text")
     return writing.write(records(spark, sf_dir).drop("doc_id"), rows, NOW, CFG.with_(write_policy="ask"))[1]
 
 
-@query()
+_EXPLICIT_RE2 = "(?i)(记住|记一下|记下|帮我记|以后都|以后也|从现在起|别再|不要再用|下次要|remember|always|never)"
+
+
+@query(f"""WITH RECURSIVE {script_sql(120_000, 300_000)}, m AS (SELECT session || '#' || pos AS message_id, conv_id, text FROM script WHERE role = 'user' AND regexp_matches(text, '{_EXPLICIT_RE2}')), r AS (SELECT message_id, conv_id, {_SPLIT} AS l FROM m), e AS (SELECT message_id, conv_id, unnest(l) AS s, unnest(range(len(l))) AS place FROM r),
+sg AS (SELECT *, CASE WHEN ({_WHY}) IS NULL THEN CASE {_SIG} END END AS sig, {jtrim("regexp_replace(s, '[。！？!?]+$', '')")} AS body FROM e), k AS (SELECT * FROM sg JOIN (VALUES {_SIGS}) v(sig2, signal, kind, origin, confidence, importance) ON sig = sig2),
+d AS (SELECT *, row_number() OVER (PARTITION BY message_id, kind, {norm('body')} ORDER BY place) AS n FROM k), fc AS (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY confidence DESC, importance DESC, place) AS t FROM d WHERE n = 1),
+fi AS (SELECT kind, signal, CASE WHEN kind = 'user_profile' THEN '' ELSE CAST(conv_id % 7 AS VARCHAR) END AS key, {norm('body')} AS body FROM fc WHERE t <= 3 AND kind <> 'agent_self' AND origin = 'user_explicit')
+SELECT (SELECT count(DISTINCT session) FROM script) AS sessions, (SELECT count(*) FROM script) AS messages, (SELECT CAST(coalesce(sum(length(text)), 0) AS BIGINT) FROM script) AS chars, (SELECT count(*) FROM fi) - (SELECT count(*) FROM (SELECT DISTINCT * FROM fi)) AS duplicates, greatest(0, (SELECT count(*) FROM (SELECT DISTINCT * FROM fi)) - 20) AS truncated""")
 def replay_plan(spark, sf_dir):
     return replay.plan(records(spark, sf_dir).drop("doc_id"), sessions(spark, sf_dir), events(spark, sf_dir), NOW, CFG).stats
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,7 +34,8 @@ def sessions(spark: SparkSession, path: str, format: str = "json") -> DataFrame:
 
 
 def newest(catalog: DataFrame, n: int, cwd: str | None = None) -> DataFrame:
-    """The newest sessions of a folder, at most 20; if the folder has none, of all."""
+    """The newest sessions of a folder, at most 20, none of sub-agents; if the folder has none, of all."""
+    catalog = catalog.where(~subagent())
     if cwd is not None:
         own = catalog.where(F.col("cwd") == cwd)
         if own.take(1):
@@ -105,6 +107,19 @@ def real_user() -> Column:
     return (F.col("role") == "user") & F.coalesce(F.col("source") == "user", F.lit(False))
 
 
+def last_request(rows: DataFrame) -> DataFrame:
+    """Where writes of each session come from: sessionId, origin.
+
+    The last message of the real user decides, whatever anything else has said since: an explicit request makes what the model
+    writes the user's, else it is the model's own.
+    """
+    from memlake.functions.safety import explicit_request
+
+    said = messages(rows).where(real_user())
+    last = said.groupBy("sessionId").agg(F.max_by("text", F.struct(F.coalesce("seq", F.lit(-1)), F.coalesce("time", F.lit(0)))).alias("text"))
+    return last.select("sessionId", F.when(explicit_request(F.col("text")), "user_explicit").otherwise("model_proposed").alias("origin"))
+
+
 def subagent() -> Column:
     return F.coalesce(F.lower("origin") == "subagent", F.lit(False)) | F.coalesce(F.length("parentSession") > 0, F.lit(False))
 
@@ -116,7 +131,20 @@ def compaction_texts(rows: DataFrame) -> DataFrame:
     return out.select(F.concat_ws("#", "sessionId", F.col("seq").cast("string")).alias("message_id"), "sessionId", F.trim(text_blocks(shape["summary"])).alias("text"), F.array_min(shape["shadowedSeqs"]).alias("from"), F.array_max(shape["shadowedSeqs"]).alias("to")).where(F.length("text") > 0)
 
 
+#: Seconds that a work tree's branch is remembered.
+BRANCH_SECONDS = 5.0
+_branches: dict[str, tuple[float, str | None]] = {}
+
+
 def current_branch(spark: SparkSession, git: str) -> str | None:
+    """The branch of a work tree, read again after some seconds."""
+    now = time.monotonic()
+    if git not in _branches or now - _branches[git][0] > BRANCH_SECONDS:
+        _branches[git] = now, read_branch(spark, git)
+    return _branches[git][1]
+
+
+def read_branch(spark: SparkSession, git: str) -> str | None:
     """The branch of a work tree, from its HEAD file; git itself never runs. A `.git` file names the folder."""
     def read(path: str) -> str | None:
         rows = spark.read.text(path, wholetext=True).take(1)
@@ -133,6 +161,6 @@ def current_branch(spark: SparkSession, git: str) -> str | None:
             return None
         if text is None or not text.lower().startswith("gitdir:"):
             return None
-        return current_branch(spark, text[7:].strip())
+        return read_branch(spark, text[7:].strip())
     row = spark.createDataFrame([(text,)], "t string").select(branch_from_head(F.col("t"))).first()
     return row[0]
