@@ -15,6 +15,7 @@ import json
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,11 @@ from memlake.llm.common import U64, bound_batches, cut, lean, mix, release, text
 CAPACITY = 2048
 SEPARATOR = 0
 #: Slots of a worker's table of units, the most ids that one holds, and the most bytes of its unit.
-SLOTS, WIDTH, UNIT = 1 << 16, 8, 16
+SLOTS, WIDTH, UNIT = 1 << 20, 6, 16
 #: Pieces and gaps of a range, and ranges at most.
 SWEEP_ROWS, RANGES = 100_000, 20_000
+#: Tables of placed pieces that a plan holds before they become one.
+PARTS = 6
 #: New sequences up to which their pieces are the exact longest ones; beyond it pieces of the last length are drawn by hash.
 EXACT_SEEDS = 10_000
 
@@ -44,7 +47,8 @@ class UnitTokenizer:
     """Ids of whole texts, by units that byte-level BPE never joins: each begins at a space before a visible character.
 
     The ids of short units are remembered in a direct-mapped table beside the unit's bytes, which a lookup compares (a later unit
-    may take the slot); units that aren't there are encoded, all different ones of a chunk as one text.
+    takes the slot if its own has not been asked for since one last tried); units that aren't there are encoded, all different
+    ones of a chunk as one text.
     """
 
     def __init__(self, path: str):
@@ -58,10 +62,11 @@ class UnitTokenizer:
             self.sizes[i] = len(token)
         self.first, self.second = np.zeros(SLOTS, dtype=U64), np.zeros(SLOTS, dtype=U64)
         self.size, self.count = np.zeros(SLOTS, dtype=np.uint8), np.zeros(SLOTS, dtype=np.uint8)
-        self.kept = np.zeros((SLOTS, WIDTH), dtype=np.uint32)
+        self.kept = np.zeros((SLOTS, WIDTH), dtype=np.uint32 if len(self.sizes) > 1 << 16 else np.uint16)
+        self.used = np.zeros(SLOTS, dtype=bool)  # since a unit last wanted the slot
 
     def encode(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _encoded(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of some units, in a row, and where each unit's begin (with the end)."""
@@ -90,6 +95,7 @@ class UnitTokenizer:
         second = np.ndarray((len(data) + 1,), "<u8", buffer=padded, offset=8, strides=(1,))[at] & _MASK[np.clip(size - 8, 0, 8)]
         slot = (mix(first ^ mix(second + size.astype(U64))) & U64(SLOTS - 1)).astype(np.int64)
         hit = (self.first[slot] == first) & (self.second[slot] == second) & (self.size[slot] == size)
+        self.used[slot[hit]] = True
         count = np.where(hit, self.count[slot], 0).astype(np.int64)
         miss = np.flatnonzero(~hit)
         if len(miss):
@@ -124,6 +130,10 @@ class UnitTokenizer:
             s = slot[where[keep]]
             _, last = np.unique(s[::-1], return_index=True)
             keep = keep[::-1][last]
+            # what has been found since stays once more
+            held = self.used[slot[where[keep]]]
+            self.used[slot[where[keep[held]]]] = False
+            keep = keep[~held]
             place = where[keep]
             s = slot[place]
             self.first[s], self.second[s], self.size[s], self.count[s] = first[place], second[place], size[place], n[keep]
@@ -270,7 +280,13 @@ def place_all(spark: SparkSession, pieces: DataFrame, capacity: int, sweep_rows:
     def histogram(rows: DataFrame) -> dict[int, int]:
         return {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}  # as many as the capacity at most
 
-    placed = spark.createDataFrame([], "pid long, sequence_id long, offset long")
+    placed: list[DataFrame] = []
+
+    def note(rows: DataFrame) -> None:
+        placed.append(rows.select("pid", "sequence_id", F.col("offset").cast("long").alias("offset")))
+        if len(placed) >= PARTS:  # a plan of all rounds' tables would grow with their number
+            placed[:] = [cut(spark, reduce(DataFrame.unionByName, placed))]
+
     gaps = spark.createDataFrame([], "sequence long, gap long")
     counts, n_gaps = histogram(pieces), 0
     while counts:
@@ -278,14 +294,15 @@ def place_all(spark: SparkSession, pieces: DataFrame, capacity: int, sweep_rows:
         number = needed(counts, capacity)
         first, pieces = seeds(pieces, counts, number)
         number = first.count()
-        placed = placed.unionByName(first.select("pid", F.col("pid").alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
+        note(first.select("pid", F.col("pid").alias("sequence_id"), F.lit(0).alias("offset")))
         gaps = gaps.unionByName(first.select(F.col("pid").alias("sequence"), (F.lit(capacity) - F.col("length")).alias("gap")))
         left, n_gaps = sum(counts.values()) - number, n_gaps + number
         while left:
             ranges = max(1, min(RANGES, -(-(left + n_gaps) // sweep_rows)))
             both = pieces.select(F.col("length").alias("size"), F.lit(0).alias("kind"), F.col("pid").alias("id"))
             both = both.unionByName(gaps.select(F.col("gap").alias("size"), F.lit(1).alias("kind"), F.col("sequence").alias("id")))
-            dealt = both.repartitionByRange(ranges, "size", "kind", "id").sortWithinPartitions("size", "kind", "id").withColumn("part", F.spark_partition_id())
+            dealt = both.repartitionByRange(ranges, "size", "kind", "id") if ranges > 1 else both.coalesce(1)
+            dealt = dealt.sortWithinPartitions("size", "kind", "id").withColumn("part", F.spark_partition_id())
             swept = cut(spark, dealt.mapInArrow(sweep, "kind int, id long, size long, sequence long, before long, place long, part int"))
             rows = swept.groupBy("part", "kind", (F.col("place") >= 0).alias("open")).agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least"), F.max("size").alias("most")).collect()  # five rows a range at most
             runs = {(r["part"], r["kind"]): (r["n"], r["least"], r["most"]) for r in rows if r["open"]}
@@ -306,7 +323,7 @@ def place_all(spark: SparkSession, pieces: DataFrame, capacity: int, sweep_rows:
                 pieces = pieces.join(met.select("pid"), "pid", "left_anti")
                 used = met.groupBy(F.col("sequence_id").alias("sequence")).agg(F.sum("size").alias("used"))
                 gaps = gaps.join(used, "sequence", "left").select("sequence", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap"))
-            placed = placed.unionByName(found.select("pid", "sequence_id", (F.lit(capacity) - F.col("before")).alias("offset")))
+            note(found.select("pid", "sequence_id", (F.lit(capacity) - F.col("before")).alias("offset")))
             left -= number
             shortest = min((r["least"] for r in rows if r["kind"] == 0), default=0)
             gaps = gaps.where(F.col("gap") >= shortest)  # no other ever holds a piece again
@@ -315,7 +332,7 @@ def place_all(spark: SparkSession, pieces: DataFrame, capacity: int, sweep_rows:
                 break
         release(spark)
         counts = histogram(pieces) if left else {}
-    return placed
+    return reduce(DataFrame.unionByName, placed) if placed else spark.createDataFrame([], "pid long, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, sweep_rows: int = SWEEP_ROWS) -> DataFrame:
