@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Text bytes handled at once in a Python worker; a longer single document is handled alone.
 CHUNK_BYTES = 1 << 18
@@ -75,6 +76,24 @@ def lean(f: Callable) -> Callable:
     return batches if inspect.isgeneratorfunction(f) else group
 
 
+def rows_where(docs: DataFrame, make: Callable[[], Callable[[pa.Array], np.ndarray]]) -> DataFrame:
+    """The rows of docs, with all their columns whatever they are called, for whose texts a function of texts is true.
+
+    make() gives the function, once in each task. Columns travel under plain names, so that dots in names do no harm.
+    """
+    at = docs.columns.index("text")
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    schema = StructType([StructField(n, f.dataType, True) for n, f in zip(plain, docs.schema.fields, strict=True)])
+
+    @lean
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        good = make()
+        for batch in batches:
+            yield batch.filter(pa.array(good(batch.column(at)), pa.bool_()))
+
+    return docs.toDF(*plain).mapInArrow(keep, schema).toDF(*docs.columns)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's shared checkpoint folder; make a temporary one only where none is set and Spark runs in one process."""
     if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -86,16 +105,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(path)
 
 
+#: Files of a checkpoint, for each task that can run at once, at most.
+FILES = 4
+
+
 def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder and cut its lineage."""
+    """Materialise `df` in the shared checkpoint folder and cut its lineage.
+
+    Neighbouring partitions are written by one task where there are many more than tasks can run at once: their files would be tiny.
+    """
     ensure_checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
+    return df.coalesce(FILES * max(1, spark.sparkContext.defaultParallelism)).checkpoint(eager=True)
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete shuffle files of plans that are no longer referenced."""
+    """Let Spark's cleaner delete shuffle files of plans that are no longer referenced, and give back memory on the driver."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trim()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

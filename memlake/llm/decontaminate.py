@@ -13,14 +13,14 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import Chunk, text_chunks
+from memlake.llm.common import Chunk, bound_batches, lean, rows_where, text_chunks
 
 #: Edits allowed, in hundredths of an item's length.
 BUDGET_PERCENT = 6
@@ -178,6 +178,7 @@ class Matcher:
         return sorted(out)
 
 
+@lean
 def match_batches(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]], percent: int) -> Iterator[pa.RecordBatch]:
     matcher = Matcher(items, percent)
     for batch in batches:
@@ -191,14 +192,22 @@ def match_batches(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]
             )
 
 
-def clean_batches(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]], percent: int) -> Iterator[pa.RecordBatch]:
-    matcher = Matcher(items, percent)
-    for batch in batches:
-        keep = np.ones(batch.num_rows, dtype=bool)
-        for chunk in text_chunks(batch.column("text")):
-            for row, *_ in matcher.matches(chunk):
-                keep[chunk.rows[row]] = False
-        yield batch.filter(pa.array(keep))
+def clean(items: list[tuple[int, str]], percent: int) -> Callable[[], Callable[[pa.Array], np.ndarray]]:
+    """For rows_where(): whether texts hold none of some items."""
+
+    def make() -> Callable[[pa.Array], np.ndarray]:
+        matcher = Matcher(items, percent)
+
+        def good(text: pa.Array) -> np.ndarray:
+            keep = np.ones(len(text), dtype=bool)
+            for chunk in text_chunks(text):
+                for row, *_ in matcher.matches(chunk):
+                    keep[chunk.rows[row]] = False
+            return keep
+
+        return good
+
+    return make
 
 
 def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
@@ -224,6 +233,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = BUDGET_PERC
     null doc_id stays null; repeated rows are matched each by itself, repeated items once; of equally near places the first
     counts. Empty tables give no rows; other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     schema = "doc_id long, item_id long, distance int, budget int, start_byte long, end_byte long"
     out = None
     for items in blocks(benchmark, block_bytes):
@@ -233,7 +243,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = BUDGET_PERC
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = BUDGET_PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no test item."""
+    """The rows of docs, with all their columns, that hold no test item.
+
+    Rows with a null or empty text stay, as do all where the benchmark is empty; a null doc_id makes no difference, and repeated
+    rows stay or go together. An empty table gives no rows. Columns may have any names.
+    """
+    bound_batches(docs.sparkSession)
     for items in blocks(benchmark, block_bytes):
-        docs = docs.mapInArrow(lambda b, items=items: clean_batches(b, items, percent), docs.schema)
+        docs = rows_where(docs, clean(items, percent))
     return docs

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from memlake.llm.common import U64, Chunk, bound_batches, cut, mix, release, run_hashes, text_chunks, word_runs
+from memlake.llm.common import U64, Chunk, bound_batches, cut, lean, mix, release, run_hashes, text_chunks, word_runs
 
 SHINGLE = 5
 #: Link at 100 * intersection >= PERCENT * union.
@@ -93,6 +93,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return j[np.arange(len(j)), likely.argmax(axis=1)]
 
 
+@lean
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, n_shingles, a key of the whole set, and a key of each band."""
     for batch in batches:
@@ -108,6 +109,7 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(keys, pa.binary()), column], names=["doc_id", "n_shingles", "key", "bands"])
 
 
+@lean
 def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for chunk in text_chunks(batch.column("text")):
@@ -115,6 +117,7 @@ def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(chunk.rows)), pa.array(sets, pa.binary())], names=["id", "elements"])
 
 
+@lean
 def linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Those of the pairs (a, b, x, y with full sets x and y) that are linked: a, b."""
     sketches: dict[tuple[int, int], np.ndarray] = {}
@@ -140,6 +143,7 @@ def linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
 
+@lean
 def elements_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(element, id, component, n): a row for each element of each set."""
     for batch in batches:

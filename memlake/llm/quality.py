@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import bound_batches, held_out, run_hashes, text_chunks, word_runs
-from memlake.llm.toxicity import training_rows
+from memlake.llm.common import bound_batches, held_out, lean, run_hashes, text_chunks, word_runs
+from memlake.llm.toxicity import fit_rows_of, training_rows
 
 #: Labelled documents that a model is fitted on at most: those whose ids come first by hash.
 FIT_ROWS = 6000
@@ -101,6 +101,7 @@ def score(model: dict, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(density[1] - density[0], -500, 500)))
 
 
+@lean
 def score_batches(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = np.zeros(batch.num_rows)
@@ -110,8 +111,12 @@ def score_batches(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
-    rows = training_rows(docs, labels, "quality", 4, 2, fit_rows).orderBy("doc_id").toPandas()
-    return fit(rows["text"].tolist(), rows["label"].to_numpy(dtype=np.int64))
+    """Fit on at most `fit_rows` labelled documents that aren't held out, chosen by a hash of their ids.
+
+    Null ids and labels teach nothing, a null text is empty, and a document that repeats counts once. Without labels, or with one
+    kind alone, every document gets the same score.
+    """
+    return fit_rows_of(training_rows(docs, labels, "quality", 4, 2, fit_rows), fit)
 
 
 def score_quality(docs: DataFrame, model: dict) -> DataFrame:

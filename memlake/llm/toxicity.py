@@ -6,14 +6,15 @@ weights are trained from document labels through the noisy-or, so the model find
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from memlake.llm.common import RunHasher, bound_batches, held_out, text_chunks, word_runs
+from memlake.llm.common import RunHasher, bound_batches, held_out, lean, release, rows_where, text_chunks, word_runs
 
 #: Labelled documents that a model is fitted on at most: those whose ids come first by hash.
 FIT_ROWS = 8000
@@ -94,28 +95,39 @@ def fit(texts: list[str | None], labels: np.ndarray, rounds: int = 200, rate: fl
     return {"buckets": buckets, "weights": theta[:-1], "bias": float(theta[-1])}
 
 
+def scores(text: pa.Array, weight: np.ndarray, bias: float) -> tuple[np.ndarray, ...]:
+    """Of each text: its score, and the score, start and end (in bytes) of its most offending sentence."""
+    n = len(text)
+    score, worst, begin, stop = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for chunk in text_chunks(text):
+        bucket, sentence, doc, a, b = instances(chunk)
+        if not len(doc):
+            continue
+        known = weight[bucket] != 0
+        pair = np.unique(sentence[known] * BUCKETS + bucket[known])
+        z = np.bincount(pair // BUCKETS, weights=weight[pair % BUCKETS], minlength=len(doc)) + bias
+        none = np.bincount(doc, weights=softplus(z), minlength=len(chunk.rows))
+        score[chunk.rows] = -np.expm1(-none)
+        last = np.lexsort((-a, z, doc))  # a document's last: its worst sentence, the first of equal ones
+        top = last[np.append(doc[last][1:] != doc[last][:-1], True)]
+        rows = chunk.rows[doc[top]]
+        worst[rows] = 1 / (1 + np.exp(-np.clip(z[top], -30, 30)))
+        begin[rows], stop[rows] = a[top] - chunk.start[doc[top]], b[top] - chunk.start[doc[top]]
+    return score, worst, begin, stop
+
+
+def weights(model: dict) -> np.ndarray:
+    out = np.zeros(BUCKETS)
+    out[model["buckets"]] = model["weights"]
+    return out
+
+
+@lean
 def score_batches(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
-    """Every column as it is, and score, worst_start, worst_end (bytes of the most offending sentence) and worst_score."""
-    weight = np.zeros(BUCKETS)
-    weight[model["buckets"]] = model["weights"]
+    """Every column as it is, and score, worst_score, worst_start and worst_end."""
+    weight = weights(model)
     for batch in batches:
-        n = batch.num_rows
-        score, worst, begin, stop = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for chunk in text_chunks(batch.column("text")):
-            bucket, sentence, doc, a, b = instances(chunk)
-            if not len(doc):
-                continue
-            known = weight[bucket] != 0
-            pair = np.unique(sentence[known] * BUCKETS + bucket[known])
-            z = np.bincount(pair // BUCKETS, weights=weight[pair % BUCKETS], minlength=len(doc)) + model["bias"]
-            none = np.bincount(doc, weights=softplus(z), minlength=len(chunk.rows))
-            score[chunk.rows] = -np.expm1(-none)
-            last = np.lexsort((-a, z, doc))  # a document's last: its worst sentence, the first of equal ones
-            top = last[np.append(doc[last][1:] != doc[last][:-1], True)]
-            rows = chunk.rows[doc[top]]
-            worst[rows] = 1 / (1 + np.exp(-np.clip(z[top], -30, 30)))
-            begin[rows], stop[rows] = a[top] - chunk.start[doc[top]], b[top] - chunk.start[doc[top]]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array(worst), pa.array(begin), pa.array(stop)], names=[*batch.schema.names, "score", "worst_score", "worst_start", "worst_end"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, scores(batch.column("text"), weight, model["bias"]))], names=[*batch.schema.names, "score", "worst_score", "worst_start", "worst_end"])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, limit: int) -> DataFrame:
@@ -128,18 +140,48 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int,
     return docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").alias("label"))
 
 
+def fit_rows_of(rows: DataFrame, fit: Callable[[list[str | None], np.ndarray], dict]) -> dict:
+    """A model fitted on the driver on training rows, a bounded number; their memory goes back before anything else runs."""
+    table = rows.orderBy("doc_id").select("text", "label").toArrow()
+    model = fit(table["text"].to_pylist(), table["label"].to_numpy().astype(np.int64))
+    del table
+    release(rows.sparkSession)
+    return model
+
+
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
-    rows = training_rows(docs, labels, "toxic", 3, 1, fit_rows).orderBy("doc_id").toPandas()
-    return fit(rows["text"].tolist(), rows["label"].to_numpy(dtype=np.int64))
+    """Fit on at most `fit_rows` labelled documents that aren't held out, chosen by a hash of their ids.
+
+    Null ids and labels teach nothing, a null text is empty, and a document that repeats counts once. Without labels, or with one
+    kind alone, the model has no words and gives every text that has some the same score.
+    """
+    return fit_rows_of(training_rows(docs, labels, "toxic", 3, 1, fit_rows), fit)
 
 
 def score_toxicity(docs: DataFrame, model: dict) -> DataFrame:
-    """Add score, worst_score, worst_start and worst_end to rows with a text; other columns stay.
+    """Add score, worst_score, worst_start and worst_end to rows with a text.
 
-    A null or empty text, or one without words, scores 0. Repeated rows score alike, each by itself.
+    Other columns stay, but for those of the four names, which are replaced. A null or empty text, or one without words, scores 0.
+    Repeated rows score alike, each by itself; an empty table gives no rows.
     """
     bound_batches(docs.sparkSession)
-    clash = {"score", "worst_score", "worst_start", "worst_end"} & set(docs.columns)
-    docs = docs.drop(*clash)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double, worst_score double, worst_start long, worst_end long"
-    return docs.mapInArrow(lambda b: score_batches(b, model), schema)
+    made = ("score", "worst_score", "worst_start", "worst_end")
+    fields = [f for f in docs.schema.fields if f.name not in made]
+    plain = ["text" if f.name == "text" else f"c{i}" for i, f in enumerate(fields)]
+    rows = docs.select(*[F.col("`" + f.name.replace("`", "``") + "`").alias(n) for f, n in zip(fields, plain, strict=True)])
+    schema = StructType([*(StructField(n, f.dataType) for f, n in zip(fields, plain, strict=True)), *(StructField(n, kind) for n, kind in zip(made, (DoubleType(), DoubleType(), LongType(), LongType()), strict=True))])
+    return rows.mapInArrow(lambda b: score_batches(b, model), schema).toDF(*(f.name for f in fields), *made)
+
+
+def drop_toxic(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, whose texts score less than the threshold; texts without words score 0.
+
+    Null ids make no difference, repeated rows stay or go together, an empty table gives no rows; columns may have any names.
+    """
+    bound_batches(docs.sparkSession)
+
+    def make():
+        weight = weights(model)
+        return lambda text: scores(text, weight, model["bias"])[0] < threshold
+
+    return rows_where(docs, make)
