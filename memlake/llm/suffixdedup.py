@@ -4,14 +4,16 @@ Every byte of a document is removed that a string of `length` bytes covers which
 
 1. Each window of `length` bytes has an anchor, the least hash of its shorter strings; a run of windows with one anchor is a
    segment. Equal windows have equal anchors wherever they stand, so only segments with one anchor can share a window.
-   Tasks combine equal segments before the shuffle: only those of the smallest id go on, the others are covered.
-2. Segments meet by anchor. Those equal to one of a smaller id are covered as a whole. Where an anchor has different segments
-   left, of several documents, their texts are asked for; all other segments are done.
-3. The texts come from the documents, dealt by id. Anchors with very many segments are split: each window then goes by its own
-   hash, combined before the shuffle as above.
-4. Texts meet by anchor. Their windows are put in suffix order, and in that order the previous and the next window of a
-   smaller document give the longest earlier match; windows where it reaches `length` are covered.
-5. Covered intervals meet their documents, which lose those bytes.
+   Tasks combine segments of equal hashes before the shuffle: only those of the smallest id go on, the others claim to repeat it.
+2. Segments meet by anchor. Those with the hash of one of a smaller id claim to repeat that one. Where an anchor has different
+   segments left, of several documents, their texts are asked for; all other segments are done.
+3. A document's claims become runs against one place each, and a run's place is asked for a digest of its bytes: a claim counts
+   where it equals the digest of the run's own bytes. A hash alone removes nothing.
+4. The texts come from the documents, dealt by id. Anchors with very many segments are split: each window then goes by its own
+   hash, combined before the shuffle by comparing bytes.
+5. Texts meet by anchor. Their windows are put in suffix order; the previous and the next window of a smaller document in that
+   order give each its longest previous factor, and windows where it reaches `length` are covered.
+6. Covered intervals meet their documents, which lose those bytes.
 
 What is shuffled is packed by bucket into compressed blobs; buckets grow in number with the bytes of the input.
 """
@@ -27,28 +29,32 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import U64, Chunk, bound_batches, cut, mix, powers, release, shuffle_partitions, text_chunks
+from memlake.llm.common import U64, Chunk, bound_batches, cut, lean, mix, powers, release, shuffle_partitions, text_chunks
 
 LENGTH = 50
 #: Bytes of the strings whose least hash is a window's anchor.
 GRAM = 24
 #: Bytes of text for which there is a bucket.
-BUCKET_BYTES = 6 << 20
+BUCKET_BYTES = 4 << 20
 #: Bytes of text that a task packs at once.
-PACK_BYTES = 6 << 20
+PACK_BYTES = 2 << 20
 #: Segments that a task holds before it sends them on.
-HELD = 400_000
+HELD = 250_000
 #: Segments of one anchor beyond which its windows are dealt by their own hashes.
 SPLIT = 2_000
 
 ROW = "bucket int, kind int, blob binary"
-_KINDS = ANCHORS, COVERED, ASKED, TEXTS, DOCS = range(5)
+_KINDS = ANCHORS, COVERED, ASKED, TEXTS, DOCS, CLAIMED, CHECK, ANSWER = range(8)
+_PLACE = [("src", "<i8"), ("src_tag", "<u4"), ("src_start", "<u4")]
 _FORM = {
     ANCHORS: [("low", "<u4"), ("seg", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("start", "<u4"), ("windows", "<u4")],
     COVERED: [("doc", "<i8"), ("tag", "<u4"), ("start", "<u4"), ("end", "<u4")],
     ASKED: [("home", "<u4"), ("low", "<u4"), ("doc", "<i8"), ("tag", "<u4"), ("start", "<u4"), ("windows", "<u4"), ("split", "u1")],
     TEXTS: [("low", "<u4"), ("doc", "<i8"), ("tag", "<u4"), ("start", "<u4"), ("windows", "<u4")],
     DOCS: [("doc", "<i8"), ("null", "u1"), ("tag", "<u4"), ("size", "<u4")],
+    CLAIMED: [("doc", "<i8"), ("tag", "<u4"), ("start", "<u4"), ("end", "<u4"), *_PLACE],
+    CHECK: [*_PLACE, ("size", "<u4"), ("home", "<u4")],
+    ANSWER: [*_PLACE, ("size", "<u4"), ("first", "<u8"), ("second", "<u8")],
 }
 Columns = dict[str, np.ndarray]
 
@@ -155,25 +161,36 @@ def groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, np.flatnonzero(fresh), np.cumsum(fresh) - 1
 
 
-def later(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Whether a smaller document has the same key."""
+def earliest(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of each: where one of the smallest document with the same key is."""
     if not len(key):
-        return np.empty(0, bool)
-    order, first, group = groups(key)
-    out = np.empty(len(key), dtype=bool)
-    out[order] = doc[order] > np.minimum.reduceat(doc[order], first)[group]
+        return np.empty(0, np.int64)
+    order = np.lexsort((doc, key))
+    fresh = np.ones(len(order), dtype=bool)
+    np.not_equal(key[order][1:], key[order][:-1], out=fresh[1:])
+    out = np.empty(len(key), dtype=np.int64)
+    out[order] = order[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
     return out
 
 
+def claims(columns: Columns, source: np.ndarray, length: int) -> tuple[np.ndarray, Columns]:
+    """Which segments claim to repeat one of a smaller document, and their claims."""
+    who = columns["doc"] > columns["doc"][source]
+    src = source[who]
+    start, windows = columns["start"][who], columns["windows"][who]
+    return who, {"doc": columns["doc"][who], "tag": columns["tag"][who], "start": start, "end": start + windows + (length - 1), "src": columns["doc"][src], "src_tag": columns["tag"][src], "src_start": columns["start"][src]}
+
+
+@lean
 def map_segments(batches: Iterator[pa.RecordBatch], buckets: int, length: int, tagged: bool) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, ...]] = []
 
     def flush() -> pa.RecordBatch:
         anchor, seg, doc, tag, start, windows = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        covered = later(mix(anchor + seg * U64(0x9E3779B97F4A7C15)), doc)
-        rows = dealt(COVERED, of_doc(doc[covered], buckets), {"doc": doc[covered], "tag": tag[covered], "start": start[covered], "end": (start + windows + length - 1)[covered]})
-        keep = ~covered
+        claimed, own = claims({"doc": doc, "tag": tag, "start": start, "windows": windows}, earliest(mix(anchor + seg * U64(0x9E3779B97F4A7C15)), doc), length)
+        rows = dealt(CLAIMED, of_doc(own["doc"], buckets), own)
+        keep = ~claimed
         low = (anchor & U64(0xFFFFFFFF)).astype(np.uint32)
         return as_batch(rows + dealt(ANCHORS, of_hash(anchor[keep], buckets), {"low": low[keep], "seg": seg[keep], "doc": doc[keep], "tag": tag[keep], "start": start[keep], "windows": windows[keep]}))
 
@@ -195,16 +212,16 @@ def blobs_of(table: pa.Table, kind: int) -> list[bytes]:
     return [b for k, b in zip(table["kind"].to_pylist(), table["blob"].to_pylist(), strict=True) if k == kind]
 
 
+@lean
 def meet_anchors(table: pa.Table, buckets: int, length: int) -> pa.Table:
-    """Step 2: covered segments, and questions for the texts of those that may share windows."""
-    rows = [(b, k, x) for b, k, x in zip(*(table[c].to_pylist() for c in ("bucket", "kind", "blob")), strict=True) if k == COVERED]
+    """Step 2: claims, and questions for the texts of segments that may share windows."""
+    rows = [(b, k, x) for b, k, x in zip(*(table[c].to_pylist() for c in ("bucket", "kind", "blob")), strict=True) if k == CLAIMED]
     at = table["bucket"][0].as_py()
     a, _ = joined(ANCHORS, blobs_of(table, ANCHORS))
     if len(a["low"]):
-        covered = later(mix(a["low"].astype(U64) + a["seg"] * U64(0x9E3779B97F4A7C15)), a["doc"])
-        c = {k: v[covered] for k, v in a.items()}
-        rows += dealt(COVERED, of_doc(c["doc"], buckets), c | {"end": c["start"] + c["windows"] + np.uint32(length - 1)})
-        a = {k: v[~covered] for k, v in a.items()}
+        claimed, own = claims(a, earliest(mix(a["low"].astype(U64) + a["seg"] * U64(0x9E3779B97F4A7C15)), a["doc"]), length)
+        rows += dealt(CLAIMED, of_doc(own["doc"], buckets), own)
+        a = {k: v[~claimed] for k, v in a.items()}
         order, first, group = groups(a["low"])
         doc = a["doc"][order]
         several = (np.maximum.reduceat(doc, first) > np.minimum.reduceat(doc, first))[group]
@@ -214,6 +231,33 @@ def meet_anchors(table: pa.Table, buckets: int, length: int) -> pa.Table:
     return pa.Table.from_batches([as_batch(rows)])
 
 
+@lean
+def merge_claims(table: pa.Table, buckets: int) -> pa.Table:
+    """Step 3: a bucket's claims as runs against one place each, and a question for each different place."""
+    at = table["bucket"][0].as_py()
+    c, _ = joined(CLAIMED, blobs_of(table, CLAIMED))
+    if not len(c["doc"]):
+        return pa.Table.from_batches([as_batch([])])
+    order = np.lexsort((c["start"], c["tag"], c["doc"]))
+    c = {k: v[order] for k, v in c.items()}
+    shift = c["src_start"].astype(np.int64) - c["start"]
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[1:] = (np.diff(shift) != 0) | (c["start"][1:] > c["end"][:-1])
+    for name in ("doc", "tag", "src", "src_tag"):
+        fresh[1:] |= c[name][1:] != c[name][:-1]
+    first = np.flatnonzero(fresh)
+    runs = {k: v[first] for k, v in c.items()} | {"end": np.maximum.reduceat(c["end"], first)}
+    place = np.stack([runs["src"], *(runs[n].astype(np.int64) for n in ("src_tag", "src_start")), (runs["end"] - runs["start"]).astype(np.int64)])
+    place = np.unique(place, axis=1)
+    asked = {"src": place[0], "src_tag": place[1], "src_start": place[2], "size": place[3], "home": np.full(place.shape[1], at)}
+    return pa.Table.from_batches([as_batch(dealt(CLAIMED, np.full(len(first), at), runs) + dealt(CHECK, of_doc(place[0], buckets), asked))])
+
+
+def digest(raw: bytes) -> tuple[int, int]:
+    d = hashlib.blake2b(raw, digest_size=16).digest()
+    return int.from_bytes(d[:8], "little"), int.from_bytes(d[8:], "little")
+
+
 def joined_docs(blobs: list[bytes]) -> tuple[Columns, bytes, pa.Table | None]:
     """Documents of some blobs: their columns, their texts in a row, and the other columns of their rows."""
     columns, texts, others = [], [], []
@@ -226,6 +270,7 @@ def joined_docs(blobs: list[bytes]) -> tuple[Columns, bytes, pa.Table | None]:
     return {name: np.concatenate([c[name] for c in columns]) if columns else np.empty(0, form) for name, form in _FORM[DOCS]}, b"".join(texts), pa.concat_tables(others) if others else None
 
 
+@lean
 def pack_docs(batches: Iterator[pa.RecordBatch], buckets: int, tagged: bool) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
     size = 0
@@ -260,14 +305,30 @@ def pack(batch: pa.RecordBatch, buckets: int, tagged: bool) -> Iterator[pa.Recor
         yield as_batch(rows)
 
 
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Whether `length` bytes (8 at least) are the same at some places."""
+    word = np.ndarray((len(data) - 7,), "<u8", buffer=np.ascontiguousarray(data), strides=(1,))
+    same = np.ones(len(a), dtype=bool)
+    for s in (*range(0, length - 7, 8), length - 8):
+        same &= word[a + s] == word[b + s]
+    return same
+
+
+@lean
 def fetch_texts(docs: pa.Table, asked: pa.Table, buckets: int, length: int) -> pa.Table:
-    """Step 3: the texts of segments asked for, to the buckets of their anchors."""
+    """Steps 3 and 4: digests of places, to the buckets that asked, and the texts of segments, to those of their anchors."""
     a, _ = joined(ASKED, blobs_of(asked, ASKED))
+    q, _ = joined(CHECK, blobs_of(asked, CHECK))
     rows: list[tuple[int, int, bytes]] = []
-    if len(a["doc"]):
+    if len(a["doc"]) or len(q["src"]):
         d, text, _ = joined_docs(blobs_of(docs, DOCS))
         known = np.flatnonzero(d["null"] == 0)
         begin = np.cumsum(d["size"], dtype=np.int64) - d["size"]
+    if len(q["src"]):
+        at = begin[known][_find(d["doc"][known], d["tag"][known], q["src"], q["src_tag"])] + q["src_start"]
+        found = np.array([digest(text[i:j]) for i, j in zip(at.tolist(), (at + q["size"]).tolist(), strict=True)], dtype=U64)
+        rows += dealt(ANSWER, q["home"].astype(np.int32), {n: q[n] for n in ("src", "src_tag", "src_start", "size")} | {"first": found[:, 0], "second": found[:, 1]})
+    if len(a["doc"]):
         place = _find(d["doc"][known], d["tag"][known], a["doc"], a["tag"])
         at = begin[known][place] + a["start"]
         data = np.frombuffer(text, np.uint8)
@@ -285,7 +346,9 @@ def fetch_texts(docs: pa.Table, asked: pa.Table, buckets: int, length: int) -> p
             for j in range(0, length):
                 h = h * U64(0x9E3779B97F4A7C15) + data[pos + j].astype(U64) + U64(1)
             h = mix(h)
-            covered = later(h, doc)
+            source = earliest(h, doc)
+            covered = doc > doc[source]
+            covered[covered] = same_bytes(data, pos[covered], pos[source[covered]], length)
             rows += dealt(COVERED, of_doc(doc[covered], buckets), {"doc": doc[covered], "tag": tag[covered], "start": start[covered], "end": start[covered] + length})
             order = np.argsort(of_hash(h, buckets), kind="stable")
             order = order[~covered[order]]
@@ -312,23 +375,26 @@ def _find(doc: np.ndarray, tag: np.ndarray, want_doc: np.ndarray, want_tag: np.n
     return order[at]
 
 
-def longest_previous(doc: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
-    """For suffixes in order: whether one of a smaller document shares `least` bytes or more with it.
+def longest_previous(doc: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Longest previous factors of suffixes in order: the most bytes that each shares with one of a smaller document.
 
     common: bytes that a suffix shares with the one before it. The previous and the next smaller document in suffix order give
-    the longest earlier match; pointers to them are found by jumping, and none leads past a pair that shares less.
+    the longest earlier match. Pointers to them are found by jumping, each with the least of what is shared on its way.
     """
     n = len(doc)
-    out = np.zeros(n, dtype=bool)
+    out = np.zeros(n, dtype=np.int64)
     index = np.arange(n)
-    for link in (np.where(common >= least, index - 1, -1), np.where(np.append(common[1:] >= least, False), index + 1, -1)):
+    after = np.append(common[1:], 0)
+    for link, shared in ((np.where(common > 0, index - 1, -1), common.copy()), (np.where(after > 0, index + 1, -1), after)):
         active = np.flatnonzero(link >= 0)
         while len(active := active[link[active] >= 0]):
             active = active[doc[link[active]] >= doc[active]]
             if not len(active):
                 break
-            link[active] = link[link[active]]
-        out |= link >= 0
+            over = link[active]
+            shared[active] = np.minimum(shared[active], shared[over])
+            link[active] = link[over]
+        out = np.maximum(out, np.where(link >= 0, shared, 0))
     return out
 
 
@@ -354,9 +420,10 @@ def suffix_order(data: np.ndarray, pos: np.ndarray, low: np.ndarray, length: int
     return order, np.minimum(common, length)
 
 
+@lean
 def meet_texts(table: pa.Table, buckets: int, length: int) -> pa.Table:
-    """Step 4: suffix order and longest previous factors of a bucket's texts."""
-    rows = [(b, k, x) for b, k, x in zip(*(table[c].to_pylist() for c in ("bucket", "kind", "blob")), strict=True) if k == COVERED]
+    """Step 5: suffix order and longest previous factors of a bucket's texts; what is for documents goes through."""
+    rows = [(b, k, x) for b, k, x in zip(*(table[c].to_pylist() for c in ("bucket", "kind", "blob")), strict=True) if k in (COVERED, ANSWER)]
     t, text = joined(TEXTS, blobs_of(table, TEXTS))
     if len(t["low"]):
         data = np.frombuffer(text, np.uint8)
@@ -366,7 +433,7 @@ def meet_texts(table: pa.Table, buckets: int, length: int) -> pa.Table:
         owner = np.repeat(np.arange(len(n)), n)
         within = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
         order, common = suffix_order(data, begin[owner] + within, t["low"][owner], length)
-        hit = order[longest_previous(t["doc"][owner[order]], common, length)]
+        hit = order[longest_previous(t["doc"][owner[order]], common) >= length]
         hit.sort()
         # runs of windows of one segment as one interval
         fresh = np.ones(len(hit), bool)
@@ -378,17 +445,29 @@ def meet_texts(table: pa.Table, buckets: int, length: int) -> pa.Table:
     return pa.Table.from_batches([as_batch(rows)])
 
 
+@lean
 def strip_docs(docs: pa.Table, covered: pa.Table, carried: list[str]) -> pa.Table:
-    """Step 5: doc_id, n_bytes, n_removed, n_spans, kept_sha256, what is left of the text, and carried columns."""
+    """Step 6: doc_id, n_bytes, n_removed, n_spans, kept_sha256, what is left of the text, and carried columns."""
     d, text, other = joined_docs(blobs_of(docs, DOCS))
     c, _ = joined(COVERED, blobs_of(covered, COVERED))
     begin = np.cumsum(d["size"], dtype=np.int64) - d["size"]
     known = np.flatnonzero(d["null"] == 0)
     gone = np.zeros(len(text) + 1, dtype=np.int32)
     if len(c["doc"]):
-        rep = _find(d["doc"][known], d["tag"][known], c["doc"], c["tag"])
-        np.add.at(gone, begin[known][rep] + c["start"], 1)
-        np.add.at(gone, begin[known][rep] + c["end"], -1)
+        at = begin[known][_find(d["doc"][known], d["tag"][known], c["doc"], c["tag"])]
+        np.add.at(gone, at + c["start"], 1)
+        np.add.at(gone, at + c["end"], -1)
+    c, _ = joined(CLAIMED, blobs_of(covered, CLAIMED))
+    if len(c["doc"]):
+        a, _ = joined(ANSWER, blobs_of(covered, ANSWER))
+        answers = dict(zip(zip(*(a[n].tolist() for n in ("src", "src_tag", "src_start", "size")), strict=True), zip(a["first"].tolist(), a["second"].tolist(), strict=True), strict=True))
+        at = begin[known][_find(d["doc"][known], d["tag"][known], c["doc"], c["tag"])]
+        start, stop = (at + c["start"]).tolist(), (at + c["end"]).tolist()
+        places = zip(*(x.tolist() for x in (c["src"], c["src_tag"], c["src_start"], c["end"] - c["start"])), strict=True)
+        for i, j, place in zip(start, stop, places, strict=True):
+            if answers[place] == digest(text[i:j]):  # else two hashes were equal by chance, and nothing goes
+                gone[i] += 1
+                gone[j] -= 1
     # an interval ends within its document's bytes or at their end, where the next one's may begin
     flag = np.cumsum(gone)[:-1] > 0
     # rows that repeat id and text share their intervals
@@ -409,25 +488,21 @@ def strip_docs(docs: pa.Table, covered: pa.Table, carried: list[str]) -> pa.Tabl
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     more = [other.column(c).combine_chunks() if other is not None else pa.nulls(0) for c in carried]
-    return pa.Table.from_arrays([*(pa.array(x, t) for x, t in zip(out, types, strict=True)), *more], names=[*names, *(f"carried_{i}" for i in range(len(carried)))])
+    return pa.Table.from_arrays([*(pa.array(x, t) for x, t in zip(out, types, strict=True)), *more], names=[*names, *carried])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text, and docs' columns besides.
+MADE = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
 
-    Bytes that removal leaves of a cut character are left out of kept_text (not of the hash). A null or empty text has no
-    bytes. A row with a null doc_id is returned as it is and never makes another lose bytes. Rows that repeat a doc_id are
-    judged each by itself, against smaller ids only. An empty table gives no rows. A column of docs that is named like one of
-    the result's is left out.
-    """
+
+def _strip(docs: DataFrame, length: int) -> tuple[DataFrame, list[str]]:
+    """The columns MADE of each row and docs' other columns as carried_0, carried_1, ...; and the names of those."""
     if length < GRAM:
         raise ValueError(f"length must be at least {GRAM}")
     spark = docs.sparkSession
     bound_batches(spark)
-    made = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
-    fields = [f for f in docs.schema.fields if f.name not in (*made, "text")]
-    names = [f.name for f in fields]
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(f"`{n}`") for n in names))
+    fields = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
+    carried = [f"carried_{i}" for i in range(len(fields))]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col("`" + f.name.replace("`", "``") + "`").alias(c) for f, c in zip(fields, carried, strict=True)))
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(shuffle_partitions(spark), -(-n_bytes // BUCKET_BYTES))
     tagged = bool(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").take(1))
@@ -436,9 +511,32 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     first = cut(spark, first)
     release(spark)
     packed = docs.mapInArrow(lambda b: pack_docs(b, buckets, tagged), ROW)
-    texts = packed.groupBy("bucket").cogroup(first.where(F.col("kind") == ASKED).groupBy("bucket")).applyInArrow(lambda a, b: fetch_texts(a, b, buckets, length), ROW)
+    claimed = cut(spark, first.where(F.col("kind") == CLAIMED).groupBy("bucket").applyInArrow(lambda t: merge_claims(t, buckets), ROW))
+    asked = first.where(F.col("kind") == ASKED).unionByName(claimed.where(F.col("kind") == CHECK))
+    texts = packed.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(lambda a, b: fetch_texts(a, b, buckets, length), ROW)
     second = texts.groupBy("bucket").applyInArrow(lambda t: meet_texts(t, buckets, length), ROW)
-    covered = first.where(F.col("kind") == COVERED).unionByName(second)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string" + "".join(f", carried_{i} {f.dataType.simpleString()}" for i, f in enumerate(fields))
-    out = packed.groupBy("bucket").cogroup(covered.groupBy("bucket")).applyInArrow(lambda a, b: strip_docs(a, b, names), schema)
-    return out.select(*made, *(F.col(f"carried_{i}").alias(n) for i, n in enumerate(names)))
+    covered = claimed.where(F.col("kind") == CLAIMED).unionByName(second)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string" + "".join(f", {c} {f.dataType.simpleString()}" for c, f in zip(carried, fields, strict=True))
+    return packed.groupBy("bucket").cogroup(covered.groupBy("bucket")).applyInArrow(lambda a, b: strip_docs(a, b, carried), schema), [f.name for f in fields]
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text, and docs' columns besides.
+
+    Bytes that removal leaves of a cut character are left out of kept_text (not of the hash). A null or empty text has no
+    bytes. A row with a null doc_id is returned as it is and never makes another lose bytes. Rows that repeat a doc_id are
+    judged each by itself, against smaller ids only. An empty table gives no rows. A column of docs that is named like one of
+    the result's is left out (without_repeats() keeps all).
+    """
+    out, names = _strip(docs, length)
+    return out.select(*MADE, *(F.col(f"carried_{i}").alias(n) for i, n in enumerate(names) if n not in MADE))
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The rows of docs, with all their columns whatever they are called, and what remove_repeats() leaves of their texts.
+
+    A null text comes back empty; for other odd rows see there.
+    """
+    out, names = _strip(docs, length)
+    at = {n: f"carried_{i}" for i, n in enumerate(names)} | {"doc_id": "doc_id", "text": "kept_text"}
+    return out.select(*(F.col(at[n]).alias(n) for n in docs.columns))

@@ -34,7 +34,7 @@ def test_nearest_is_exact_at_factor_one(spark):
     df = spark.createDataFrame([*rows, *bad], "vec_id bigint, vector array<double>")
     asked = df.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
     got = {}
-    for r in ann.nearest(asked, df, k=10, shard_rows=300, query_rows=20).collect():
+    for r in ann.nearest(asked.unionByName(asked), df.unionByName(df.where('vec_id < 5')), k=10, shard_rows=300).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
     for i in range(0, 900, 20):
         product = x @ x[i]
@@ -55,30 +55,36 @@ def test_ties_of_different_vectors_go_to_the_smaller_id(values):
     x = x[rng.permutation(len(x))]
     ids = np.arange(len(x)) * 3
     asked = np.flatnonzero(ids % 20 == 0)
-    vectors = pa.table({"vec_id": ids, "vector": x.tolist()})
-    out = ann.search_shard(vectors, pa.table({"query_id": ids[asked], "vector": x[asked].tolist()}), 20, 1.0).to_pandas()
+    found = ann.Shard(ids, x, 20).search(ids[asked], x[asked], 1.0)
     for i in asked:
         product = x @ x[i]
         product[i] = -np.inf
         want = ids[np.lexsort((ids, -product))[:20]].tolist()
-        assert out[out["query_id"] == ids[i]]["vec_id"].tolist() == want
+        assert found[1][found[0] == ids[i]].tolist() == want
+
+
+def test_vectors_of_other_lengths_do_not_meet(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, [1.0, 0.0, 0.0]), (4, [0.2, 0.9, 0.0]), (5, [2.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, vector array<double>")
+    got = {(r["query_id"], r["vec_id"]) for r in ann.nearest(df.withColumnRenamed("vec_id", "query_id"), df).collect()}
+    assert got == {(1, 2), (2, 1), (3, 4), (4, 3)}
 
 
 def test_relaxed_search_visits_less():
     rng = np.random.default_rng(3)
-    x = np.repeat(rng.normal(size=(40, 6)) * 8, 100, axis=0) + rng.normal(size=(4000, 6))
-    length2 = (x**2).sum(1).max()
-    points = np.column_stack([x, np.sqrt(length2 - (x**2).sum(1) + 1e-12)])
+    x = np.repeat(rng.normal(size=(40, 8)) * 4, 100, axis=0) + rng.normal(size=(4000, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    points = np.column_stack([x, np.zeros(len(x))])
     tree = ann.Tree(points)
-    units = np.column_stack([x[::50] / np.linalg.norm(x[::50], axis=1)[:, None], np.zeros(80)])
-    seen, found = {}, {}
-    for factor in (1.0, 0.3):
-        s = ann.Search(tree, units, 10, factor, np.sqrt(length2))
-        s.visit(tree.root, np.arange(len(units)))
-        seen[factor], found[factor] = s.visited, s.rows
-    exact = np.argsort(-(units @ points.T), axis=1)[:, :10]
-    recall = lambda f: np.mean([len(set(a) & set(b)) / 10 for a, b in zip(found[f], exact, strict=True)])
-    assert recall(1.0) == 1 and seen[0.3] < seen[1.0]
+    exact = np.argsort(-(points[::50] @ points.T), axis=1)[:, :20]
+    share, recall = {}, {}
+    for factor in (1.0, 0.6, 0.3):
+        s = ann.Search(tree, points[::50], 20, factor).run()
+        share[factor] = s.visited / (len(points) * len(exact))
+        recall[factor] = np.mean([len(set(a) & set(b)) / 20 for a, b in zip(s.rows, exact, strict=True)])
+    assert recall[1.0] == 1 and share[1.0] < 0.6
+    assert recall[0.6] >= 0.9 and share[0.6] < 0.6 * share[1.0]
+    assert share[0.3] < share[0.6]
 
 
 def test_toxicity(spark, docs, odd):
@@ -189,17 +195,124 @@ def test_licenses_need_no_gate(spark):
     assert [(got[i]["labels"], got[i]["n_detections"]) for i in range(len(texts))] == [scan(t) for t in texts]
 
 
-def test_pipeline_keeps_what_is_clean(spark, docs):
-    import corpus_pipeline
+def words_of(text, letters):
+    """Maximal runs of letters (bytes) with their places."""
+    raw, out, at = text.encode(), [], None
+    for i, c in enumerate([*raw, 0]):
+        if at is None and c in letters:
+            at = i
+        elif at is not None and c not in letters:
+            out.append((at, i))
+            at = None
+    return raw, out
+
+
+def one_hash(raw):
+    """The hash of a run of bytes by itself."""
+    from memlake.llm.common import run_hashes
+
+    data = np.frombuffer(raw + b"\n", np.uint8)
+    return int(run_hashes(data, np.array([0]), np.array([len(raw)]))[0])
 
-    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "suffix_dedup", "decontaminate", "packing"]
-    some = docs.where(F.col("doc_id") < 120)
-    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
-    clean = corpus_pipeline.decontaminate(spark, some, SF)
-    assert clean.columns == docs.columns
-    from memlake.llm.decontaminate import find_leaks
 
-    leaks = {r[0] for r in find_leaks(some, bench).select("doc_id").collect()}
-    assert {r[0] for r in clean.select("doc_id").collect()} == set(range(120)) - leaks
-    left = corpus_pipeline.suffix_dedup(spark, some, SF)
-    assert left.columns == docs.columns and left.count() == 120 and left.where(F.length("text") != F.col("n_chars")).count() == 0
+def test_toxicity_by_a_plain_scorer(spark, docs):
+    """Each sentence by itself, over the same model: logistic of distinct words and stems, then noisy-or."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    weight = dict(zip(model["buckets"].tolist(), model["weights"].tolist(), strict=True))
+    letters = {*range(65, 91), *range(97, 123), *range(128, 256)}
+    some = docs.where("doc_id < 60").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "... 12"), (-4, "one. two! one")], "doc_id bigint, text string"))
+    for r in toxicity.score_toxicity(some, model).collect():
+        raw, words = words_of(r["text"] or "", letters)
+        stops = [i for i, c in enumerate(raw + b"\n") if c in b".!?\n"]
+        sentences = {}
+        for a, b in words:
+            buckets = sentences.setdefault(next(s for s in stops if s >= a), set())
+            buckets.add(one_hash(raw[a:b]) >> 44)
+            for n in toxicity.STEMS:
+                if b - a > n:
+                    buckets.add(((one_hash(raw[a : a + n]) + (n << 44)) % (1 << 64)) >> 44)
+        clean, best = 1.0, (0.0, 0)
+        for stop, buckets in sorted(sentences.items()):
+            p = 1 / (1 + np.exp(-(sum(weight.get(k, 0.0) for k in buckets) + model["bias"])))
+            clean *= 1 - p
+            best = max(best, (p, -stop))
+        assert abs(r["score"] - (1 - clean)) < 1e-9
+        assert abs(r["worst_score"] - best[0]) < 1e-9 and (not sentences or r["worst_end"] == -best[1])
+
+
+def test_language_by_a_plain_network(spark, docs):
+    """Each window by itself, the convolution as sums over bytes."""
+    model = langid.train(docs.limit(400))
+    rows = docs.where("doc_id < 12").select("doc_id", "text").collect() + [(900, "Ä é"), (901, "x" * 400)]
+    df = spark.createDataFrame([tuple(r) for r in rows], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in langid.identify_language(df, model).collect()}
+    fold = lambda c: 32 if c < 33 else c + 32 if 65 <= c < 91 else c
+    for i, text in rows:
+        raw = text.encode()
+        total, n = np.zeros(len(model["classes"])), 0
+        for a in range(0, len(raw), langid.WINDOW):
+            x = [fold(c) for c in raw[a : a + langid.WINDOW]]
+            x += [32] * (langid.WINDOW - len(x))
+            e = model["embed"][x]
+            wide = max(langid.WIDTHS)
+            top = np.max([e[j : j + wide].reshape(-1) @ model["kernel"] for j in range(langid.WINDOW - wide + 1)], axis=0)
+            z = np.maximum(top + model["shift"], 0) @ model["out"] + model["bias"]
+            total += z - z.max() - np.log(np.exp(z - z.max()).sum())
+            n += 1
+        p = np.exp(total / n - (total / n).max())
+        p /= p.sum()
+        assert got[i]["lang_pred"] == model["classes"][int(p.argmax())] and abs(got[i]["score"] - p.max()) < 1e-4
+
+
+def test_every_window_can_be_drawn():
+    data = np.frombuffer(b"ab" * 5000 + b"\n", np.uint8)
+    first, doc = langid.window_starts(np.array([0]), np.array([10_000]))
+    assert len(first) == -(-10_000 // langid.WINDOW) and set(doc) == {0} and langid.window_bytes(data, first, np.full(len(first), 10_000)).shape == (len(first), langid.WINDOW)
+
+
+def test_quality_by_a_plain_scorer(spark, docs):
+    """Statistics by loops and densities by the covariance's inverse."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.train(docs, labels)
+    rows = [tuple(r) for r in docs.where("doc_id < 40").select("doc_id", "text").collect()] + [(900, ""), (901, None), (902, "one"), (903, "A a a! A a a!\nA a")]
+    got = {r["doc_id"]: r for r in quality.score_quality(spark.createDataFrame(rows, "doc_id bigint, text string"), model).collect()}
+    marks = {ord(c) for c in ".,;:'\"!?-"}
+    kind = lambda c: 0 if 97 <= c < 123 else 1 if 65 <= c < 91 else 2 if 48 <= c < 58 else 3 if c in marks else 4 if 33 <= c < 127 else 5 if c >= 128 else 6
+    for i, text in rows:
+        raw, words = words_of(text or "", set(range(256)) - {32, *range(9, 14)})
+        x = np.zeros(15)
+        if words:
+            n, size = len(words), len(raw)
+            own = [raw[a:b] for a, b in words]
+            low = [bytes(c + 32 if 65 <= c < 91 else c for c in w) for w in own]
+            tri = [tuple(low[j : j + 3]) for j in range(n - 2)]
+            length = np.array([len(w) for w in own], float)
+            x = np.array(
+                [np.log1p(n), *(np.sqrt(sum(kind(c) == k for c in raw) / size) for k in range(6)), np.sqrt(raw.count(b"!") / size), np.log1p(length.mean()), np.log1p(length.std()), np.sqrt(sum(len(w) == 1 and 2 <= kind(w[0]) <= 4 for w in own) / n),
+                 np.sqrt(sum(kind(w[-1]) in (2, 4) for w in own) / n), len(set(low)) / n**0.9, np.sqrt((len(tri) - len(set(tri))) / max(n - 2, 1)), np.log1p(n / (raw.count(b"\n") + 1))]
+            )
+        z = (x - model["centre"]) / model["scale"]
+        density = []
+        for mean, inverse, log_det, prior in model["classes"]:
+            precision = inverse.T @ inverse
+            assert abs(np.linalg.slogdet(precision)[1] + log_det) < 1e-6
+            density.append(prior - 0.5 * (log_det + (z - mean) @ precision @ (z - mean)))
+        want = 1 / (1 + np.exp(-np.clip(density[1] - density[0], -500, 500)))
+        assert abs(got[i]["score"] - want) < 1e-6 and got[i]["predicted"] == int(want >= 0.7)
+
+
+def test_urls_by_a_plain_loop(spark):
+    """Terms found by regular expressions; very long URLs, repeated rows and no host."""
+    rng = random.Random(4)
+    pieces = [*urlfilter.STRICT, *urlfilter.SOFT, "news", "free-bet", "winbet", "a", "b2", "%20", "-", ".", "/"]
+    urls = ["http://" + "".join(rng.choice(pieces) + rng.choice(["", "-", "/", ".", "_"]) for _ in range(rng.randint(1, 6))) for _ in range(400)]
+    urls += ["http://a.org/" + "x" * 100_000 + "/casino", "http://a.org/" + "free-" * 20_000, "http://", "HTTP://CASINO.org", "://bet/win", urls[0], urls[0]]
+    got = sorted((r["page_id"], r["verdict"], r["n_strict"], r["n_soft"]) for r in urlfilter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string"), rules=[]).collect())
+    for (i, verdict, n_strict, n_soft), url in zip(got, urls, strict=True):
+        text = re.split(r"[?#]", url.split("://", 1)[1])[0].lower()
+        found = {t for t in (*urlfilter.STRICT, *urlfilter.SOFT) if re.search(f"(?<![a-z0-9]){t}(?![a-z0-9])", text)}
+        strict, soft = found & set(urlfilter.STRICT), found & set(urlfilter.SOFT)
+        block = bool(strict) or (len(soft) >= urlfilter.SOFT_LIMIT and sum(urlfilter.SOFT[t] for t in soft) >= urlfilter.SOFT_WEIGHT)
+        assert (verdict, n_strict, n_soft) == ("block" if block else "allow", len(strict), len(soft)), (i, url[:200])
+    assert not set(urlfilter.STRICT) & set(urlfilter.SOFT)

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from memlake.llm.common import text_chunks
-from memlake.llm.decontaminate import Matcher, drop_leaks, find_leaks, masks, myers
+from memlake.llm.decontaminate import BUDGET_PERCENT, Matcher, drop_leaks, find_leaks, masks, myers, normal
 from memlake.llm.neardup import estimate, merge, near_duplicates, registers, remaining_pairs, shingle_sets
 from memlake.llm.packing import brackets, fill, needed, pack, place_all
 from memlake.llm.queries import tokenizer_path
@@ -82,7 +82,7 @@ def test_suffix_dedup_of_nothing(spark):
 @given(st.lists(st.integers(0, 4), min_size=1, max_size=30), st.data())
 @settings(max_examples=60, deadline=None)
 def test_longest_previous(docs, data):
-    common = data.draw(st.lists(st.integers(40, 60), min_size=len(docs), max_size=len(docs)))
+    common = data.draw(st.lists(st.integers(0, 60), min_size=len(docs), max_size=len(docs)))
     common[0] = 0
     want = []
     for i, d in enumerate(docs):
@@ -91,8 +91,24 @@ def test_longest_previous(docs, data):
             if e < d:
                 a, b = min(i, j), max(i, j)
                 best = max(best, min(common[a + 1 : b + 1]))
-        want.append(best >= 50)
-    assert longest_previous(np.array(docs), np.array(common), 50).tolist() == want
+        want.append(best)
+    assert longest_previous(np.array(docs), np.array(common)).tolist() == want
+
+
+def test_equal_hashes_alone_remove_nothing():
+    from memlake.llm import suffixdedup
+
+    doc = np.array([1, 2])
+    own = {"doc": doc, "tag": np.zeros(2, np.uint32), "start": np.zeros(2, np.uint32), "windows": np.full(2, 31, np.uint32)}
+    _, claimed = suffixdedup.claims(own, suffixdedup.earliest(np.array([7, 7]), doc), 50)  # different texts, one hash
+    assert claimed["doc"].tolist() == [2] and claimed["src"].tolist() == [1]
+    bucket = pa.Table.from_batches([suffixdedup.as_batch(suffixdedup.dealt(suffixdedup.CLAIMED, np.zeros(1, np.int32), claimed))])
+    merged = suffixdedup.merge_claims(bucket, 1)
+    rows = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a" * 80, "b" * 80])], names=["doc_id", "text"])
+    docs = pa.Table.from_batches(list(suffixdedup.pack(rows, 1, False)))
+    found = suffixdedup.fetch_texts(docs, merged, 1, 50)
+    out = suffixdedup.strip_docs(docs, pa.concat_tables([merged, found]), [])
+    assert out["n_removed"].to_pylist() == [0, 0]
 
 
 def word_sets(rows):
@@ -211,6 +227,50 @@ def test_leaks(spark):
     assert find_leaks(df, bench.unionByName(spark.createDataFrame([(13, noise(25))], bench.schema)), block_bytes=10).count() == len(got)
 
 
+def part_distance(item: bytes, text: bytes) -> int:
+    """The least edit distance of an item to a part of a text, by the table of all of them."""
+    row, best = np.arange(len(item) + 1), len(item)
+    own = np.frombuffer(item, np.uint8)
+    for c in text:
+        new = np.minimum(row[1:] + 1, row[:-1] + (own != c))
+        row = np.concatenate([[0], new])
+        np.minimum.accumulate(row - np.arange(len(row)), out=row)
+        row += np.arange(len(row))
+        best = min(best, int(row[-1]))
+    return best
+
+
+def test_leaks_against_all_distances(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6))) for _ in range(60)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [say(rng.randint(6, 25)) for _ in range(12)] + [say(10)[:40] + " " + say(8)]
+
+    def edited(text, n):
+        t = list(text)
+        for _ in range(n):
+            i = rng.randrange(len(t))
+            t[i : i + 1] = rng.choice([[], ["q"], [t[i], " z"], [t[i].upper()]])
+        return "".join(t)
+
+    docs = []
+    for i in range(70):
+        own = say(rng.randint(0, 30))
+        for _ in range(rng.randint(0, 2)):
+            own += " " + edited(rng.choice(items), rng.randint(0, 9)) + rng.choice(["\n", "  ", "\t "]) + say(rng.randint(0, 6))
+        docs.append((i, own, "en", 1))
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")).collect()}
+    want = {}
+    for i, text, *_ in docs:
+        own = normal(np.frombuffer(text.encode(), np.uint8))[0] if text else b""
+        for j, item in enumerate(items):
+            pattern = normal(np.frombuffer(item.encode(), np.uint8))[0].strip()
+            d = part_distance(pattern, own)
+            if d <= len(pattern) * BUDGET_PERCENT // 100:
+                want[i, j] = d
+    assert got == want and len(set(want.values())) > 2
+
+
 def test_short_items_match_between_words(spark):
     items = [(1, "Who is he?"), (2, "今天天气好"), (3, "кто это"), (4, "cat"), (5, "  "), (6, "exactly twenty bytes")]
     docs = [(1, "so. WHO  is he? they said"), (2, "我说今天天气好不好"), (3, "и кто это был"), (4, "concatenate catalog tomcat"), (5, "concat, a cat."), (6, "никто это"), (7, "exactly twenty bytez"), (8, "exactly twenty bytes")]
