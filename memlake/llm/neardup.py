@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -119,26 +120,31 @@ def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @lean
 def linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Those of the pairs (a, b, x, y with full sets x and y) that are linked: a, b."""
-    sketches: dict[tuple[int, int], np.ndarray] = {}
+    """Those of the pairs (a, b, x, y with full sets x and y) that are linked: a, b.
+
+    Pairs whose sizes differ too much are out; of the others a batch's similarities are estimated at once, and those that may reach
+    the threshold are compared.
+    """
+    sketches: dict[bytes, np.ndarray] = {}
+
+    def sketch(raw: bytes) -> np.ndarray:
+        if len(sketches) > 1024:  # pairs of one centre follow each other
+            sketches.clear()
+        if raw not in sketches:
+            sketches[raw] = registers(np.frombuffer(raw, U64))
+        return sketches[raw]
+
     for batch in batches:
+        n_x, n_y = (pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) // 8 for c in ("x", "y"))
+        near = np.flatnonzero(100 * np.minimum(n_x, n_y) >= percent * np.maximum(n_x, n_y))
         good = np.zeros(batch.num_rows, dtype=bool)
-        for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-            x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-            if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                continue
-            two = []
-            for s in (x, y):
-                name = hash(s.tobytes()), len(s)  # pairs of one centre follow each other
-                if len(sketches) > 4096:
-                    sketches.clear()
-                if name not in sketches:
-                    sketches[name] = registers(s)
-                two.append(sketches[name][None, :])
-            if estimate(*two, np.array([len(x)]), np.array([len(y)]))[0] < percent / 100 - MARGIN:
-                continue
-            same = len(np.intersect1d(x, y, assume_unique=True))
-            good[i] = 100 * same >= percent * (len(x) + len(y) - same)
+        if len(near):
+            x, y = batch.column("x"), batch.column("y")
+            own, other = (np.stack([sketch(c[i].as_py()) for i in near.tolist()]) for c in (x, y))
+            likely = estimate(own, other, n_x[near], n_y[near]) >= percent / 100 - MARGIN
+            for i in near[likely].tolist():
+                same = len(np.intersect1d(np.frombuffer(x[i].as_buffer(), U64), np.frombuffer(y[i].as_buffer(), U64), assume_unique=True))
+                good[i] = 100 * same >= percent * (n_x[i] + n_y[i] - same)
         mask = pa.array(good)
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
