@@ -102,6 +102,40 @@ def capture_into(store, closed: DataFrame, checkpoint: str, cfg: Config = DEFAUL
     return closed.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Events that a store remembers of a stream.
+RECENT = 30
+SEEN = "sessionId string, last_seq bigint, turn_start bigint"
+
+
+def observe_batch(store, events: DataFrame, number: int, stream: str = "events") -> None:
+    """Note a micro-batch of events: each session's last number and last turn, and the latest events of all.
+
+    What is wrong with a batch is noted beside (table `faults`), and never ends the stream. A batch that comes again changes nothing.
+    """
+    from memlake.operators.provenance import last_per_session
+    from memlake.plans.lineage import cut
+
+    spark, mark = events.sparkSession, f"observed:{stream}"
+    if store.mark(mark) > number:
+        return
+    try:
+        both = store.table("seen", SEEN).unionByName(last_per_session(events))
+        seen = both.where("sessionId is not null").groupBy("sessionId").agg(F.max("last_seq").alias("last_seq"), F.max("turn_start").alias("turn_start"))
+        few = events.select("sessionId", "type", "seq", "time").orderBy(F.col("time").desc_nulls_last(), F.col("seq").desc_nulls_last()).limit(RECENT)
+        recent = store.table("recent", "sessionId string, type string, seq bigint, time bigint").unionByName(few).orderBy(F.col("time").desc_nulls_last(), F.col("seq").desc_nulls_last()).limit(RECENT)
+        seen, recent = cut(spark, seen), cut(spark, recent)
+        store.replace("seen", seen)
+        store.replace("recent", recent)
+    except Exception as fault:  # noqa: BLE001
+        store.add("faults", spark.createDataFrame([(stream, number, f"{type(fault).__name__}: {fault}"[:500])], "stream string, batch bigint, fault string"))
+    store.set_mark(mark, number + 1)
+
+
+def observe(store, events: DataFrame, checkpoint: str, stream: str = "events"):
+    """Start the query that notes a stream of events in a store."""
+    return events.writeStream.foreachBatch(lambda batch, number: observe_batch(store, batch, number, stream)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def _quota(limit: int, window_ms: int, gap_ms: int, expire: bool = False):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:

@@ -309,3 +309,19 @@ def test_compaction_summaries_are_solidified(spark, service):
     service.solidify(spark.createDataFrame([("s", "compaction/summary", 12, 1, data)], EVENT))
     got = {(r["text"], r["kind"], r["refs"][0]["from"], r["refs"][0]["to"], r["refs"][0]["via"]) for r in service.store.records().collect()}
     assert got == {("The team chose Spark for all jobs.", "episodic", 3, 9, "solidify"), ("The second long sentence stands here.", "episodic", 3, 9, "solidify")}
+
+
+def test_events_are_noted_and_faults_end_nothing(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    rows = [("s", "turn/start", 1, 10, None), ("s", "user/message", 2, 20, None), ("t", "user/message", 7, None, None)] + [("u", "user/message", i, 100 + i, None) for i in range(40)]
+    e = spark.createDataFrame(rows, EVENT)
+    e.write.parquet(str(tmp_path / "in"))
+    assert streams.observe(store, spark.readStream.schema(EVENT).parquet(str(tmp_path / "in")), str(tmp_path / "state")).awaitTermination(120)
+    streams.observe_batch(store, e, 0)  # comes again
+    streams.observe_batch(store, spark.createDataFrame([("s", "turn/start", 9, 500, None)], EVENT), 1)
+    seen = {r["sessionId"]: (r["last_seq"], r["turn_start"]) for r in store.table("seen", streams.SEEN).collect()}
+    assert seen == {"s": (9, 9), "t": (7, None), "u": (39, None)}
+    recent = store.table("recent", "sessionId string, type string, seq bigint, time bigint")
+    assert recent.count() == streams.RECENT and recent.where("time = 500").count() == 1
+    streams.observe_batch(store, e.select("sessionId"), 2)  # no such columns
+    assert store.table("faults", "stream string, batch bigint, fault string").first()["batch"] == 2 and store.mark("observed:events") == 3
