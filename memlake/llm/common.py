@@ -105,17 +105,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(path)
 
 
-#: Files of a checkpoint, for each task that can run at once, at most.
-FILES = 4
+#: Files of a checkpoint, for each task that can run at once, at least; and bytes of its input for which there is another.
+FILES, FILE_BYTES = 4, 128 << 20
 
 
-def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
+def source_bytes(df: DataFrame) -> int:
+    """What the files that a table is read from hold, as Spark's plan has it (a table that isn't read from files: a very large number)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def cut(spark: SparkSession, df: DataFrame, size: int = 0) -> DataFrame:
     """Materialise `df` in the shared checkpoint folder and cut its lineage.
 
-    Neighbouring partitions are written by one task where there are many more than tasks can run at once: their files would be tiny.
+    Neighbouring partitions are written by one task where they are many and small: `size` is about what all of it came from, in
+    bytes, and files are as many as that asks for, or as a few for each task that can run at once.
     """
     ensure_checkpoint_dir(spark)
-    return df.coalesce(FILES * max(1, spark.sparkContext.defaultParallelism)).checkpoint(eager=True)
+    files = max(FILES * max(1, spark.sparkContext.defaultParallelism), size // FILE_BYTES)
+    return df.coalesce(min(files, 1 << 30)).checkpoint(eager=True)
 
 
 def release(spark: SparkSession) -> None:

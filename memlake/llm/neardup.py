@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from memlake.llm.common import U64, Chunk, bound_batches, cut, lean, mix, release, run_hashes, text_chunks, word_runs
+from memlake.llm.common import U64, Chunk, bound_batches, cut, lean, mix, release, run_hashes, source_bytes, text_chunks, word_runs
 
 SHINGLE = 5
 #: Link at 100 * intersection >= PERCENT * union.
@@ -159,19 +159,19 @@ def elements_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *sets])), batch.column("id").take(owner), batch.column("component").take(owner), pa.array(np.repeat(n, n))], names=["element", "id", "component", "n"])
 
 
-def remaining_pairs(spark: SparkSession, left: DataFrame, percent: int) -> DataFrame:
+def remaining_pairs(spark: SparkSession, left: DataFrame, percent: int, size: int = 0) -> DataFrame:
     """Pairs (a, b) of different components that may be linked, of all rows of left (id, component, elements); none is missed.
 
     Elements are put in one order for all sets, rare ones first; those of one set alone come before all others and needn't be
     looked at. A linked pair's first common element lies so early in both that enough can follow.
     """
-    rows = cut(spark, left.mapInArrow(elements_of, "element long, id long, component long, n long"))
+    rows = cut(spark, left.mapInArrow(elements_of, "element long, id long, component long, n long"), size)
     shared = rows.groupBy("element").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("p"), F.max("component").alias("q")).where("df > 1")
     met = rows.join(shared.select("element", "df", (F.col("p") < F.col("q")).alias("apart")), "element")
     order = Window.partitionBy("id").orderBy("df", "element")
     met = met.withColumn("place", F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("id")) + F.row_number().over(order) - 1)
     # a linked set has percent/100 * n of the elements, so one of the first that are more than the others is common
-    rare = cut(spark, met.where(F.col("apart") & (100 * (F.col("n") - F.col("place")) >= percent * F.col("n"))).select("element", "id", "component", "n", "place"))
+    rare = cut(spark, met.where(F.col("apart") & (100 * (F.col("n") - F.col("place")) >= percent * F.col("n"))).select("element", "id", "component", "n", "place"), size)
     release(spark)
     other = rare.select("element", *[F.col(c).alias(f"{c}2") for c in ("id", "component", "n", "place")])
     enough = (100 + percent) * F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) >= percent * (F.col("n") + F.col("n2"))
@@ -179,7 +179,7 @@ def remaining_pairs(spark: SparkSession, left: DataFrame, percent: int) -> DataF
     return rare.alias("l").join(other.alias("r"), (F.col("l.element") == F.col("r.element")) & fits).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
 
 
-def components(spark: SparkSession, edges: DataFrame, labels: DataFrame) -> DataFrame:
+def components(spark: SparkSession, edges: DataFrame, labels: DataFrame, size: int = 0) -> DataFrame:
     """(id, component): the least id that edges (a, b) reach from the components of labels (id, component), which may be empty.
 
     Components are nodes that the edges join; each round every node takes the least label around it, then its label's label.
@@ -189,20 +189,20 @@ def components(spark: SparkSession, edges: DataFrame, labels: DataFrame) -> Data
 
     links = edges.join(label("a"), "a", "left").join(label("b"), "b", "left")
     links = links.select(F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v")).where("u <> v").distinct()
-    both = cut(spark, links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-    state = cut(spark, both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("c")))
+    both = cut(spark, links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))), size)
+    state = cut(spark, both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("c")), size)
     while True:
         around = both.join(state.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("c").alias("m"))
         near = state.join(around, "u").select("u", F.least("c", "m").alias("n"), F.col("c"))
         jumped = near.join(state.select(F.col("u").alias("n"), F.col("c").alias("j")), "n", "left")
-        after = cut(spark, jumped.select("u", F.least("n", F.coalesce("j", "n")).alias("c"), (F.least("n", F.coalesce("j", "n")) < F.col("c")).alias("moved")))
+        after = cut(spark, jumped.select("u", F.least("n", F.coalesce("j", "n")).alias("c"), (F.least("n", F.coalesce("j", "n")) < F.col("c")).alias("moved")), size)
         state = after.select("u", "c")
         if not after.where("moved").take(1):
             break
     roots = state.select(F.col("u").alias("component"), "c")
     ends = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
     known = labels.unionByName(ends.join(labels, "id", "left_anti").select("id", F.col("id").alias("component")))
-    return cut(spark, known.join(roots, "component", "left").select("id", F.coalesce("c", "component").alias("component")))
+    return cut(spark, known.join(roots, "component", "left").select("id", F.coalesce("c", "component").alias("component")), size)
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -215,17 +215,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     bound_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = cut(spark, docs.mapInArrow(sign, "doc_id long, n_shingles long, key binary, bands array<long>"))
+    size = source_bytes(docs)
+    signed = cut(spark, docs.mapInArrow(sign, "doc_id long, n_shingles long, key binary, bands array<long>"), size)
     ranked = F.min(F.struct("doc_id", "n_shingles", "bands"))
-    classes = cut(spark, signed.where("doc_id is not null and n_shingles > 0").groupBy("key").agg(ranked.alias("r")).select("key", F.col("r.doc_id").alias("id"), F.col("r.n_shingles").alias("n"), F.col("r.bands").alias("bands")))
+    classes = cut(spark, signed.where("doc_id is not null and n_shingles > 0").groupBy("key").agg(ranked.alias("r")).select("key", F.col("r.doc_id").alias("id"), F.col("r.n_shingles").alias("n"), F.col("r.bands").alias("bands")), size)
     banded = classes.select("id", "n", F.posexplode("bands").alias("band", "bucket")).select("bucket", "id", "n")
     shared = banded.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("size")).where("least < most").select("bucket", "size")
-    members = cut(spark, banded.join(shared, "bucket"))  # of buckets with several documents
+    members = cut(spark, banded.join(shared, "bucket"), size)  # of buckets with several documents
     fame = members.groupBy("id").agg(F.sum("size").alias("fame"))
-    members = cut(spark, members.join(fame, "id").select("bucket", "id", "n", "fame"))
+    members = cut(spark, members.join(fame, "id").select("bucket", "id", "n", "fame"), size)
     release(spark)
     sets = docs.withColumnRenamed("doc_id", "id").join(members.select("id").distinct(), "id", "left_semi").mapInArrow(full_sets, "id long, elements binary")
-    sets = cut(spark, sets)
+    sets = cut(spark, sets, size)
     release(spark)
     labels = spark.createDataFrame([], "id long, component long")
     tried = spark.createDataFrame([], "a long, b long")
@@ -239,15 +240,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             pairs = pairs.where(fits).select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b")).distinct()
         else:
             open_ = here.join(several.select("bucket"), "bucket", "left_semi").select("id", "component").distinct()
-            pairs = remaining_pairs(spark, cut(spark, open_.join(sets, "id")), percent)
-        pairs = cut(spark, pairs.join(tried, ["a", "b"], "left_anti"))
+            pairs = remaining_pairs(spark, cut(spark, open_.join(sets, "id"), size), percent, size)
+        pairs = cut(spark, pairs.join(tried, ["a", "b"], "left_anti"), size)
         if not pairs.take(1):
             continue
         tried = tried.unionByName(pairs)
         texts = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b")
-        edges = cut(spark, texts.select("a", "b", "x", "y").mapInArrow(lambda t: linked(t, percent), "a long, b long"))
+        edges = cut(spark, texts.select("a", "b", "x", "y").mapInArrow(lambda t: linked(t, percent), "a long, b long"), size)
         release(spark)
-        labels = components(spark, edges, labels)
+        labels = components(spark, edges, labels, size)
     named = classes.select("key", "id").join(labels, "id", "left").select("key", F.coalesce("component", "id").alias("component_id"))
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     out = signed.select("doc_id", "n_shingles", "key").join(named, "key", "left")

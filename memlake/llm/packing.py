@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from memlake.llm.common import U64, bound_batches, cut, lean, mix, release, text_chunks
+from memlake.llm.common import U64, bound_batches, cut, lean, mix, release, source_bytes, text_chunks
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -30,6 +30,8 @@ SEPARATOR = 0
 SLOTS, WIDTH, UNIT = 1 << 20, 6, 16
 #: Pieces and gaps of a range, and ranges at most.
 SWEEP_ROWS, RANGES = 100_000, 20_000
+#: Bytes of a piece or gap in a round's table.
+ROW_BYTES = 64
 #: Tables of placed pieces that a plan holds before they become one.
 PARTS = 6
 #: New sequences up to which their pieces are the exact longest ones; beyond it pieces of the last length are drawn by hash.
@@ -285,10 +287,11 @@ def place_all(spark: SparkSession, pieces: DataFrame, capacity: int, sweep_rows:
     def note(rows: DataFrame) -> None:
         placed.append(rows.select("pid", "sequence_id", F.col("offset").cast("long").alias("offset")))
         if len(placed) >= PARTS:  # a plan of all rounds' tables would grow with their number
-            placed[:] = [cut(spark, reduce(DataFrame.unionByName, placed))]
+            placed[:] = [cut(spark, reduce(DataFrame.unionByName, placed), ROW_BYTES * total)]
 
     gaps = spark.createDataFrame([], "sequence long, gap long")
     counts, n_gaps = histogram(pieces), 0
+    total = sum(counts.values())
     while counts:
         # nothing fits: the longest pieces open sequences, which have their names
         number = needed(counts, capacity)
@@ -303,7 +306,7 @@ def place_all(spark: SparkSession, pieces: DataFrame, capacity: int, sweep_rows:
             both = both.unionByName(gaps.select(F.col("gap").alias("size"), F.lit(1).alias("kind"), F.col("sequence").alias("id")))
             dealt = both.repartitionByRange(ranges, "size", "kind", "id") if ranges > 1 else both.coalesce(1)
             dealt = dealt.sortWithinPartitions("size", "kind", "id").withColumn("part", F.spark_partition_id())
-            swept = cut(spark, dealt.mapInArrow(sweep, "kind int, id long, size long, sequence long, before long, place long, part int"))
+            swept = cut(spark, dealt.mapInArrow(sweep, "kind int, id long, size long, sequence long, before long, place long, part int"), ROW_BYTES * (left + n_gaps))
             rows = swept.groupBy("part", "kind", (F.col("place") >= 0).alias("open")).agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least"), F.max("size").alias("most")).collect()  # five rows a range at most
             runs = {(r["part"], r["kind"]): (r["n"], r["least"], r["most"]) for r in rows if r["open"]}
             found = swept.where("kind = 2").select(F.col("id").alias("pid"), F.col("sequence").alias("sequence_id"), "size", "before")
@@ -318,7 +321,7 @@ def place_all(spark: SparkSession, pieces: DataFrame, capacity: int, sweep_rows:
                 ranked = ranked.select("id", "size", F.col("gap_part").alias("part"), (F.col("gap_first") + F.floor(rank / F.col("each"))).alias("place"))
                 met = ranked.join(swept.where("kind = 1 and place >= 0").select("part", "place", "sequence", F.col("size").alias("gap")), ["part", "place"])
                 so_far = F.sum("size").over(Window.partitionBy("sequence").orderBy(F.col("size").desc(), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-                met = cut(spark, met.select(F.col("id").alias("pid"), F.col("sequence").alias("sequence_id"), "size", (F.col("gap") - so_far + F.col("size")).alias("before")))
+                met = cut(spark, met.select(F.col("id").alias("pid"), F.col("sequence").alias("sequence_id"), "size", (F.col("gap") - so_far + F.col("size")).alias("before")), ROW_BYTES * left)
                 found = found.unionByName(met)
                 pieces = pieces.join(met.select("pid"), "pid", "left_anti")
                 used = met.groupBy(F.col("sequence_id").alias("sequence")).agg(F.sum("size").alias("used"))
@@ -345,6 +348,6 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, sweep_r
     spark = docs.sparkSession
     bound_batches(spark)
     pieces = docs.select("doc_id", "text").mapInArrow(lambda batches: pieces_of(batches, tokenizer_path, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
-    pieces = cut(spark, pieces.withColumn("pid", F.monotonically_increasing_id()))
+    pieces = cut(spark, pieces.withColumn("pid", F.monotonically_increasing_id()), source_bytes(docs))
     placed = place_all(spark, pieces.select("pid", "length"), capacity, sweep_rows)
     return pieces.join(placed, "pid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -508,10 +508,10 @@ def _strip(docs: DataFrame, length: int) -> tuple[DataFrame, list[str]]:
     tagged = bool(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").take(1))
 
     first = docs.select("doc_id", "text").mapInArrow(lambda b: map_segments(b, buckets, length, tagged), ROW).groupBy("bucket").applyInArrow(lambda t: meet_anchors(t, buckets, length), ROW)
-    first = cut(spark, first)
+    first = cut(spark, first, n_bytes)
     release(spark)
     packed = docs.mapInArrow(lambda b: pack_docs(b, buckets, tagged), ROW)
-    claimed = cut(spark, first.where(F.col("kind") == CLAIMED).groupBy("bucket").applyInArrow(lambda t: merge_claims(t, buckets), ROW))
+    claimed = cut(spark, first.where(F.col("kind") == CLAIMED).groupBy("bucket").applyInArrow(lambda t: merge_claims(t, buckets), ROW), n_bytes)
     asked = first.where(F.col("kind") == ASKED).unionByName(claimed.where(F.col("kind") == CHECK))
     texts = packed.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(lambda a, b: fetch_texts(a, b, buckets, length), ROW)
     second = texts.groupBy("bucket").applyInArrow(lambda t: meet_texts(t, buckets, length), ROW)
