@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from memlake.config import DEFAULTS, Config, audit_max
 from memlake.functions.refs import sanitize
 from memlake.functions.text import normalize_branch, normalize_text, token_set
 
+#: Bytes of lines that are looked for in one pass.
+BLOCK_BYTES = 4 << 20
 #: The attempts that an audit counts.
 ACTIONS = ("created", "merged", "pending", "approved", "rejected-pending", "rejected", "invalidated", "archived", "forgotten")
 
@@ -51,14 +54,51 @@ def trace(records: DataFrame, session: str, seq: int | None = None) -> DataFrame
     return named.join(records.select("id", "kind", "status", "text"), "id")
 
 
-def shown(lines: DataFrame, logs: DataFrame) -> DataFrame:
-    """Whether each line (line) stands in some log text (text): checked, matched, missing.
+def blocks(lines: DataFrame) -> Iterator[list[str]]:
+    """Different lines in blocks of at most BLOCK_BYTES bytes (or one longer line)."""
+    held, size = [], 0
+    for row in lines.where(F.length("line") > 0).select("line").distinct().orderBy("line").toLocalIterator():
+        n = len(row["line"].encode())
+        if held and size + n > BLOCK_BYTES:
+            yield held
+            held, size = [], 0
+        held.append(row["line"])
+        size += n
+    if held:
+        yield held
+
+
+def holders(texts: DataFrame, lines: DataFrame) -> DataFrame:
+    """(id, line): which texts (id, text) hold which lines (line), word for word.
 
-    Lines are a page of a block; every text is searched once for all of them.
+    One automaton of all lines of a block passes over each text once, so the work grows with the texts and not with their product
+    with the lines; lines travel in blocks of bounded size.
     """
+    kind = texts.schema["id"].dataType.simpleString()
+    out = texts.sparkSession.createDataFrame([], f"id {kind}, line string")
+    for block in blocks(lines):
+
+        def find(batches: Iterator[pa.RecordBatch], block: list[str] = block) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for line in block:
+                automaton.add_word(line, line)
+            automaton.make_automaton()
+            for batch in batches:
+                found = [sorted({line for _, line in automaton.iter(t)}) if t else [] for t in batch.column("text").to_pylist()]
+                owner = pa.array(np.repeat(np.arange(batch.num_rows), [len(f) for f in found]))
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(owner), pa.array([x for f in found for x in f], pa.string())], names=["id", "line"])
+
+        out = out.unionByName(texts.select("id", "text").mapInArrow(find, f"id {kind}, line string"))
+    return out
+
+
+def shown(lines: DataFrame, logs: DataFrame) -> DataFrame:
+    """Whether each line (line) stands in some log text (text): checked, matched, missing. An empty line stands anywhere."""
     wanted = lines.select("line").distinct()
-    hits = logs.select("text").join(F.broadcast(wanted), F.contains("text", F.col("line")), "inner").select("line").distinct()
-    out = wanted.join(hits.withColumn("hit", F.lit(True)), "line", "left")
+    hits = holders(logs.select(F.lit(0).alias("id"), "text"), wanted).select("line").distinct().withColumn("hit", F.lit(True))
+    out = wanted.join(hits, "line", "left").withColumn("hit", F.when(F.col("hit") | (F.length("line") == 0), True))
     return out.agg(F.count(F.lit(1)).alias("checked"), F.count("hit").alias("matched"), (F.count(F.lit(1)) - F.count("hit")).alias("missing"))
 
 

@@ -121,8 +121,8 @@ SELECT count(*) AS n, avg(CASE WHEN coalesce(place = 1, false) THEN 1.0 ELSE 0 E
 def eval_recall(spark, sf_dir):
     pool = records(spark, sf_dir).where(filters.active())
     asked = benchmark_queries(spark, sf_dir)
-    # the benchmark is a stated query set: each text of it is looked for in every record
-    expected = pool.select("doc_id", "text").join(F.broadcast(asked), F.contains("text", F.col("query"))).groupBy("query_id").agg(F.min("doc_id").cast("string").alias("id"))
+    found = provenance.holders(pool.select(F.col("doc_id").alias("id"), "text"), asked.select(F.col("query").alias("line")))
+    expected = found.join(asked.withColumnRenamed("query", "line"), "line").groupBy("query_id").agg(F.min("id").cast("string").alias("id"))
     return recall.evaluate(pool, asked, expected, NOW, CFG)
 
 
