@@ -6,6 +6,7 @@ session, and how often each session was asked to reflect; a turn that brings not
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -65,13 +66,14 @@ def notice(text: str, cfg: Config) -> Column:
     return clamp_text(F.lit(text), max(1, budget(cfg.max_injected_tokens, DEFAULTS.max_injected_tokens)), budget(cfg.chars_per_token, DEFAULTS.chars_per_token))
 
 
-def inject(records: DataFrame, turns: DataFrame, lines: DataFrame, last: DataFrame, gates: DataFrame, now: int, cfg: Config = DEFAULTS, asks: int = 0, asked_sessions: DataFrame | None = None, mode: str = "inject") -> Injected:
+def inject(records: DataFrame, turns: DataFrame, lines: DataFrame, last: DataFrame, gates: DataFrame, now: int, cfg: Config = DEFAULTS, asks: int = 0, asked_sessions: DataFrame | None = None, mode: str = "inject", rescore: Callable[[DataFrame], DataFrame] | None = None) -> Injected:
     """One step for a batch of turns.
 
     turns: query_id, sessionId, turn, query, workspace, and dropped (a turn that was refused or broken off gets nothing and
     changes nothing) where there is such a column; lines: sessionId, line of what is shown already; last: sessionId, id,
     last_turn; asks: how often a name was asked for so far, in all sessions, and asked_sessions (sessionId) where. mode `dry`
-    finds what would be shown, but gives no messages; `off` does nothing.
+    finds what would be shown, but gives no messages; `off` does nothing. rescore: puts candidates, some more than are shown, in
+    another order.
     """
     spark = records.sparkSession
     none = turns.limit(0)
@@ -80,7 +82,10 @@ def inject(records: DataFrame, turns: DataFrame, lines: DataFrame, last: DataFra
     live = cut(spark, live if mode != "off" else none)
     names = live.select("query_id", "sessionId", "turn")
     mine = lambda df, *columns: df.join(names.select("query_id", "sessionId"), "sessionId").select("query_id", *columns)
-    found = recall.turn_recall(records, live, mine(lines, "line"), mine(last, "id", "last_turn"), now, cfg)
+    most = cfg.recall_top_k if rescore is None else max(cfg.recall_top_k, min(recall.MOST, 4 * cfg.recall_top_k))
+    found = recall.turn_recall(records, live, mine(lines, "line"), mine(last, "id", "last_turn"), now, cfg, most)
+    if rescore is not None:
+        found = rescore(found).where(F.col("rank") <= cfg.recall_top_k)
     shown = cut(spark, render.recall_block(found, cfg))
     hits = shown.select("query_id", "place", "id").join(names, "query_id")
     after = step_last(last, hits, names)

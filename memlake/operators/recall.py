@@ -249,11 +249,17 @@ def diagnostics(mode: str, hits: DataFrame | None, candidates: int, vectors: int
     return {"mode": mode, "used": fell is None, "fallback": fell, "candidates": candidates, "vectors": vectors if fell is None else 0}
 
 
-def rescore(hits: DataFrame, vectors: DataFrame, query_vectors: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
-    """The same hits in the order of the blended score; one without a vector keeps its score, and ties keep their order."""
+def rescore(hits: DataFrame, records: DataFrame, vectors: DataFrame, query_vectors: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """The same hits (query_id, id, match, score) in the order of the blended score; none is added and none goes.
+
+    One without a vector of the query's length keeps its score. Ties are in the order of records.
+    """
     rows = hits.join(vectors.select("id", F.col("vector").alias("v")), "id", "left").join(query_vectors.select("query_id", F.col("vector").alias("q")), "query_id", "left")
-    rows = rows.withColumn("score", F.round(blend(F.col("score"), F.greatest(F.lit(0.0), cosine(F.col("q"), F.col("v"))), blend_weight(cfg)), 12))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "rank"))).select("query_id", "id", "match", "score", "rank")
+    near = F.when(F.size("q") == F.size("v"), F.greatest(F.lit(0.0), F.coalesce(cosine(F.col("q"), F.col("v")), F.lit(0.0))))
+    rows = rows.withColumn("score", F.round(F.when(near.isNull(), F.col("score")).otherwise(blend(F.col("score"), near, blend_weight(cfg))), 12))
+    rows = rows.join(records.select("id", "pinned", "importance", "confidence"), "id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), *ranking()))
+    return rows.withColumn("rank", rank).select("query_id", "id", "match", "score", "rank")
 
 
 def evaluate(records: DataFrame, queries: DataFrame, expected: DataFrame, now: int, cfg: Config = DEFAULTS) -> DataFrame:
@@ -279,11 +285,12 @@ def latency(timings: DataFrame, column: str = "ms", shares: tuple[float, ...] =
     return rows.agg(F.count(F.lit(1)).alias("samples"), *values, F.coalesce(F.max(column), F.lit(0.0)).alias("max"))
 
 
-def turn_recall(records: DataFrame, turns: DataFrame, lines: DataFrame, last: DataFrame, now: int, cfg: Config = DEFAULTS) -> DataFrame:
+def turn_recall(records: DataFrame, turns: DataFrame, lines: DataFrame, last: DataFrame, now: int, cfg: Config = DEFAULTS, most: int | None = None) -> DataFrame:
     """What turns bring up: no line that is shown already, no other workspace's, nothing within its cooldown.
 
     turns: query_id, query (short ones bring nothing), turn, workspace; lines: query_id, line; last: query_id, id, last_turn (when
-    a record was last shown). Returns query_id, rank, id, kind, text, match, score; what is left out makes room for the next.
+    a record was last shown). Returns query_id, rank, id, kind, text, match, score; what is left out makes room for the next, up to
+    `most` (else as many as are shown).
     """
     from memlake.operators.filters import active
 
@@ -298,7 +305,7 @@ def turn_recall(records: DataFrame, turns: DataFrame, lines: DataFrame, last: Da
     found = found.withColumn("n", normalize_text(F.col("text"))).join(shown, ["query_id", "n"], "left_anti").join(last, ["query_id", "id"], "left")
     found = found.where(F.col("turn") - F.coalesce("last_turn", F.lit(-999)) >= cfg.recall_cooldown_turns).withColumn("score", composite(now))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), *ranking())
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cfg.recall_top_k).select("query_id", "rank", "id", "kind", "text", "match", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= (cfg.recall_top_k if most is None else most)).select("query_id", "rank", "id", "kind", "text", "match", "score")
 
 
 def corrected(records: DataFrame, corrections: DataFrame, now: int, cfg: Config = DEFAULTS) -> DataFrame:

@@ -16,7 +16,7 @@ def shared_folder(spark: SparkSession) -> str:
     if named:
         return named
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        if not context.master.startswith("local["):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="checkpoints-")
         atexit.register(shutil.rmtree, path, True)

@@ -186,3 +186,41 @@ def superseding(spark, sf_dir):
     back = r.where(F.col("status").isin("archived", "invalid")).select(F.col("id").alias("old"))
     return r.where(filters.active()).select("id", F.explode("supersedes").alias("old")).join(back, "old", "left_semi").select("id", "old")
 
+
+
+_EN = CFG.with_(language="en")
+_WORK_EN = 120 + render.HEADROOM["en"] - render.tokens_of(render.TEXTS["en"].work_header, _EN)
+
+
+@query(f"""WITH {RECORDS_SQL}, p AS (SELECT *, row_number() OVER (ORDER BY {RANK}) AS place, '- ' || {clamp('text', 150)} AS line FROM records WHERE status = 'active' AND kind = 'agent_self' AND origin IN ('user_explicit', 'user_correction') AND confidence >= 0.8),
+c AS (SELECT *, CAST(ceil(length(line) / 2.5) AS BIGINT) AS cost FROM p WHERE place <= 12), u AS (SELECT *, CAST(sum(cost) OVER (ORDER BY place) AS BIGINT) AS used FROM c) SELECT place, id, md5(line) AS digest, cost, used FROM u WHERE used <= {_WORK_EN}""")
+def self_block_en(spark, sf_dir):
+    """The portrait in English, whose fixed texts leave it some more tokens."""
+    return render.self_block(records(spark, sf_dir), _EN).select("place", "id", F.md5(F.col("line").cast("binary")).alias("digest"), "cost", "used")
+
+
+def _vectors(spark, sf_dir):
+    """Vectors of records and of test items, by their ids."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"))
+    asked = benchmark_queries(spark, sf_dir)
+    return vectors, asked, vectors.select(F.col("id").cast("long").alias("query_id"), "vector").join(asked.select("query_id"), "query_id", "left_semi")
+
+
+_V = "v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)"
+
+
+@query(f"""WITH {scored_sql('query', 0.34)}, {_V}, x AS (SELECT a.vec_id AS query_id, pool.*, round(greatest(0, list_cosine_similarity(a.e, b.e)), 12) AS cosine FROM v a JOIN benchmark ON a.vec_id = item_id, v b JOIN pool ON pool.doc_id = b.vec_id),
+z AS (SELECT query_id, id, cosine AS score, false AS fallback, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, {RANK}) AS rank FROM x), l AS (SELECT query_id, id, score, true AS fallback, rank FROM ranked WHERE query_id NOT IN (SELECT vec_id FROM v))
+SELECT query_id, id, round(score, 6) AS score, rank, fallback FROM (SELECT * FROM z UNION ALL BY NAME SELECT * FROM l) WHERE rank <= 8""")
+def semantic_topk(spark, sf_dir):
+    vectors, asked, own = _vectors(spark, sf_dir)
+    out = recall.semantic(records(spark, sf_dir).where(filters.active()), vectors, asked, own, NOW, CFG)
+    return out.withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {scored_sql('memory', 0.4)}, {_V}, h AS (SELECT r.query_id, r.id, r.match, r.pinned, r.importance, r.confidence, CASE WHEN a.vec_id IS NULL OR b.vec_id IS NULL THEN r.score ELSE 0.5 * r.score + 0.5 * greatest(0, list_cosine_similarity(a.e, b.e)) END AS s FROM ranked r LEFT JOIN v a ON a.vec_id = r.query_id LEFT JOIN v b ON b.vec_id = r.doc_id WHERE r.rank <= 8)
+SELECT query_id, id, round(match, 6) AS match, round(round(s, 12), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, {RANK}) AS rank FROM h""")
+def rescored_hits(spark, sf_dir):
+    vectors, asked, own = _vectors(spark, sf_dir)
+    pool = records(spark, sf_dir).where(filters.active())
+    return recall.rescore(recall.recall(pool, asked, NOW, CFG, "memory"), pool, vectors, own, CFG).select("query_id", "id", F.round("match", 6).alias("match"), F.round("score", 6).alias("score"), "rank")

@@ -298,9 +298,9 @@ def refs_range_verify(spark, sf_dir):
     return out.select("id", F.col("sessionId").alias("session"), "from", "to", "events", F.round("coverage", 6).alias("coverage"))
 
 
-@query(f"WITH {RECORDS_SQL} SELECT id, kind, status, ref_session AS session FROM records WHERE (starts_with(ref_session, 's-1') OR starts_with(ref_session, '1')) AND ref_session = 's-12' AND 3 BETWEEN ref_from AND ref_to")
+@query(f"WITH {RECORDS_SQL} SELECT id, kind, status, ref_session AS session FROM records WHERE (starts_with(ref_session, '12') OR starts_with(regexp_replace(ref_session, '^[^-]*-', ''), '12')) AND 3 BETWEEN ref_from AND ref_to")
 def trace_point(spark, sf_dir):
-    return provenance.trace(records(spark, sf_dir).where(F.col("refs")[0]["sessionId"] == "s-12"), "s-12", 3).select("id", "kind", "status", F.col("sessionId").alias("session"))
+    return provenance.trace(records(spark, sf_dir), "12", 3).select("id", "kind", "status", F.col("sessionId").alias("session"))
 
 
 @query("""WITH c AS (SELECT conv_id, turn, role, text FROM conversations WHERE role IN ('user', 'assistant') AND conv_id % 13 <> 0),

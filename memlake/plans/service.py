@@ -110,7 +110,7 @@ class MemoryService:
     def turn(self, turns: DataFrame, lines: DataFrame, mode: str = "inject") -> inject.Injected:
         """One step of a batch of turns (query_id, sessionId, turn, query, workspace); its state is kept in the store."""
         state = lambda name, ddl: self.store.table(name, ddl)
-        step = inject.inject(self.visible(), turns, lines, state("shown", "sessionId string, id string, last_turn bigint"), state("gates", inject.GATES), self.clock(), self.cfg, self.store.mark("selfIntroAsks"), state("asked", "sessionId string"), mode)
+        step = inject.inject(self.visible(), turns, lines, state("shown", "sessionId string, id string, last_turn bigint"), state("gates", inject.GATES), self.clock(), self.cfg, self.store.mark("selfIntroAsks"), state("asked", "sessionId string"), mode, self._rescorer(turns))
         if mode != "off":
             used = cut(self.spark, step.hits.select("id").distinct())
             self.store.replace("shown", cut(self.spark, step.last))
@@ -122,6 +122,26 @@ class MemoryService:
         self.counters["turns"] += 1
         return step
 
+    def _rescorer(self, turns: DataFrame) -> Callable[[DataFrame], DataFrame] | None:
+        """What puts a turn's candidates in the order of their vectors too, where that is asked for; without vectors nothing changes."""
+        if self.cfg.embedder_recall_mode != "recall" or self._embed is None:
+            return None
+
+        def rescore(found: DataFrame) -> DataFrame:
+            found, records = cut(self.spark, found), self.store.records()
+            none = F.lit(None).cast("string")
+            keys = records.join(found.select("id").distinct(), "id", "left_semi").select("id", vector_key(F.col("text"), F.col("subject"), F.col("tags")).alias("vector_key"), "text")
+            asked = turns.select("query_id", vector_key(F.col("query"), none, F.lit(None).cast("array<string>")).alias("vector_key"), F.col("query").alias("text"))
+            vectors, reason = self.vectors(keys.select("vector_key", "text").unionByName(asked.select("vector_key", "text")))
+            n = found.count()
+            self._last = recall.diagnostics("hybrid", None, n, 0 if vectors is None else n, reason)
+            if vectors is None:
+                return found
+            out = recall.rescore(found.select("query_id", "id", "match", "score"), records, keys.join(vectors, "vector_key"), asked.join(vectors, "vector_key"), self.cfg)
+            return out.join(found.select("query_id", "id", "kind", "text"), ["query_id", "id"])
+
+        return rescore
+
     # vectors
     def set_embedder(self, embed: Callable[[DataFrame], DataFrame] | None, dimensions: int | None = None, timeout: float | None = None) -> None:
         """embed: (id, text) -> (id, vector). Vectors are kept by what they were made of, and made once.

@@ -160,3 +160,17 @@ def test_settings():
     assert audit_max(Config(audit_max=-1)) == 50 and audit_max(Config(audit_max=0)) == 0
     assert length_penalty(Config(search_length_penalty=-1)) == 0.3 and blend_weight(Config(embedder_weight=2)) == 0.5
     assert write_policy(Config(write_policy=" ASK ")) == "ask" and write_policy(Config(write_policy="x")) == "auto"
+
+
+def test_small_text_functions(spark):
+    from memlake.functions import text as X
+
+    row = spark.range(1).select(
+        X.merged_text(F.lit("Keeps answers short."), F.lit("keeps answers short")).alias("held"), X.merged_text(F.lit("one thing"), F.lit("quite another thing")).alias("both"), X.normalize_facet(F.lit(" Persona ")).alias("facet"), X.normalize_facet(F.lit("odd")).alias("odd"),
+        X.stamp(F.lit(1_704_067_200_000)).alias("stamp"), X.short_session(F.lit("ses-84a547da-1")).alias("short"), X.vector_key(F.lit("Alpha."), F.lit(None), F.array(F.lit("T"))).alias("key"), X.vector_key(F.lit("alpha"), F.lit(""), F.array(F.lit("t"))).alias("same"),
+        X.write_policy(F.lit(" ASK ")).alias("ask"), X.write_policy(F.lit("x")).alias("auto"), X.language(F.lit("EN")).alias("en"), X.portrait_subject(F.lit("persona"), F.lit("Voice")).alias("subject"), X.portrait_subject(F.lit(None).cast("string"), F.lit("no key!")).alias("general"),
+    ).first()
+    assert (row["held"], row["both"]) == ("Keeps answers short.", "quite another thing；one thing")
+    assert (row["facet"], row["odd"], row["stamp"], row["short"]) == ("persona", "work", "2024-01-01 00:00", "ses-84a547da")
+    assert row["key"] == row["same"] and row["key"].startswith("emb1:")
+    assert (row["ask"], row["auto"], row["en"], row["subject"], row["general"]) == ("ask", "auto", "en", "self.persona.voice", "self.work.general")

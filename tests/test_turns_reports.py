@@ -304,6 +304,16 @@ def test_a_service_keeps_the_state_of_turns(spark, service, rows, tmp_path):
     assert json.loads(spark.read.text(str(tmp_path / "r")).first()[0])["records"] == 1
 
 
+def test_vectors_can_reorder_a_turn(spark, rows, tmp_path):
+    service = MemoryService(spark, str(tmp_path / "m"), CFG.with_(embedder_recall_mode="recall", recall_top_k=1), clock=lambda: NOW)
+    service.store.append(rows(dict(id="a", kind="semantic", text="alpha beta gamma", importance=0.9), dict(id="b", kind="semantic", text="alpha beta delta", importance=0.1)))
+    none = spark.createDataFrame([], "sessionId string, line string")
+    ask = lambda s: turn_of(spark, ("q", s, 1, "alpha beta words", "*"))
+    assert [h["id"] for h in service.turn(ask("s1"), none).hits.collect()] == ["a"]
+    service.set_embedder(lambda t: t.select("id", F.when(F.contains("text", F.lit("gamma")), F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(0.0))).alias("vector")))
+    assert [h["id"] for h in service.turn(ask("s2"), none).hits.collect()] == ["b"] and service.last_recall()["used"]
+
+
 def test_compaction_summaries_are_solidified(spark, service):
     data = json.dumps({"summary": [{"type": "text", "text": "The team chose Spark for all jobs.\nshort\nThe second long sentence stands here."}], "shadowedSeqs": [3, 9, 5]})
     service.solidify(spark.createDataFrame([("s", "compaction/summary", 12, 1, data)], EVENT))
