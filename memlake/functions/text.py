@@ -21,16 +21,21 @@ def js_trim(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
+#: The same two classes, with and without the plain space, behind one that turns most letters away at once.
+_ANY_SPACE = rf"[[^\x21-\x7E\xA1-\x{{167F}}]&&[{SPACE}]]"
+_ODD_SPACE = rf"[[^\x20-\x7E\xA1-\x{{167F}}]&&[{SPACE.replace(' ', '')}]]"
+
+
 def one_space(c: Column) -> Column:
     """White space collapsed; the pattern leaves single plain spaces alone, which most are."""
-    return F.regexp_replace(c, f"[{SPACE}&&[^ ]][{SPACE}]*| [{SPACE}]+", " ")
+    return F.regexp_replace(c, f"{_ODD_SPACE}{_ANY_SPACE}*| {_ANY_SPACE}+", " ")
 
 
 def normalize_text(c: Column) -> Column:
     """Full-width forms narrowed, white space collapsed, end marks dropped, lower case."""
     narrow = F.when(F.rlike(c, F.lit(r"[\x{FF01}-\x{FF5E}]")), F.translate(c, WIDE, NARROW)).otherwise(c)
     flat = F.trim(one_space(narrow))
-    return F.lower(F.trim(F.regexp_replace(flat, f"[{END_MARKS}]+$", "")))
+    return F.lower(F.trim(F.rtrim(flat, F.lit(END_MARKS))))
 
 
 @F.pandas_udf(T.LongType())
