@@ -7,7 +7,7 @@ otherwise their tokens are joined, with records dealt by id so that summing up n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -97,8 +97,11 @@ def without_tokens(queries: DataFrame, cfg: Config = DEFAULTS, mode: str = "quer
     return empty.where(F.col("no_text") | (F.col("no_token") & F.lit(mode != "memory")))
 
 
-def _by_tables(posted: DataFrame, asked: list, kind: DataType) -> DataFrame:
-    """Sums over the tokens that records and queries share, by products of a stripe of records with the table of queries."""
+def _by_tables(posted: DataFrame, asked: list, kind: DataType, near: Callable[[np.ndarray, ...], np.ndarray] | None = None) -> DataFrame:
+    """Sums over the tokens that records and queries share, by products of a stripe of records with the table of queries.
+
+    near: of hits, times, informative hits, the records' sizes and the queries' sizes, which pairs can be of use.
+    """
     names = sorted({r["query_id"] for r in asked})
     words = sorted({r["token"] for r in asked})
     of_query, of_word = {q: i for i, q in enumerate(names)}, {w: i for i, w in enumerate(words)}
@@ -106,6 +109,9 @@ def _by_tables(posted: DataFrame, asked: list, kind: DataType) -> DataFrame:
     for r in asked:
         table[of_word[r["token"]], :, of_query[r["query_id"]]] = (1, r["times"], r["idf"], r["informative"])
     table = table.reshape(len(words), -1)
+    n_times = np.zeros(len(names))
+    for r in asked:
+        n_times[of_query[r["query_id"]]] = r["n_times"]
     wanted, ids = pa.array(words, pa.string()), pa.array(names, to_arrow_type(kind))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +123,8 @@ def _by_tables(posted: DataFrame, asked: list, kind: DataType) -> DataFrame:
                 has = np.zeros((own.num_rows, len(words)))
                 has[row, pc.index_in(pc.list_flatten(lists), value_set=wanted).to_numpy(zero_copy_only=False).astype(np.int64)] = 1
                 hits, times, raw, told = (has @ table).reshape(own.num_rows, 4, -1).transpose(1, 0, 2)
-                r, q = np.nonzero(hits)
+                size = own.column("n_tokens").to_numpy(zero_copy_only=False)[:, None]
+                r, q = np.nonzero((hits > 0) & near(hits, times, told, size, n_times) if near is not None else hits)
                 at = pa.array(r)
                 columns = [own.column("id").take(at), ids.take(pa.array(q)), pa.array(hits[r, q].astype(np.int64)), pa.array(times[r, q].astype(np.int64)), pa.array(raw[r, q]), pa.array(told[r, q].astype(np.int64)), own.column("n_tokens").take(at)]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "query_id", "hits", "times", "raw", "informative", "n_tokens"])
@@ -133,8 +140,8 @@ def _by_join(posted: DataFrame, asked: DataFrame, broadcast: bool) -> DataFrame:
     return pairs.agg(F.count(F.lit(1)).alias("hits"), F.sum("times").alias("times"), F.sum("idf").alias("raw"), F.sum("informative").alias("informative"), F.first("n_tokens").alias("n_tokens"))
 
 
-def matches(records: DataFrame, queries: DataFrame, cfg: Config = DEFAULTS, mode: str = "query", min_hits: int | None = None) -> DataFrame:
-    """Pairs that share a token: query_id, id, match (the gate's number), hits, relevance."""
+def matches(records: DataFrame, queries: DataFrame, cfg: Config = DEFAULTS, mode: str = "query", min_hits: int | None = None, gate: float | None = None) -> DataFrame:
+    """Pairs that share a token: query_id, id, match (the gate's number), hits, relevance; those below a gate may be left out."""
     spark = records.sparkSession
     tokens = cut(spark, query_tokens(queries, cfg))
     posted = postings(records, tokens, cfg)
@@ -144,7 +151,14 @@ def matches(records: DataFrame, queries: DataFrame, cfg: Config = DEFAULTS, mode
     few = small(asked)
     shape = asked.agg(F.count_distinct("query_id"), F.count_distinct("token")).first() if few else (0, 0)
     if few and shape[0] * shape[1] <= TABLE:
-        pairs = _by_tables(posted, asked.collect(), queries.schema["query_id"].dataType) if shape[0] else _by_join(posted, asked, True)
+        wanted = cfg.recall_min_hits if min_hits is None else min_hits
+
+        def near(hits, times, told, size, n_times):
+            if mode == "memory":
+                return (told >= wanted) & (hits >= (gate - 1e-9) * np.clip(size, 1, 4))
+            return times >= (gate - 1e-9) * n_times
+
+        pairs = _by_tables(posted, asked.collect(), queries.schema["query_id"].dataType, None if gate is None else near) if shape[0] else _by_join(posted, asked, True)
     else:
         pairs = _by_join(posted, asked, few)
     pairs = pairs.join(F.broadcast(totals) if few else totals, "query_id")
@@ -167,7 +181,7 @@ def recall(records: DataFrame, queries: DataFrame, now: int, cfg: Config = DEFAU
     k = max(1, min(MOST, limit))
     lean = records.select("id", "importance", "confidence", "pinned", "observedAt", "lastUsedAt")
     filtered = records.where(post_filter) if post_filter is not None else records
-    found = matches(records, queries, cfg, mode, min_hits).where(F.col("match") >= gate)
+    found = matches(records, queries, cfg, mode, min_hits, gate).where(F.col("match") >= gate)
     if post_filter is not None:
         found = found.join(filtered.select("id"), "id", "left_semi")
     scored = found.join(lean, "id").withColumn("score", composite(now))
@@ -296,16 +310,18 @@ def turn_recall(records: DataFrame, turns: DataFrame, lines: DataFrame, last: Da
 
     asked = turns.where(F.length(F.trim("query")) >= cfg.recall_min_query_chars)
     pool = records.where(active() & (F.col("kind") != "agent_self"))
-    lean = pool.select("id", "kind", "text", F.col("scope.level").alias("level"), F.col("scope.key").alias("key"), "importance", "confidence", "pinned", "observedAt", "lastUsedAt")
+    plain = lambda c: F.md5(normalize_text(c).cast("binary"))  # noqa: E731 - texts themselves join what is shown, and no pair before
+    lean = pool.select("id", plain(F.col("text")).alias("plain"), F.col("scope.level").alias("level"), F.col("scope.key").alias("key"), "importance", "confidence", "pinned", "observedAt", "lastUsedAt")
     # the whole pool has the say in how rare a token is
-    found = matches(records.where(active()), asked.select("query_id", "query"), cfg, "memory").where(F.col("match") >= cfg.recall_min_match).join(lean, "id")
-    found = found.join(asked.select("query_id", "turn", "workspace"), "query_id")
+    found = matches(records.where(active()), asked.select("query_id", "query"), cfg, "memory", gate=cfg.recall_min_match).where(F.col("match") >= cfg.recall_min_match)
+    found = found.join(lean, "id").join(asked.select("query_id", "turn", "workspace"), "query_id")
     found = found.where((F.col("level") != "workspace") | F.coalesce(F.col("key") == F.col("workspace"), F.lit(False)))
-    shown = lines.select("query_id", normalize_text(F.regexp_replace(F.regexp_replace("line", r"^[-*\s]+", ""), r"^\([a-z_]+\)\s*", "")).alias("n")).distinct()
-    found = found.withColumn("n", normalize_text(F.col("text"))).join(shown, ["query_id", "n"], "left_anti").join(last, ["query_id", "id"], "left")
+    shown = lines.select("query_id", plain(F.regexp_replace(F.regexp_replace("line", r"^[-*\s]+", ""), r"^\([a-z_]+\)\s*", "")).alias("plain")).distinct()
+    found = found.join(shown, ["query_id", "plain"], "left_anti").join(last, ["query_id", "id"], "left")
     found = found.where(F.col("turn") - F.coalesce("last_turn", F.lit(-999)) >= cfg.recall_cooldown_turns).withColumn("score", composite(now))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), *ranking())
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= (cfg.recall_top_k if most is None else most)).select("query_id", "rank", "id", "kind", "text", "match", "score")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= (cfg.recall_top_k if most is None else most))
+    return best.join(pool.select("id", "kind", "text"), "id").select("query_id", "rank", "id", "kind", "text", "match", "score")
 
 
 def corrected(records: DataFrame, corrections: DataFrame, now: int, cfg: Config = DEFAULTS) -> DataFrame:
