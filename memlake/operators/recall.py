@@ -154,6 +154,8 @@ def matches(records: DataFrame, queries: DataFrame, cfg: Config = DEFAULTS, mode
         wanted = cfg.recall_min_hits if min_hits is None else min_hits
 
         def near(hits, times, told, size, n_times):
+            if gate <= 0:
+                return np.ones(hits.shape, dtype=bool)
             if mode == "memory":
                 return (told >= wanted) & (hits >= (gate - 1e-9) * np.clip(size, 1, 4))
             return times >= (gate - 1e-9) * n_times
@@ -187,14 +189,16 @@ def recall(records: DataFrame, queries: DataFrame, now: int, cfg: Config = DEFAU
     scored = found.join(lean, "id").withColumn("score", composite(now))
     scored = scored.withColumn("score", F.when(F.col("match") == 0, 0.0).otherwise(F.col("score")))
     empty = without_tokens(queries, cfg, mode)
-    whole = filtered.select("id", "importance", "confidence", "pinned", "observedAt", "lastUsedAt")
-    # one page of the pool by importance serves every query without a token; a query without text has no other order
-    first = whole.orderBy(F.col("importance").desc(), F.col("pinned").desc(), F.col("confidence").desc(), "id").limit(k)
-    recent = whole.withColumn("s", 0.3 * F.col("importance") + 0.1 * recency(now)).orderBy(F.col("s").desc(), F.col("pinned").desc(), F.col("importance").desc(), F.col("confidence").desc(), "id").limit(k).drop("s")
     names = ["query_id", "id", "match", "score", "pinned", "importance", "confidence"]
-    no_text = empty.where("no_text").crossJoin(F.broadcast(first)).select("query_id", "id", F.lit(1.0).alias("match"), F.col("importance").alias("score"), "pinned", "importance", "confidence")  # k rows
-    no_token = empty.where("not no_text").crossJoin(F.broadcast(recent)).select("query_id", "id", F.lit(1.0).alias("match"), (0.3 * F.col("importance") + 0.1 * recency(now)).alias("score"), "pinned", "importance", "confidence")  # k rows
-    both = scored.select(*names).unionByName(no_text).unionByName(no_token)
+    both = scored.select(*names)
+    if empty.take(1):
+        whole = filtered.select("id", "importance", "confidence", "pinned", "observedAt", "lastUsedAt")
+        # one page of the pool by importance serves every query without a token; a query without text has no other order
+        first = whole.orderBy(F.col("importance").desc(), F.col("pinned").desc(), F.col("confidence").desc(), "id").limit(k)
+        recent = whole.withColumn("s", 0.3 * F.col("importance") + 0.1 * recency(now)).orderBy(F.col("s").desc(), F.col("pinned").desc(), F.col("importance").desc(), F.col("confidence").desc(), "id").limit(k).drop("s")
+        no_text = empty.where("no_text").crossJoin(F.broadcast(first)).select("query_id", "id", F.lit(1.0).alias("match"), F.col("importance").alias("score"), "pinned", "importance", "confidence")  # k rows
+        no_token = empty.where("not no_text").crossJoin(F.broadcast(recent)).select("query_id", "id", F.lit(1.0).alias("match"), (0.3 * F.col("importance") + 0.1 * recency(now)).alias("score"), "pinned", "importance", "confidence")  # k rows
+        both = both.unionByName(no_text).unionByName(no_token)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("pinned").desc(), F.col("importance").desc(), F.col("confidence").desc(), "id")
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", "match", "score", "rank")
 
