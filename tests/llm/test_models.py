@@ -198,7 +198,7 @@ def test_licenses_need_no_gate(spark):
 def words_of(text, letters):
     """Maximal runs of letters (bytes) with their places."""
     raw, out, at = text.encode(), [], None
-    for i, c in enumerate([*raw, 0]):
+    for i, c in enumerate([*raw, 10]):
         if at is None and c in letters:
             at = i
         elif at is not None and c not in letters:
