@@ -72,3 +72,26 @@ def test_quotas_count_what_they_accept(spark):
     data = [("u", f"{i:03d}", f"h{i % 30}", i * 60_000) for i in range(60)]
     got = {r["id"]: r["reason"] for r in streams.batch_quotas(spark.createDataFrame(data, "key string, id string, hash string, at bigint"), per_hour=20).collect()}
     assert [got[f"{i:03d}"] for i in (0, 19, 20, 59)] == [None, None, "over-hour-quota", "over-hour-quota"]
+
+
+def test_documents_envelopes_and_branches(spark, rows, tmp_path):
+    r = rows(dict(id="a", kind="semantic", text="one", tags=["x"]), dict(id="b", kind="episodic", text="two"))
+    files.write_documents(r, str(tmp_path / "d"))
+    (tmp_path / "d" / "broken.json").write_text("{not json")
+    again = files.read_documents(spark, str(tmp_path / "d"))
+    assert {(x["id"], x["text"], tuple(x["tags"])) for x in again.collect()} == {("a", "one", ("x",)), ("b", "two", ())}
+    (tmp_path / "one.json").write_text('{"schemaVersion": 1, "items": [{"id": "k", "kind": "semantic", "text": "t"}]}')
+    (tmp_path / "bare.json").write_text('[{"id": "k", "kind": "semantic", "text": "t"}]')
+    assert files.read_envelope(spark, str(tmp_path / "one.json")).count() == 1
+    assert files.read_envelope(spark, str(tmp_path / "bare.json")).count() == 0
+    git = tmp_path / "tree" / ".git"
+    git.mkdir(parents=True)
+    (git / "HEAD").write_text("ref: refs/heads/feature/x\n")
+    assert logs.current_branch(spark, str(git)) == "feature/x"
+    (git / "HEAD").write_text("ref: refs/heads/other\n")
+    assert logs.current_branch(spark, str(git)) == "feature/x" and logs.read_branch(spark, str(git)) == "other"  # remembered for some seconds
+    (tmp_path / "linked").write_text(f"gitdir: {git}\n")
+    assert logs.read_branch(spark, str(tmp_path / "linked")) == "other" and logs.read_branch(spark, str(tmp_path / "nowhere")) is None
+    catalog = spark.createDataFrame([("s1", "/w", 1, None, None, False, True), ("s2", "/w", 3, None, "p", False, True), ("s3", "/v", 2, None, None, False, True)], "sessionId string, cwd string, createdAt bigint, origin string, parentSession string, live boolean, persisted boolean")
+    assert [x["sessionId"] for x in logs.newest(catalog, 5).collect()] == ["s3", "s1"]
+    assert [x["sessionId"] for x in logs.newest(catalog, 5, "/w").collect()] == ["s1"] and logs.newest(catalog, 5, "/none").count() == 2
