@@ -64,9 +64,10 @@ def portrait_eligible(cfg: Config) -> Column:
     return active() & (F.col("kind") == "agent_self") & (user | model)
 
 
-def workspace_recall(workspace: str | None) -> Column:
-    """Not of other workspaces, and never the self portrait."""
-    return ((F.col("scope.level") != "workspace") | F.coalesce(F.col("scope.key") == F.lit(workspace), F.lit(False))) & (F.col("kind") != "agent_self")
+def workspace_recall(workspace: str | Column | None) -> Column:
+    """Not of other workspaces, and never the self portrait; the workspace can be a column."""
+    here = workspace if isinstance(workspace, Column) else F.lit(workspace)
+    return ((F.col("scope.level") != "workspace") | F.coalesce(F.col("scope.key") == here, F.lit(False))) & (F.col("kind") != "agent_self")
 
 
 def clear_selected(kind: str | None = None, scope_level: str | None = None, everything: bool = False) -> Column:

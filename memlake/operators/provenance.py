@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from memlake.config import DEFAULTS, Config, audit_max
 from memlake.functions.refs import sanitize
-from memlake.functions.text import normalize_branch, normalize_text, token_set
+from memlake.functions.text import normalize_branch, token_set
 
 #: Bytes of lines that are looked for in one pass.
 BLOCK_BYTES = 4 << 20
@@ -164,7 +164,3 @@ def cooled(hits: DataFrame, turns: int, by: list[str], turn: str = "turn") -> Da
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(since, pa.int64()), pa.array(shown, pa.bool_())], names=[*batch.schema.names, "since", "cooled"])
 
     return hits.repartition(*by).sortWithinPartitions(*by, turn).mapInArrow(fold, schema)
-
-
-def same_text(a: Column, b: Column) -> Column:
-    return normalize_text(a) == normalize_text(b)

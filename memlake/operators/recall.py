@@ -310,16 +310,16 @@ def turn_recall(records: DataFrame, turns: DataFrame, lines: DataFrame, last: Da
     a record was last shown). Returns query_id, rank, id, kind, text, match, score; what is left out makes room for the next, up to
     `most` (else as many as are shown).
     """
-    from memlake.operators.filters import active
+    from memlake.operators.filters import active, workspace_recall
 
     asked = turns.where(F.length(F.trim("query")) >= cfg.recall_min_query_chars)
     pool = records.where(active() & (F.col("kind") != "agent_self"))
     plain = lambda c: F.md5(normalize_text(c).cast("binary"))  # noqa: E731 - texts themselves join what is shown, and no pair before
-    lean = pool.select("id", plain(F.col("text")).alias("plain"), F.col("scope.level").alias("level"), F.col("scope.key").alias("key"), "importance", "confidence", "pinned", "observedAt", "lastUsedAt")
+    lean = pool.select("id", plain(F.col("text")).alias("plain"), "kind", "scope", "importance", "confidence", "pinned", "observedAt", "lastUsedAt")
     # the whole pool has the say in how rare a token is
     found = matches(records.where(active()), asked.select("query_id", "query"), cfg, "memory", gate=cfg.recall_min_match).where(F.col("match") >= cfg.recall_min_match)
     found = found.join(lean, "id").join(asked.select("query_id", "turn", "workspace"), "query_id")
-    found = found.where((F.col("level") != "workspace") | F.coalesce(F.col("key") == F.col("workspace"), F.lit(False)))
+    found = found.where(workspace_recall(F.col("workspace"))).drop("kind")
     shown = lines.select("query_id", plain(F.regexp_replace(F.regexp_replace("line", r"^[-*\s]+", ""), r"^\([a-z_]+\)\s*", "")).alias("plain")).distinct()
     found = found.join(shown, ["query_id", "plain"], "left_anti").join(last, ["query_id", "id"], "left")
     found = found.where(F.col("turn") - F.coalesce("last_turn", F.lit(-999)) >= cfg.recall_cooldown_turns).withColumn("score", composite(now))

@@ -15,10 +15,9 @@ from memlake.functions.safety import explicit_request, mask_pii, render_equivale
 from memlake.functions.text import MARKERS, clamp_text, derive_subject, gist_text, markers, normalize_text, record_hash, workspace_key
 from memlake.operators.capture import SIGNALS, candidates
 from memlake.operators.govern import archivable, conflicts, merge_groups
-from memlake.schema import RECORD_DDL, default_scope, user_side
+from memlake.schema import default_scope, user_side
 from memlake.sources.sessions import messages, real_user, subagent
 
-MESSAGE = "struct<seq:bigint,time:bigint,role:string,text:string>"
 
 
 def fit_newest(groups: Column, limit: float) -> Column:
@@ -210,7 +209,3 @@ def apply(records: DataFrame, made: Plan, now: int, cfg: Config = DEFAULTS) -> D
     first = made.gists.join(firsts.select(F.col("gist_key").alias("key")), "key", "left_anti")
     first = first.select(F.lit("project_gist").alias("kind"), F.lit("gist").alias("precision"), F.lit("observed").alias("origin"), F.struct(F.lit("workspace").alias("level"), "key").alias("scope"), F.lit("project.overview").alias("subject"), "text")
     return out.unionByName(added.select(*records.columns)).unionByName(make_records(first, now).select(*records.columns))
-
-
-def empty_records(spark) -> DataFrame:
-    return spark.createDataFrame([], RECORD_DDL)

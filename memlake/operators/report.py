@@ -15,6 +15,7 @@ from memlake.functions.refs import format_refs, refs_string, sanitize
 from memlake.functions.text import clamp_text, normalize_branch, normalize_facet, stamp
 from memlake.operators.provenance import ACTIONS, branches
 from memlake.operators.replay import Plan
+from memlake.plans.lineage import cut
 
 #: Tokens of a field of an audit's line, and characters of an id that is shown.
 FIELD_TOKENS, ID_CHARS = 300, 8
@@ -176,11 +177,13 @@ def plan_text(made: Plan, records: DataFrame, cfg: Config = DEFAULTS, notes: tup
     lists = [("补录", "条（按时间升序）", added, ["at", "hash"]), ("合并", "组", groups, ["lead"]), ("失效", "条", lost, ["winner", "loser"])]
     body = []
     for name, unit, rows, order in lists:
+        rows = cut(spark, rows)  # counted and listed
         if n := rows.count():
             body += [f"{name} {n} {unit}：", *(r["line"] for r in rows.orderBy(*order).limit(PAGE).collect())]
-    if n := made.archive.count():
-        body.append(f"归档 {n} 条：" + "、".join(r["i"] for r in made.archive.orderBy("id").limit(5).select(short(F.col("id")).alias("i")).collect()) + (f" 等 {n} 条" if n > 5 else ""))
-    if n := made.gists.count():
+    archive, gists = cut(spark, made.archive), cut(spark, gists)
+    if n := archive.count():
+        body.append(f"归档 {n} 条：" + "、".join(r["i"] for r in archive.orderBy("id").limit(5).select(short(F.col("id")).alias("i")).collect()) + (f" 等 {n} 条" if n > 5 else ""))
+    if n := gists.count():
         body += [f"项目印象 {n} 条：", *(r["line"] for r in gists.orderBy(F.col("at").desc(), "key").limit(PAGE).collect())]
     out += body or ["无需改动：没有可补录的候选，也没有需要合并/失效/归档的条目。"]
     if stats["truncated"]:

@@ -15,7 +15,8 @@ from memlake.functions.vectors import tiles
 from memlake.operators import capture, filters, govern, portrait, provenance, recall, render, replay
 from memlake.operators import write as writing
 from memlake.plans.tables import CFG, DAY, NOW, RECORDS_SQL, benchmark_queries, events, records, sessions, table
-from memlake.schema import EVENT_DDL, make_records
+from memlake.schema import make_records
+from memlake.sources import sessions as logs
 from memlake.streaming import turns as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -591,7 +592,7 @@ def streaming_turns(spark, sf_dir):
 
     folder = f"{shared_folder(spark)}/turns-{uuid.uuid4().hex}"
     events(spark, sf_dir).repartition("sessionId").sortWithinPartitions("sessionId", "seq").write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(EVENT_DDL).parquet(f"{folder}/in")
+    stream = logs.event_stream(spark, f"{folder}/in", "parquet")
     run = streams.turns(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(f"{folder}/out").select(F.col("sessionId").alias("session"), "turn", F.col("n_messages").cast("long").alias("n_messages"))

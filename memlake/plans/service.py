@@ -195,6 +195,8 @@ class MemoryService:
             asked = logs.last_request(events).withColumnRenamed("origin", "asked")
             said = F.col("origin") if "origin" in incoming.columns else F.lit(None).cast("string")
             incoming = incoming.join(asked, "sessionId", "left").withColumn("origin", F.when(F.coalesce(said, F.lit("model_proposed")) == "model_proposed", F.coalesce("asked", F.lit("model_proposed"))).otherwise(said)).drop("asked")
+        if not self.cfg.refs_enabled and "refs" in incoming.columns:
+            incoming = incoming.drop("refs")
         versions, results = writing.write(self.store.records(), incoming, self.clock(), self.cfg, lines, self.store.rejected())
         versions, results = cut(self.spark, versions), cut(self.spark, results)
         self.store.append(versions)

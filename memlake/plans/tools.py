@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from memlake.config import pending_max, write_policy
 from memlake.functions.refs import refs_string
 from memlake.functions.text import clamp_text, workspace_key
-from memlake.operators import capture, filters, provenance, recall, render, report
+from memlake.operators import capture, filters, provenance, recall, report
 from memlake.operators.portrait import history
 from memlake.plans.lineage import cut
 from memlake.plans.service import MemoryService
@@ -280,9 +280,3 @@ class Commands:
     def do_refresh(self, prefix: str) -> None:
         self.service.refresh(self._one(prefix))
 
-
-def resident_lines(records: DataFrame, cfg, workspace: str | None) -> DataFrame:
-    """Every line that is shown by itself: of the context and of the self portrait."""
-    return render.context_block(records, cfg, workspace).select("line").unionByName(render.self_block(records, cfg).select("line"))
-
-
