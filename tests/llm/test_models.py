@@ -6,7 +6,6 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from memlake.llm import ann, langid, licenses, quality, toxicity, urlfilter
 from memlake.llm.queries import queries
