@@ -33,3 +33,7 @@ def test_texts_of_one_fingerprint_are_two(spark, same):
     assert hashes.count() == 1
     assert same("backfill_anti_join", [(17, a), (1, b), (34, "c"), (2, "C.")]) == [("17",)]
     assert same("twin_lookup", [(19, a), (1, b), (38, "c"), (2, "C.")]) == [("38", "2")]
+
+
+def test_mentions_of_one_fingerprint_are_two_records(same):
+    assert [r[:2] for r in same("dedup_merge", [(1, "wleougua"), (2, "ghwsrevm"), (3, "Wleougua."), (4, "other")])] == [(1, 2), (2, 1), (4, 1)]
