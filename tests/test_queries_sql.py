@@ -39,5 +39,9 @@ def test_mentions_of_one_fingerprint_are_two_records(same):
     assert [r[:2] for r in same("dedup_merge", [(1, "wleougua"), (2, "ghwsrevm"), (3, "Wleougua."), (4, "other")])] == [(1, 2), (2, 1), (4, 1)]
 
 
+def test_a_sharp_s_in_capitals_is_the_same_text(same):
+    assert same("present_guard", [(6, "Die Straße \u1f80 \ufb01"), (12, "plain words"), (4, "gone")]) == [("12",), ("6",)]
+
+
 def test_a_queue_of_more_than_a_page(same):
     assert "共 1000 条" in same("pending_text", [(19 * (i + 1), f"text {i}") for i in range(1100)])[0][0]
