@@ -1,9 +1,12 @@
 """Queries against their SQL on small tables that only large ones are like: fingerprints in common, letters that grow, long queues."""
 
+import random
+
 import duckdb
 import pytest
 
 from memlake.functions import text as X
+from memlake.operators import govern
 from memlake.plans import more_queries, queries  # noqa: F401 - both register
 
 
@@ -45,3 +48,23 @@ def test_a_sharp_s_in_capitals_is_the_same_text(same):
 
 def test_a_queue_of_more_than_a_page(same):
     assert "共 1000 条" in same("pending_text", [(19 * (i + 1), f"text {i}") for i in range(1100)])[0][0]
+
+
+@pytest.mark.parametrize("kind", ["containment", "jaccard"])
+def test_stripes_of_a_block_miss_no_pair(spark, monkeypatch, kind):
+    rng = random.Random(3)
+    sets = [set(rng.choices([f"w{i}" for i in range(60)], [1 / (i + 1) for i in range(60)], k=rng.choice([1, 2, 3, 8, 20, 40]))) for _ in range(120)]
+    sets += [set(rng.sample(sorted(s), max(1, len(s) - 1))) for s in sets[:40]] + sets[40:60] + [set()]
+    rows = [(i, i % 2, sorted(s)) for i, s in enumerate(sets)]
+    want = {}
+    for i, bi, x in rows:
+        for j, bj, y in rows[i + 1 :]:
+            same = len({*x} & {*y})
+            score = same / (min(len(x), len(y)) if kind == "containment" else len({*x} | {*y})) if bi == bj and x and y else 0
+            if score >= 0.7:
+                want[i, j] = score
+    df = spark.createDataFrame(rows, "id bigint, b bigint, tokens array<string>")
+    for most in (150, 10_000):
+        monkeypatch.setattr(govern, "STRIPE_TOKENS", most)
+        got = govern.token_pairs(df, ["b"], 0.7, kind).collect()
+        assert {(r["a"], r["b"]): r["score"] for r in got} == want and len(got) == len(want) > 50
