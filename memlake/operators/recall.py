@@ -28,6 +28,8 @@ DAY = 86_400_000.0
 BROADCAST_TOKENS = 200_000
 #: Queries times distinct tokens up to which they are one table, and records of a product.
 TABLE, STRIPE = 4_000_000, 256
+#: Records that settle most messages, and characters of one of them at most.
+WITNESSES, WITNESS_CHARS = 64, 1 << 17
 #: Records of a page of results at most.
 MOST = 50
 
@@ -288,11 +290,53 @@ def evaluate(records: DataFrame, queries: DataFrame, expected: DataFrame, now: i
     return rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(F.col("place") == 1, F.lit(False)).cast("double")).alias("top1"), F.avg(F.coalesce(F.col("place") <= 3, F.lit(False)).cast("double")).alias("top3"), F.avg(F.coalesce("hit", F.lit(False)).cast("double")).alias("trigger_rate"))
 
 
+def witnessed(records: DataFrame, messages: DataFrame, cfg: Config = DEFAULTS, most: int = WITNESSES) -> DataFrame:
+    """The query_id of messages that some of the longest records already bring up in memory mode; the others are not decided.
+
+    The gate asks for tokens in common and nothing about the rest of the pool, so that any one record settles a message.
+    """
+    few = with_tokens(records.where(F.length("text") <= WITNESS_CHARS).orderBy(F.length("text").desc(), "id").limit(most), cfg).select("tokens").collect()
+    held = [sorted(r["tokens"]) for r in few]
+    words = sorted(set().union(*held))
+    index = {w: i for i, w in enumerate(words)}
+    has = np.zeros((len(words), len(held)), dtype=bool)
+    for j, tokens in enumerate(held):
+        has[[index[t] for t in tokens], j] = True
+    told = np.array([len(w) >= 2 and not w.isdecimal() for w in words], dtype=bool)
+    sizes = np.clip(np.array([len(t) for t in held], dtype=np.int64), 1, 4)
+    wanted, least, gate = pa.array(words, pa.string()), cfg.recall_min_hits, cfg.recall_min_match
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("w")
+            own = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            at = pc.index_in(pc.list_flatten(lists), value_set=wanted)
+            known = at.is_valid().to_numpy(zero_copy_only=False)
+            own, at = own[known], at.drop_null().to_numpy(zero_copy_only=False)
+            hit = np.zeros(batch.num_rows, dtype=bool)
+            begin = np.flatnonzero(np.diff(own, prepend=-1))
+            if len(begin):
+                table = has[at]
+                hits, informed = np.add.reduceat(table, begin, dtype=np.int64), np.add.reduceat(table & told[at][:, None], begin, dtype=np.int64)
+                hit[own[begin]] = ((hits > 0) & (informed >= least) & (np.minimum(1.0, hits / sizes) >= gate)).any(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("query_id").filter(pa.array(hit))], names=["query_id"])
+
+    kind = messages.schema["query_id"].dataType.simpleString()
+    return messages.select("query_id", token_set(F.coalesce("query", F.lit("")), cfg.search_stemming, cfg.search_bigram).alias("w")).mapInArrow(settle, f"query_id {kind}")
+
+
 def triggers(records: DataFrame, messages: DataFrame, now: int, cfg: Config = DEFAULTS, long: int = 20) -> DataFrame:
-    """How many messages (query_id, query) bring anything up, short and long ones apart: bucket, total, triggered."""
-    hits = recall(records, messages, now, cfg, "memory", cfg.recall_top_k).select("query_id").distinct().withColumn("hit", F.lit(1))
+    """How many messages (query_id, query) bring anything up, short and long ones apart: bucket, total, triggered.
+
+    Most messages have enough in common with one of a few long records; only the others are looked for in the whole pool.
+    """
+    settled = cut(records.sparkSession, witnessed(records, messages, cfg).distinct())
+    rest = cut(records.sparkSession, messages.join(settled, "query_id", "left_anti"))
+    hits = settled
+    if rest.take(1):
+        hits = hits.unionByName(recall(records, rest, now, cfg, "memory", cfg.recall_top_k).select("query_id").distinct())
     bucket = F.when(F.length("query") >= long, "long").otherwise("short").alias("bucket")
-    return messages.join(hits, "query_id", "left").groupBy(bucket).agg(F.count(F.lit(1)).alias("total"), F.count("hit").alias("triggered"))
+    return messages.join(hits.withColumn("hit", F.lit(1)), "query_id", "left").groupBy(bucket).agg(F.count(F.lit(1)).alias("total"), F.count("hit").alias("triggered"))
 
 
 def latency(timings: DataFrame, column: str = "ms", shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from memlake.functions import text as X
-from memlake.operators import govern
+from memlake.operators import govern, recall
 from memlake.plans import more_queries, queries  # noqa: F401 - both register
 
 
@@ -68,3 +68,15 @@ def test_stripes_of_a_block_miss_no_pair(spark, monkeypatch, kind):
         monkeypatch.setattr(govern, "STRIPE_TOKENS", most)
         got = govern.token_pairs(df, ["b"], 0.7, kind).collect()
         assert {(r["a"], r["b"]): r["score"] for r in got} == want and len(got) == len(want) > 50
+
+
+def test_messages_that_one_record_settles_are_not_looked_for(spark, rows, monkeypatch):
+    pool = rows(dict(id="a", kind="semantic", text="alpha beta gamma delta epsilon"), dict(id="b", kind="semantic", text="zeta eta"), dict(id="c", kind="semantic", text="theta 12"))
+    said = ["alpha beta", "alpha 12", "zeta eta theta", "theta 12", "", "12 34", "Beta, gamma!"]
+    messages = spark.createDataFrame([(str(i), t) for i, t in enumerate(said)], "query_id string, query string")
+    plain = recall.recall(pool, messages, 1_704_067_200_000, mode="memory").select("query_id").distinct()
+    whole = recall.recall
+    asked = []
+    monkeypatch.setattr(recall, "recall", lambda records, queries, *a: asked.append(queries.count()) or whole(records, queries, *a))
+    got = recall.triggers(pool, messages, 1_704_067_200_000, long=8).collect()
+    assert asked == [4] and sum(r["triggered"] for r in got) == plain.count() == 4 and sum(r["total"] for r in got) == 7
