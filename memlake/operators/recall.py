@@ -218,14 +218,15 @@ def legacy_score(records: DataFrame, queries: DataFrame, now: int, cfg: Config =
 def explain(records: DataFrame, queries: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     """Which tokens of a query a record has and what each adds: query_id, id, token, contribution, score, passes.
 
-    A row for each pair and token; contributions add up to the score.
+    A row for each pair and token; contributions add up to the score. Sums are made in the order of tokens, so that a score at the
+    gate passes or doesn't whatever the partitions are, and a record with all of a query's tokens has exactly the query's sum.
     """
     tokens = cut(records.sparkSession, query_tokens(queries, cfg))
     posted = postings(records, tokens, cfg)
     idf = idf_table(posted, tokens, records.agg(F.count(F.lit(1)).alias("n")))
-    asked = tokens.join(idf, "token")
-    asked = asked.join(asked.groupBy("query_id").agg(F.sum("idf").alias("max_idf")), "query_id")
-    pair = Window.partitionBy("id", "query_id")
+    whole = (Window.unboundedPreceding, Window.unboundedFollowing)
+    asked = tokens.join(idf, "token").withColumn("max_idf", F.sum("idf").over(Window.partitionBy("query_id").orderBy("token").rowsBetween(*whole)))
+    pair = Window.partitionBy("id", "query_id").orderBy("token").rowsBetween(*whole)
     each = posted.repartition("id").select("id", "n_tokens", F.explode("held").alias("token"))
     rows = each.join(F.broadcast(asked) if small(tokens) else asked, "token").withColumn("raw", F.sum("idf").over(pair))
     longer = 1 + length_penalty(cfg) * F.log2(1 + F.col("n_tokens") / F.col("n_query"))

@@ -1,5 +1,7 @@
 """Queries against their SQL on small tables that only large ones are like: fingerprints in common, letters that grow, long queues."""
 
+import functools
+import operator
 import random
 
 import duckdb
@@ -80,3 +82,22 @@ def test_messages_that_one_record_settles_are_not_looked_for(spark, rows, monkey
     monkeypatch.setattr(recall, "recall", lambda records, queries, *a: asked.append(queries.count()) or whole(records, queries, *a))
     got = recall.triggers(pool, messages, 1_704_067_200_000, long=8).collect()
     assert asked == [4] and sum(r["triggered"] for r in got) == plain.count() == 4 and sum(r["total"] for r in got) == 7
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_scores_at_the_gate_do_not_depend_on_the_order_of_sums(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(recall, "BROADCAST_TOKENS", broadcast)
+    rng = random.Random(4)
+    words = [f"k{i}" for i in range(40)]
+    asked = {q: rng.sample(words, 9) for q in range(12)}
+    pool = [(f"r{i}", rng.sample(words, rng.randint(1, 30))) for i in range(150)]
+    # a record with all of a query and 31 times as many tokens has exactly the gate's score: 1 / (1 + 0.3 * log2(32))
+    pool += [(f"q{q}-{i}", rng.sample(own + [f"x{j}" for j in range(30 * len(own))], 31 * len(own))) for q, own in asked.items() for i in range(4)]
+    records = spark.createDataFrame(pool, "id string, tokens array<string>")
+    queries_ = spark.createDataFrame([(q, " ".join(own)) for q, own in asked.items()], "query_id int, query string")
+    tokens = recall.query_tokens(queries_)
+    idf = {r["token"]: r["idf"] for r in recall.idf_table(recall.postings(records, tokens), tokens, spark.createDataFrame([(len(pool),)], "n bigint")).collect()}
+    want = {q: functools.reduce(operator.add, [idf[t] for t in sorted(own)]) for q, own in asked.items()}  # sum() would compensate
+    rows = recall.explain(records, queries_).where("id like concat('q', query_id, '-%')").collect()
+    assert len(rows) == 12 * 4 * 9 and {r["passes"] for r in rows} == {True, False}
+    assert all(r["score"] == want[r["query_id"]] / (want[r["query_id"]] * 2.5) and r["passes"] == (r["score"] >= 0.4) for r in rows)
