@@ -28,6 +28,8 @@ DAY = 86_400_000.0
 BROADCAST_TOKENS = 200_000
 #: Queries times distinct tokens up to which they are one table, and records of a product.
 TABLE, STRIPE = 4_000_000, 256
+#: Rows that an explanation hands on at a time, but for a record with more.
+ROWS = 200_000
 #: Records that settle most messages, and characters of one of them at most.
 WITNESSES, WITNESS_CHARS = 64, 1 << 17
 #: Records of a page of results at most.
@@ -215,6 +217,45 @@ def legacy_score(records: DataFrame, queries: DataFrame, now: int, cfg: Config =
     return found.select("query_id", "id", F.round(0.6 * F.col("match") + 0.3 * F.col("importance") + 0.1 * recency(now), 12).alias("score"))
 
 
+def _shares(posted: DataFrame, asked: list, kind: DataType) -> DataFrame:
+    """A row for each token that a record and a query share, with the pair's sum of idf: records stream past the queries' tokens."""
+    asked = sorted(asked, key=lambda r: (r["token"], r["query_id"]))
+    names, words = sorted({r["query_id"] for r in asked}), sorted({r["token"] for r in asked})
+    of_query, of_word = {q: i for i, q in enumerate(names)}, {w: i for i, w in enumerate(words)}
+    query = np.array([of_query[r["query_id"]] for r in asked], dtype=np.int64)
+    begin = np.searchsorted([of_word[r["token"]] for r in asked], np.arange(len(words) + 1))
+    idf, n_query = np.array([r["idf"] for r in asked], dtype=np.float64), np.array([r["n_query"] for r in asked], dtype=np.int32)
+    most = np.bincount(query, idf, len(names))  # added one by one in the order of rows, which is that of tokens
+    wanted, ids = pa.array(words, pa.string()), pa.array(names, to_arrow_type(kind))
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, lists = batch.num_rows, batch.column("held")
+            own = np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            at = pc.index_in(pc.list_flatten(lists), value_set=wanted)
+            known = at.is_valid().to_numpy(zero_copy_only=False)
+            own, at = own[known], at.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+            order = np.lexsort((at, own))
+            own, at = own[order], at[order]
+            times = begin[at + 1] - begin[at]
+            before = np.concatenate([[0], np.cumsum(times)])
+            first = np.searchsorted(own, np.arange(n + 1))
+            a = 0
+            while a < n:
+                b = int(np.searchsorted(before[first], before[first[a]] + ROWS, "right")) - 1
+                b = max(a + 1, min(b, a + TABLE // len(names)))
+                s = slice(first[a], first[b])
+                place = np.repeat(begin[at[s]] - before[s] + before[first[a]], times[s]) + np.arange(before[first[b]] - before[first[a]])
+                row, asks = np.repeat(own[s], times[s]), query[place]
+                pair = (row - a) * len(names) + asks
+                r, w = pa.array(row), pa.array(np.repeat(at[s], times[s]))
+                columns = [batch.column("id").take(r), ids.take(pa.array(asks)), wanted.take(w), pa.array(idf[place]), pa.array(np.bincount(pair, idf[place])[pair]), pa.array(most[asks]), batch.column("n_tokens").take(r), pa.array(n_query[place])]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "query_id", "token", "idf", "raw", "max_idf", "n_tokens", "n_query"])
+                a = b
+
+    return posted.mapInArrow(shares, f"id string, query_id {kind.simpleString()}, token string, idf double, raw double, max_idf double, n_tokens int, n_query int")
+
+
 def explain(records: DataFrame, queries: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     """Which tokens of a query a record has and what each adds: query_id, id, token, contribution, score, passes.
 
@@ -224,11 +265,15 @@ def explain(records: DataFrame, queries: DataFrame, cfg: Config = DEFAULTS) -> D
     tokens = cut(records.sparkSession, query_tokens(queries, cfg))
     posted = postings(records, tokens, cfg)
     idf = idf_table(posted, tokens, records.agg(F.count(F.lit(1)).alias("n")))
-    whole = (Window.unboundedPreceding, Window.unboundedFollowing)
-    asked = tokens.join(idf, "token").withColumn("max_idf", F.sum("idf").over(Window.partitionBy("query_id").orderBy("token").rowsBetween(*whole)))
-    pair = Window.partitionBy("id", "query_id").orderBy("token").rowsBetween(*whole)
-    each = posted.repartition("id").select("id", "n_tokens", F.explode("held").alias("token"))
-    rows = each.join(F.broadcast(asked) if small(tokens) else asked, "token").withColumn("raw", F.sum("idf").over(pair))
+    asked = cut(records.sparkSession, tokens.where(F.col("query_id").isNotNull()).join(idf, "token"))
+    if small(asked):
+        rows = _shares(posted, asked.select("query_id", "token", "idf", "n_query").collect(), queries.schema["query_id"].dataType)
+    else:
+        whole = (Window.unboundedPreceding, Window.unboundedFollowing)
+        asked = asked.withColumn("max_idf", F.sum("idf").over(Window.partitionBy("query_id").orderBy("token").rowsBetween(*whole)))
+        pair = Window.partitionBy("id", "query_id").orderBy("token").rowsBetween(*whole)
+        each = posted.repartition("id").select("id", "n_tokens", F.explode("held").alias("token"))
+        rows = each.join(asked, "token").withColumn("raw", F.sum("idf").over(pair))
     longer = 1 + length_penalty(cfg) * F.log2(1 + F.col("n_tokens") / F.col("n_query"))
     rows = rows.withColumn("score", clamp01(F.col("raw") / (F.col("max_idf") * longer)))
     return rows.select("query_id", "id", "token", (F.col("idf") * F.col("score") / F.col("raw")).alias("contribution"), "score", (F.col("score") >= cfg.recall_min_match).alias("passes"))
